@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import canonical
+from millrace.llm import canonical, history, neardup
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def p2_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.unmatched_report(*(table(spark, sf, t) for t in ("analyze_results", "taxonomy", "aliases")))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return history.found_earlier(table(spark, sf, "artifacts"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.found_pairs(table(spark, sf, "artifacts"))
+
+
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.found_classes(table(spark, sf, "artifacts"))
+
+
 _P2_WORDS = canonical.words_sql("x", "duckdb")
 #: The same matching by comparing every distinct value with every form.
 _P2_MATCH = f"""
@@ -57,7 +69,7 @@ forms AS (
 ), best AS (SELECT x, arg_min(pass, (rank, CASE WHEN rank = 4 THEN dist ELSE 0 END, CASE WHEN rank < 2 THEN turned ELSE 0 END, ord)) AS pass FROM found WHERE rank IS NOT NULL GROUP BY x)
 """
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_unmatched": p2_unmatched}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p5_classes": p5_classes}
 ORACLES: dict[str, str] = {
     "p2_found": _P2_MATCH + "SELECT response_no, field, pos, coalesce(b.pass, 'UNMATCHED') AS pass FROM cases c LEFT JOIN best b ON c.x = b.x",
     "p2_unmatched": _P2_MATCH + "SELECT c.x AS value, count(*) AS n FROM cases c LEFT JOIN best b ON c.x = b.x WHERE b.pass IS NULL GROUP BY 1",
