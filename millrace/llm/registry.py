@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import canonical, history, leakage, neardup, packing, reading, terms
+from millrace.llm import canonical, history, leakage, neardup, packing, reading, syntax, terms
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.found_invalid(table(spark, sf, "artifacts"))
+
+
+def p1_files(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.checked_files(table(spark, sf, "artifacts"))
+
+
+def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.invalid_rates(p1_files(spark, sf))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_entries(*(table(spark, sf, t) for t in ("analyze_results", "taxonomy", "aliases"))).drop("value")
 
@@ -146,7 +158,7 @@ report AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.25 * (S
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_unmatched, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_classes, p7_containers, p7_fill, p8_found, p8_items, p8_cleaned, p9_levels, p9_profile)
+    for f in (p1_found, p1_files, p1_rates, p2_found, p2_unmatched, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_classes, p7_containers, p7_fill, p8_found, p8_items, p8_cleaned, p9_levels, p9_profile)
 }
 ORACLES: dict[str, str] = {
     "p2_found": _P2_MATCH + "SELECT response_no, field, pos, coalesce(b.pass, 'UNMATCHED') AS pass FROM cases c LEFT JOIN best b ON c.x = b.x",
