@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import timestamps
+from millrace.plans import reference
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +17,5 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return timestamps.found_instants({t: table(spark, sf, t) for t in ("issues", "comments")}, table(spark, sf, "feeds"))
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p6_found": p6_found, **reference.QUERIES}
+ORACLES: dict[str, str] = dict(reference.ORACLES)
