@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from millrace.session import written
+
 MAX_EDITS = 4
 #: Words around a name that carry no meaning of their own.
 NOISE_BEFORE = "the|in|phase|pass|opto|jit|c1|c2|likely|probably|maybe"
@@ -113,8 +115,8 @@ SELECT value, min_by(pass, struct(rank, dist, turned, ord)) AS pass FROM (
 def match_values(entries: DataFrame, taxonomy: DataFrame, aliases: DataFrame) -> DataFrame:
     """value, pass for the distinct values of ``entries`` that mean an entry of the list."""
     spark = entries.sparkSession
-    forms = spark.sql(FORMS, taxonomy=taxonomy, aliases=aliases)
-    vals = spark.sql(VALUES, entries=entries)
+    forms = written(spark.sql(FORMS, taxonomy=taxonomy, aliases=aliases), "forms")
+    vals = written(spark.sql(VALUES, entries=entries), "values")
     segments = spark.sql(SEGMENTS, forms=forms)
     probes = spark.sql(PROBES, forms=forms, vals=vals)
     return spark.sql(MATCHES, vals=vals, forms=forms, probes=probes, segments=segments)
@@ -135,7 +137,7 @@ def canonical_entries(results: DataFrame, taxonomy: DataFrame, aliases: DataFram
     spark = results.sparkSession
     raw = spark.sql(ENTRIES, results=results)
     entries = spark.sql("SELECT e.* FROM {e} e LEFT ANTI JOIN {t} t ON e.value = t.pass", e=raw, t=taxonomy)
-    matched = match_values(entries, taxonomy, aliases)
+    matched = written(match_values(entries, taxonomy, aliases), "matched")
     return spark.sql(
         """
         SELECT e.response_no, e.field, e.pos, e.value, m.pass FROM {e} e JOIN {m} m ON e.value = m.value

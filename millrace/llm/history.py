@@ -3,10 +3,13 @@
 The history is a folder: ``keys`` (minwise band keys with the id they stand for, partitioned by a
 hash of the key) and ``records`` (id, class digest, size, signature). A batch is probed against
 the partitions its own keys fall into, and nothing of the history is read as text or shuffled:
-the keys of the batch, if their number is within ``broadcast_rows`` (checked), are broadcast to
-the scan, else both sides are joined by shuffle. Candidates pass the Bayesian test on signatures
-and are verified on whole texts; then the classes new to the history are appended. Copies of a
-class that is there already have a lower-numbered equal in the history and need no second entry.
+the keys of the batch are broadcast to the scan, at most ``broadcast_rows`` at a time (checked): a
+larger batch is probed bucket by bucket, and only one whose keys of a single bucket are more than
+that is joined by shuffle. Of the history only the rows that share a key go on. Keys that more
+than ``hot`` rows share do not give pairs; their ids go through the exact prefix filter.
+Candidates pass the Bayesian test on signatures and are verified on whole texts; then the classes
+new to the history are appended. Copies of a class that is there already have a lower-numbered
+equal in the history and need no second entry.
 
 Defined results: null texts and texts with fewer tokens than a run match nothing; rows without a
 batch number are left out; batches are taken in ascending order, whatever their numbers; rows of
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shingles import Similarity, prefix_pairs, prune, signatures, verify
+from millrace.llm.shingles import Similarity, bucket_pairs, prefix_pairs, prune, signatures, verify
 from millrace.session import fresh_path, written
 
 
@@ -39,22 +42,33 @@ class History:
     def keys(self) -> DataFrame:
         return self.spark.read.schema("key bigint, n int, id bigint, part int, bucket int").parquet(f"{self.path}/keys").drop("part")
 
-    def probe(self, batch: DataFrame) -> DataFrame:
-        """(a, b): entries a of the history that share a band with ids b of the batch; null a: b met a hot key."""
-        mine = batch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode("bands").alias("key"))
-        rows, hit = mine.select(F.count("*").alias("c"), F.collect_set(self._bucket()).alias("s")).head(1)[0]
-        if not rows:
-            return self.spark.createDataFrame([], "a bigint, b bigint")
-        old = self.keys().filter(F.col("bucket").isin(sorted(hit)))
-        small = rows <= self.broadcast_rows
-        mine = F.broadcast(mine) if small else mine.hint("shuffle_hash")
-        t = self.sim.threshold
-        return (
-            old.join(mine, "key")
-            .filter((F.col("nb") >= t * F.col("n") - 1e-9) & (F.col("n") >= t * F.col("nb") - 1e-9) & (F.col("id") != F.col("b")))
-            .select(F.col("id").alias("a"), "b")
-            .distinct()
-        )
+    def matching(self, mine: DataFrame, at: str) -> DataFrame:
+        """Rows of the history whose key is among ``mine`` (key, n, id), written below ``at``; the history is only scanned."""
+        wanted = mine.select("key", self._bucket().alias("bucket"))
+        sizes = {r["bucket"]: r["count"] for r in wanted.groupBy("bucket").count().collect()}  # one row a bucket
+        rounds: list[list[int]] = []
+        held = 0
+        for k in sorted(sizes):
+            if not rounds or held + sizes[k] > self.broadcast_rows:
+                rounds.append([])
+                held = 0
+            rounds[-1].append(k)
+            held += sizes[k]
+        for part in rounds:
+            old = self.keys().filter(F.col("bucket").isin(part))
+            some = wanted.filter(F.col("bucket").isin(part)).select("key")
+            small = sum(sizes[k] for k in part) <= self.broadcast_rows
+            old.join(F.broadcast(some) if small else some.hint("shuffle_hash"), "key", "left_semi").select("key", "n", "id").write.mode("append").parquet(at)
+        return self.spark.read.schema("key bigint, n int, id bigint").parquet(at) if rounds else self.spark.createDataFrame([], "key bigint, n int, id bigint")
+
+    def probe(self, batch: DataFrame, at: str) -> DataFrame:
+        """(a, b): ids a of the history and b of the batch that share a key and fit in size; (id, null): members of hot keys."""
+        mine = batch.select(F.explode("bands").alias("key"), "n", "id")
+        old = self.matching(mine, f"{at}/matching")
+        few = old.select("key").distinct()
+        met = mine.join(F.broadcast(few) if old.count() <= self.broadcast_rows else few, "key", "left_semi")
+        rows = old.withColumn("side", F.lit(0)).unionByName(met.select("key", "n", "id").withColumn("side", F.lit(1)))
+        return bucket_pairs(rows, self.sim).distinct()
 
     def append(self, batch: DataFrame, size: int) -> None:
         """Add the classes of the batch that are new: one id each, the least."""
@@ -71,7 +85,8 @@ class History:
 
 
 def candidate_pairs(history: History, sigs: DataFrame, batch_col: str = "batch_no") -> tuple[DataFrame, DataFrame]:
-    """(near, same) over all batches of ``sigs`` (written, partitioned by batch): near a, b by probing; same a, b by class."""
+    """(near, same) over all batches of ``sigs`` (written, partitioned by batch): near a, b by probing, with (id, null) for
+    members of hot keys; same a, b by class."""
     batches = [r for r in sigs.groupBy(batch_col).count().orderBy(batch_col).collect()]
     near, same = [], []
     for number, size in batches:
@@ -79,7 +94,7 @@ def candidate_pairs(history: History, sigs: DataFrame, batch_col: str = "batch_n
         if history.parts:
             at = fresh_path(history.spark, "probe")
             heads = batch.groupBy("cls").agg(F.min("id").alias("id"))
-            history.probe(batch.join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"])).write.parquet(f"{at}/near")
+            history.probe(batch.join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"]), at).write.parquet(f"{at}/near")
             old = history.records().select(F.col("id").alias("a"), "cls")
             heads.select(F.col("id").alias("b"), "cls").join(old, "cls").select("a", "b").write.parquet(f"{at}/same")
             near.append(f"{at}/near")
@@ -97,7 +112,15 @@ def found_earlier(artifacts: DataFrame, sim: Similarity = Similarity()) -> DataF
     history = History(spark, fresh_path(spark, "history"), sim)
     near, same = candidate_pairs(history, sigs)
     texts = src.select(F.col("artifact_id").alias("id"), F.col("content").alias("text")).filter("text IS NOT NULL").dropDuplicates(["id"])
-    checked = verify(prune(near, sigs.select("id", "sig").dropDuplicates(["id"]), sim), texts, sim).select("a", "b")
+    hot = near.filter("b IS NULL").select(F.col("a").alias("id")).distinct()
+    pairs = near.filter("b IS NOT NULL")
+    if hot.head(1):
+        number = sigs.select("id", "batch_no").distinct()
+        wide = prefix_pairs(texts.join(hot, "id", "left_semi"), sim).join(number.withColumnsRenamed({"id": "a", "batch_no": "na"}), "a").join(number.withColumnsRenamed({"id": "b", "batch_no": "nb"}), "b")
+        turned = F.col("na") > F.col("nb")
+        wide = wide.filter("na <> nb").select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+        pairs = pairs.unionByName(wide).distinct()
+    checked = verify(prune(pairs, sigs.select("id", "sig").dropDuplicates(["id"]), sim), texts, sim).select("a", "b")
     best = checked.unionByName(same).groupBy("b").agg(F.min("a").alias("earlier_id"))
     # Each class of a batch was probed once, by its least id; its other ids get the same answer.
     ids = sigs.select("id", "batch_no", "cls").distinct()

@@ -221,55 +221,59 @@ def verify(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def bucket_pairs(rows: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b), a < b, of ids that share a key and may reach the threshold by size; rows: key, n, id.
+    """Pairs (a, b) of ids that share a key and may reach the threshold by size; rows: key, n, id and, optionally, side.
 
+    Without sides a < b; with sides (0 and 1) only pairs of different sides come out, a being of side 0.
     Rows are sorted by key within a task and streamed, so no bucket is held whole: one of more than
     ``sim.hot`` members gives rows (id, null) instead, for ``prefix_pairs``.
     """
-    ordered = rows.select("key", "n", "id").repartition("key").sortWithinPartitions("key", "n", "id")
+    two = "side" in rows.columns
+    side = F.col("side").cast("tinyint") if two else F.lit(0).cast("tinyint")
+    ordered = rows.select("key", "n", "id", side.alias("side")).repartition("key").sortWithinPartitions("key", "n", "id")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: tuple[np.ndarray, ...] | None = None
         hot_key = None
 
-        def pairs(key: np.ndarray, n: np.ndarray, i: np.ndarray) -> Iterator[pd.DataFrame]:
+        def marked(ids: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"a": ids, "b": None}).astype({"b": "Int64"})
+
+        def pairs(key: np.ndarray, n: np.ndarray, i: np.ndarray, s: np.ndarray) -> Iterator[pd.DataFrame]:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             big = np.repeat(sizes > sim.hot, sizes)
             if big.any():
-                yield pd.DataFrame({"a": i[big], "b": None}).astype({"b": "Int64"})
+                yield marked(i[big])
             live = np.flatnonzero(~big & np.repeat(sizes > 1, sizes))
             step = 1
             while len(live := live[live + step < len(key)]) and len(live := live[key[live] == key[live + step]]):
-                fit = live[n[live] >= sim.threshold * n[live + step] - 1e-9]
-                x, y = i[fit], i[fit + step]
-                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).astype({"b": "Int64"})
-                live = fit  # sizes rise within a key: one too large now stays so
+                live = live[n[live] >= sim.threshold * n[live + step] - 1e-9]  # sizes rise within a key: one too large now stays so
+                x, y = (live[s[live] != s[live + step]],) * 2 if two else (live, live)
+                y = y + step
+                first = s[x] == 0 if two else i[x] < i[y]
+                yield pd.DataFrame({"a": np.where(first, i[x], i[y]), "b": np.where(first, i[y], i[x])}).astype({"b": "Int64"})
                 step += 1
 
         for t in batches:
-            key, n, i = (t[c].to_numpy() for c in ("key", "n", "id"))
+            cols = tuple(t[c].to_numpy() for c in ("key", "n", "id", "side"))
             if rest is not None:
-                key, n, i = (np.concatenate([x, y]) for x, y in zip(rest, (key, n, i), strict=True))
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1], side="left"))
-            if hot_key is not None:
-                skip = int(np.searchsorted(key, hot_key, side="right"))
-                if skip:
-                    yield pd.DataFrame({"a": i[:skip], "b": None}).astype({"b": "Int64"})
-                key, n, i, cut = key[skip:], n[skip:], i[skip:], max(0, cut - skip)
-                if not len(key):
-                    rest = None
-                    continue
-                hot_key = None
-            if len(key) - cut > sim.hot:
-                hot_key = key[-1]
-                yield pd.DataFrame({"a": i[cut:], "b": None}).astype({"b": "Int64"})
+                cols = tuple(np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True))
                 rest = None
+            if hot_key is not None and len(cols[0]):
+                skip = int(np.searchsorted(cols[0], hot_key, side="right"))
+                if skip:
+                    yield marked(cols[2][:skip])
+                    cols = tuple(x[skip:] for x in cols)
+            if not len(cols[0]):
+                continue
+            hot_key, cut = None, int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+            if len(cols[0]) - cut > sim.hot:
+                hot_key = cols[0][-1]
+                yield marked(cols[2][cut:])
             else:
-                rest = key[cut:], n[cut:], i[cut:]
-            yield from pairs(key[:cut], n[:cut], i[:cut]) if cut else ()
+                rest = tuple(x[cut:] for x in cols)
+            if cut:
+                yield from pairs(*(x[:cut] for x in cols))
         if rest is not None and len(rest[0]):
             yield from pairs(*rest)
 
