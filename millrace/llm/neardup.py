@@ -41,7 +41,7 @@ def similar_representatives(df: DataFrame, id_col: str, text_col: str, sim: Simi
         one = texts.join(hot, "id", "left_semi").dropDuplicates(["id"])
         pairs = pairs.unionByName(prefix_pairs(one, sim)).distinct()
     left = prune(pairs, reps.select("id", "sig"), sim)
-    return members, verify(left, texts, sim)
+    return members, verify(left, texts, sim).dropDuplicates(["a", "b"])
 
 
 def _repeats(sigs: DataFrame) -> bool:
