@@ -114,9 +114,10 @@ def identifier(c: Column) -> Column:
 
 def strip_reasoning(c: Column) -> Column:
     """A response without reasoning tags and outside its code fence."""
-    x = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<think>.*?</think>", ""))
-    fenced = F.regexp_extract(x, r"(?is)```(?:json)?\s*(.*?)```", 1)
-    return F.when(x.rlike(r"(?is)```(?:json)?\s*(.*?)```"), F.trim(fenced)).otherwise(x)
+    strip = lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")
+    x = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<think>.*?</think>", ""))
+    fence = r"(?is)```(?:json)?\s*(.*?)```"
+    return F.when(x.rlike(fence), strip(F.regexp_extract(x, fence, 1))).otherwise(x)
 
 
 def latex(c: Column) -> Column:
