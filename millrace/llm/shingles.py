@@ -68,7 +68,8 @@ def shingle_hashes(text: str | None, sim: Similarity) -> np.ndarray:
         h += t[k : k + n]
     h *= _MULT
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 @lru_cache(maxsize=8)
