@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of compiler messages, code blocks and links.
@@ -159,3 +159,25 @@ def usage_counts(raw: Column) -> Column:
     v = F.try_parse_json(raw)
     keys = ("prompt_tokens", "completion_tokens", "total_tokens", "prompt_cache_hit_tokens", "prompt_cache_miss_tokens", "cache_hit_tokens", "cache_miss_tokens")
     return F.struct(*[F.try_variant_get(v, f"$.{k}", "bigint").alias(k) for k in keys], F.try_variant_get(v, "$.prompt_tokens_details.cached_tokens", "bigint").alias("cached_tokens"))
+
+
+def related_issues(issues: DataFrame, key: str, links: str, prefix: str) -> DataFrame:
+    """src, dst, relation from an array of links (outward, inward: struct of key; type: struct of outward, inward, name):
+    both directions, relations that relate or duplicate, keys of the given prefix only."""
+    l = issues.select(F.col(key).alias("src"), F.explode(links).alias("l"))
+    sides = [l.select("src", F.trim(f"l.{side}.key").alias("dst"), F.trim(F.coalesce(F.nullif(F.col(f"l.type.{side}"), F.lit("")), F.col("l.type.name"), F.lit(""))).alias("relation")) for side in ("outward", "inward")]
+    low = F.lower("relation")
+    return sides[0].unionByName(sides[1]).filter(F.col("dst").startswith(prefix) & (low.contains("relates to") | low.contains("duplicate")))
+
+
+def timeline_refs(events: DataFrame, key: str, event: str, home: str) -> DataFrame:
+    """key, kind (pull or commit), repository, ref from heterogeneous events in JSON (three shapes), in the order given by pos."""
+    v = F.try_parse_json(event)
+    at = lambda p: F.try_variant_get(v, p, "string")
+    base = events.select(key, "pos", home, v.alias("v"), at("$.source.issue.pull_request").alias("pr"), at("$.source.issue.repository_url").alias("pr_repo"), at("$.source.issue.number").alias("pr_no"), at("$.commit_id").alias("sha"), at("$.commit_url").alias("sha_url"), at("$.subject.type").alias("kind"), at("$.subject.url").alias("url"))
+    own = lambda u: F.coalesce(repository_of(u), F.col(home))
+    pulls = base.filter("pr IS NOT NULL AND pr_no IS NOT NULL").select(key, "pos", F.lit("pull").alias("kind"), own(F.col("pr_repo")).alias("repository"), F.col("pr_no").alias("ref"))
+    commits = base.filter("sha <> ''").select(key, "pos", F.lit("commit").alias("kind"), own(F.col("sha_url")).alias("repository"), F.col("sha").alias("ref"))
+    last = F.regexp_extract("url", r"([0-9]+)/*$", 1)
+    subjects = base.filter((F.col("kind") == "PullRequest") & (last != "")).select(key, "pos", F.lit("pull").alias("kind"), own(F.col("url")).alias("repository"), last.alias("ref"))
+    return pulls.unionByName(commits).unionByName(subjects)

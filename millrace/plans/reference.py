@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import code, extract, text
+from millrace.functions import code, evidence, extract, features, text
 from millrace.operators import compare, dedup, graph, rank, rules, stats, timeline
 from millrace.sources.tables import table
 from millrace.streaming import logs
@@ -303,6 +303,28 @@ def inline_sources(t):
     return x.filter(code.source_verdict(c("source")) == "valid").select("doc_id", "pos", F.sha2("source", 256).alias("digest"))
 
 
+@query()
+def code_features(t):
+    """Lexical features of source files: cases and share of each reported one (approximate)."""
+    a = t("artifacts").filter("content IS NOT NULL AND lower(coalesce(original_filename, 'x.java')) LIKE '%.java'").select(c("artifact_id").alias("case_id"), "content")
+    dim = a.sparkSession.createDataFrame([(k, n, n in features.REPORTED) for k, n in enumerate(features.FEATURES)], "ord int, feature string, reported boolean")
+    return stats.prevalence(dim, a, features.feature_rows(a, "case_id", "content"))
+
+
+@query()
+def loop_details(t):
+    """Depth and trip-count bucket of loops (lexical)."""
+    x = features.feature_rows(t("artifacts").filter("lower(coalesce(original_filename, 'x.java')) LIKE '%.java'"), "artifact_id", "content").filter("feature = 'loop'")
+    d = x.select("artifact_id", extract.loop_detail(c("detail")).alias("d"))
+    return d.groupBy("d.depth", "d.bucket").agg(F.count("*").alias("loops"), F.count_distinct("artifact_id").alias("files"))
+
+
+@query()
+def packed_evidence(t):
+    """The sources of each issue within 6000 characters."""
+    return evidence.packed_files(t("artifacts"), "issue_id", "original_filename", "content", 6000).select("issue_id", "files", "original", F.length("packed").alias("packed"))
+
+
 # rules
 
 
