@@ -14,7 +14,7 @@ equal in the history and need no second entry.
 Defined results: null texts and texts with fewer tokens than a run match nothing; rows without a
 batch number are left out; batches are taken in ascending order, whatever their numbers; rows of
 one batch are not compared with each other; ``sha256`` is only a hint that may be null or stale,
-so equality is taken from the texts.
+so equality is taken from the texts; rows repeated under one id count once.
 """
 
 from __future__ import annotations
@@ -76,9 +76,9 @@ class History:
         first = batch.groupBy("cls").agg(F.min("id").alias("id"))
         if self.parts:
             first = first.join(self.records().select("cls"), "cls", "left_anti")
-        new = batch.join(first.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "cls", "n", "sig", "bands")
+        new = batch.join(first.select("id"), "id", "left_semi")
         new.select("id", "cls", "n", "sig").write.parquet(at.format("records"))
-        keys = batch.join(self.spark.read.parquet(at.format("records")).select("id"), "id", "left_semi").dropDuplicates(["id"])
+        keys = batch.join(self.spark.read.parquet(at.format("records")).select("id"), "id", "left_semi")
         keys = keys.select(F.explode("bands").alias("key"), "n", "id").withColumn("bucket", self._bucket())
         keys.coalesce(max(1, min(size // 20_000, 200))).write.partitionBy("bucket").parquet(at.format("keys"))
         self.parts += 1
@@ -94,7 +94,7 @@ def candidate_pairs(history: History, sigs: DataFrame, batch_col: str = "batch_n
         if history.parts:
             at = fresh_path(history.spark, "probe")
             heads = batch.groupBy("cls").agg(F.min("id").alias("id"))
-            history.probe(batch.join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"]), at).write.parquet(f"{at}/near")
+            history.probe(batch.join(heads.select("id"), "id", "left_semi"), at).write.parquet(f"{at}/near")
             old = history.records().select(F.col("id").alias("a"), "cls")
             heads.select(F.col("id").alias("b"), "cls").join(old, "cls").select("a", "b").write.parquet(f"{at}/same")
             near.append(f"{at}/near")
@@ -111,16 +111,16 @@ def found_earlier(artifacts: DataFrame, sim: Similarity = Similarity()) -> DataF
     sigs = written(signatures(src, "artifact_id", "content", sim, keep=("batch_no",)), "batches", partition_by=["batch_no"])
     history = History(spark, fresh_path(spark, "history"), sim)
     near, same = candidate_pairs(history, sigs)
-    texts = src.select(F.col("artifact_id").alias("id"), F.col("content").alias("text")).filter("text IS NOT NULL").dropDuplicates(["id"])
+    texts = src.select(F.col("artifact_id").alias("id"), F.col("content").alias("text")).filter("text IS NOT NULL")
     hot = near.filter("b IS NULL").select(F.col("a").alias("id")).distinct()
     pairs = near.filter("b IS NOT NULL")
     if hot.head(1):
         number = sigs.select("id", "batch_no").distinct()
-        wide = prefix_pairs(texts.join(hot, "id", "left_semi"), sim).join(number.withColumnsRenamed({"id": "a", "batch_no": "na"}), "a").join(number.withColumnsRenamed({"id": "b", "batch_no": "nb"}), "b")
+        wide = prefix_pairs(texts.join(hot, "id", "left_semi").dropDuplicates(["id"]), sim).join(number.withColumnsRenamed({"id": "a", "batch_no": "na"}), "a").join(number.withColumnsRenamed({"id": "b", "batch_no": "nb"}), "b")
         turned = F.col("na") > F.col("nb")
         wide = wide.filter("na <> nb").select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
         pairs = pairs.unionByName(wide).distinct()
-    checked = verify(prune(pairs, sigs.select("id", "sig").dropDuplicates(["id"]), sim), texts, sim).select("a", "b")
+    checked = verify(prune(pairs, sigs.select("id", "sig"), sim), texts, sim).select("a", "b")
     best = checked.unionByName(same).groupBy("b").agg(F.min("a").alias("earlier_id"))
     # Each class of a batch was probed once, by its least id; its other ids get the same answer.
     ids = sigs.select("id", "batch_no", "cls").distinct()

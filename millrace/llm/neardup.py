@@ -31,11 +31,11 @@ def similar_representatives(df: DataFrame, id_col: str, text_col: str, sim: Simi
     """(members, pairs): members id, rep; pairs a < b, similarity, of representatives of different sets."""
     sigs = written(signatures(df, id_col, text_col, sim), "signatures")
     members = written(classes(sigs), "members")
-    reps = sigs.join(members.filter("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]) if _repeats(sigs) else sigs.join(members.filter("id = rep").select("id"), "id", "left_semi")
+    reps = sigs.join(members.filter("id = rep").select("id"), "id", "left_semi")
     keys = reps.select("id", "n", F.explode("bands").alias("key"))
     raw = written(bucket_pairs(keys, sim).distinct(), "candidates")
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    pairs = raw.filter("b IS NOT NULL")
+    pairs = raw.filter("a <> b")
     hot = raw.filter("b IS NULL").select(F.col("a").alias("id"))
     if hot.head(1):
         one = texts.join(hot, "id", "left_semi").dropDuplicates(["id"])
@@ -44,10 +44,6 @@ def similar_representatives(df: DataFrame, id_col: str, text_col: str, sim: Simi
     return members, verify(left, texts, sim).dropDuplicates(["a", "b"])
 
 
-def _repeats(sigs: DataFrame) -> bool:
-    return bool(sigs.groupBy("id").count().filter("count > 1").head(1))
-
-
 def pairs_of(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """All pairs of ids (a < b): those of similar classes and those within a class."""
     x, y = members.select(F.col("rep").alias("a"), F.col("id").alias("i")), members.select(F.col("rep").alias("b"), F.col("id").alias("j"))

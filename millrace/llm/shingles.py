@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import written
+
 #: Code tokens: runs of ASCII letters, digits, _ and $; every other character that is not white space.
 CODE_TOKENS = r"[A-Za-z0-9_$]+|[^\sA-Za-z0-9_$]"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -188,8 +190,14 @@ def prune(pairs: DataFrame, sigs: DataFrame, sim: Similarity) -> DataFrame:
     return joined.mapInPandas(test, "a bigint, b bigint")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """Of the pairs (a, b), those whose sets of runs reach the threshold exactly; texts: id, text. Adds similarity."""
+def verify(pairs: DataFrame, texts: DataFrame, sim: Similarity, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Of the pairs (a, b), those whose sets of runs reach the threshold exactly; texts: id, text. Adds similarity.
+
+    Texts that are in no pair are left out before the shuffle if the ids are few enough to broadcast (counted first).
+    """
+    pairs = written(pairs, "pairs")
+    if 2 * pairs.count() <= broadcast_rows:
+        texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
     joined = (
         pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -291,8 +299,6 @@ def prefix_pairs(texts: DataFrame, sim: Similarity) -> DataFrame:
                 s = shingle_hashes(x, sim).view(np.int64)
                 yield pd.DataFrame({"id": i, "n": np.int32(len(s)), "run": s})
 
-    from millrace.session import written
-
     rows = written(texts.select("id", "text").mapInPandas(runs, "id bigint, n int, run bigint"), "runs")
     df = rows.groupBy("run").agg(F.count("*").alias("df"))
     ranked = rows.join(df.filter("df > 1"), "run").select("id", "n", "run", "df")
