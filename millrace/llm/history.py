@@ -23,24 +23,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.shingles import Similarity, bucket_pairs, prefix_pairs, prune, signatures, verify
-from millrace.session import fresh_path, written
+from millrace.session import exists, fresh_path, written
 
 
 class History:
-    """What has been accepted so far, as Parquet below ``path``."""
+    """What has been accepted so far, as Parquet below ``path``; a path that is there already is continued. A part
+    whose writing broke off is not counted and will be written again."""
 
     def __init__(self, spark: SparkSession, path: str, sim: Similarity = Similarity(), buckets: int = 8, broadcast_rows: int = 1_000_000) -> None:
         self.spark, self.path, self.sim, self.buckets, self.broadcast_rows = spark, path, sim, buckets, broadcast_rows
         self.parts = 0
+        while exists(spark, f"{path}/keys/part={self.parts}/_SUCCESS"):  # the keys of a part are written last
+            self.parts += 1
 
     def _bucket(self, key: str = "key") -> F.Column:
         return F.pmod(F.col(key), F.lit(self.buckets)).cast("int")
 
     def records(self) -> DataFrame:
-        return self.spark.read.schema("id bigint, cls binary, n int, sig binary, part int").parquet(f"{self.path}/records").drop("part")
+        return self.spark.read.schema("id bigint, cls binary, n int, sig binary, part int").parquet(f"{self.path}/records").filter(F.col("part") < self.parts).drop("part")
 
     def keys(self) -> DataFrame:
-        return self.spark.read.schema("key bigint, n int, id bigint, part int, bucket int").parquet(f"{self.path}/keys").drop("part")
+        return self.spark.read.schema("key bigint, n int, id bigint, part int, bucket int").parquet(f"{self.path}/keys").filter(F.col("part") < self.parts).drop("part")
 
     def matching(self, mine: DataFrame, at: str) -> DataFrame:
         """Rows of the history whose key is among ``mine`` (key, n, id), written below ``at``; the history is only scanned."""
@@ -77,10 +80,10 @@ class History:
         if self.parts:
             first = first.join(self.records().select("cls"), "cls", "left_anti")
         new = batch.join(first.select("id"), "id", "left_semi")
-        new.select("id", "cls", "n", "sig").write.parquet(at.format("records"))
+        new.select("id", "cls", "n", "sig").write.mode("overwrite").parquet(at.format("records"))
         keys = batch.join(self.spark.read.parquet(at.format("records")).select("id"), "id", "left_semi")
         keys = keys.select(F.explode("bands").alias("key"), "n", "id").withColumn("bucket", self._bucket())
-        keys.coalesce(max(1, min(size // 20_000, 200))).write.partitionBy("bucket").parquet(at.format("keys"))
+        keys.coalesce(max(1, min(size // 10_000, 2000))).write.mode("overwrite").partitionBy("bucket").parquet(at.format("keys"))
         self.parts += 1
 
 

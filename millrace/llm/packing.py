@@ -6,9 +6,10 @@ come off its front, the rest is an item like any other. Items are spread evenly
 groups of about ``group_windows`` containers. A group is packed in blocks of ``block`` windows:
 Karmarkar-Karp multiway differencing joins the partial partitions with the largest imbalance so
 that their differences cancel, which gives nearly equal windows; a window beyond the capacity
-gives its smallest items back, windows that are full enough are closed, and whatever is in the
-others goes into the next block together with new items. The last block of a group gets one more
-window whenever the capacity is exceeded.
+gives its smallest items back, and windows that are full enough are closed. Equal windows just
+below the capacity are no use, so what differencing leaves there is filled once more by best fit;
+again full ones are closed, and the rest goes into the next block together with new items. The
+last block of a group gets one more window whenever the capacity is exceeded.
 
 Defined results: null and empty texts (no tokens) are in no container; equal texts are separate
 items; no item is divided unless it alone exceeds the container, and no container is overfull.
@@ -118,43 +119,66 @@ def _fill(windows: list[list[tuple]], items: list[tuple], capacity: int) -> list
     return rest
 
 
-def pack(items: Iterator[tuple], capacity: int, block: int = 24, full: float = 0.995) -> Iterator[list[tuple]]:
+def _best_fit(items: list[tuple], capacity: int) -> list[list[tuple]]:
+    """Best fit, largest first, into as many new windows as it takes."""
+    windows: list[list[tuple]] = []
+    room: list[tuple[int, int]] = []
+    for i in sorted(items, reverse=True):
+        at = bisect_right(room, (i[0], -1))
+        if at == len(room):
+            windows.append([i])
+            insort(room, (capacity - i[0], len(windows) - 1))
+        else:
+            r, k = room.pop(at)
+            windows[k].append(i)
+            insort(room, (r - i[0], k))
+    return windows
+
+
+def pack(items: Iterator[tuple], capacity: int, block: int = 48, full: float = 0.9995) -> Iterator[list[tuple]]:
     """Windows of items (size, ...) with no sum beyond the capacity."""
     pool: list[tuple] = []
     total = 0
+    fill = lambda w: sum(i[0] for i in w)
+
+    def even(m: int) -> tuple[list[list[tuple]], list[tuple]]:
+        windows = [[pool[k] for k in w] for w in differencing([i[0] for i in pool], m)]
+        return windows, _fill(windows, _settle(windows, capacity), capacity)
 
-    def round_(last: bool) -> Iterator[list[tuple]]:
+    def round_() -> Iterator[list[tuple]]:
         nonlocal pool, total
-        m = max(1, -(-total // capacity) if last else int(total // capacity))
-        while True:
-            windows = [[pool[k] for k in w] for w in differencing([i[0] for i in pool], m)]
-            rest = _fill(windows, _settle(windows, capacity), capacity)
-            if not last:
-                closed = [w for w in windows if sum(i[0] for i in w) >= full * capacity]
-                if len(closed) < m // 8:  # items too large to even out: close the best eighth at least
-                    windows.sort(key=lambda w: -sum(i[0] for i in w))
-                    closed = windows[: max(1, m // 8)]
-                shut = {id(w) for w in closed}
-                pool = rest + [i for w in windows if id(w) not in shut for i in w]
-                total = sum(i[0] for i in pool)
-                yield from closed
-                return
+        m = max(1, int(total // capacity))
+        windows, rest = even(m)
+        closed = [w for w in windows if fill(w) >= full * capacity]
+        rest += [i for w in windows if fill(w) < full * capacity for i in w]
+        windows = sorted(_best_fit(rest, capacity), key=fill, reverse=True)
+        n = sum(fill(w) >= full * capacity for w in windows)
+        n = max(n, min(len(windows), m // 12 + 1 - len(closed)))  # go on even if nothing fits well
+        pool = [i for w in windows[n:] for i in w]
+        total = fill(pool)
+        yield from closed
+        yield from windows[:n]
+
+    def last() -> Iterator[list[tuple]]:
+        m = max(1, -(-total // capacity))
+        other = _best_fit(pool, capacity)
+        while m < len(other):
+            windows, rest = even(m)
             if not rest:
-                pool, total = [], 0
-                yield from (w for w in windows if w)
-                return
-            m += max(1, sum(i[0] for i in rest) // capacity)
+                return iter([w for w in windows if w])
+            m += max(1, fill(rest) // capacity)
+        return iter(other)
 
     for i in items:
         pool.append(i)
         total += i[0]
-        if total > block * capacity * 1.5:
-            yield from round_(False)
+        while total > block * capacity * 1.5:
+            yield from round_()
     if pool:
-        yield from round_(True)
+        yield from last()
 
 
-def containers(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABULARY, group_windows: int = 2048, block: int = 24) -> DataFrame:
+def containers(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABULARY, group_windows: int = 2048, block: int = 48) -> DataFrame:
     """name, container_id, doc_id, piece, first_token, n_tokens: where every text, or piece of one, is put."""
     counts = written(token_counts(documents, vocabulary), "tokens")
     caps = [(r["name"], int(r["n_tokens"])) for r in capacities.filter("name IS NOT NULL AND n_tokens > 0").limit(1000).collect()]
