@@ -107,8 +107,9 @@ def distinct_behaviours(sigs: DataFrame, order: str = "case_id") -> DataFrame:
     return sigs.groupBy("signature").agg(F.min(order).alias(order), F.count("*").alias("cases"))
 
 
-def first_difference(outputs: DataFrame, case: str = "case_id", id_col: str = "id", text: str = "stdout") -> DataFrame:
-    """case, line (from 0), variants: the first line at which the outputs of a case differ; one that ended is ``<END_OF_OUTPUT>``."""
+def first_difference(outputs: DataFrame, case: str = "case_id", id_col: str = "id", text: str = "stdout", around: int = 2) -> DataFrame:
+    """case, line (from 0), variants: the first line at which the outputs of a case differ; one that ended is
+    ``<END_OF_OUTPUT>``. A variant has its id, the line, and the lines around it."""
     lines = outputs.select(case, id_col, F.posexplode(F.split(text, r"\R")).alias("line", "content"))
     n = outputs.groupBy(case).agg(F.count_distinct(id_col).alias("ids"))
     by = lines.groupBy(case, "line").agg(F.count_distinct(id_col).alias("have"), F.count_distinct("content").alias("kinds")).join(n, case)
@@ -116,7 +117,7 @@ def first_difference(outputs: DataFrame, case: str = "case_id", id_col: str = "i
     first = differs.groupBy(case).agg(F.min("line").alias("line"))
     wide = first.join(outputs.select(case, id_col, F.split(text, r"\R").alias("ls")), case)
     shown = F.coalesce(F.get("ls", F.col("line")), F.lit("<END_OF_OUTPUT>"))
-    return wide.groupBy(case, "line").agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), shown.alias("content")))).alias("variants"))
+    return wide.groupBy(case, "line").agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), shown.alias("content"), F.slice("ls", F.greatest(F.col("line") + 1 - around, F.lit(1)), F.lit(2 * around + 1)).alias("around")))).alias("variants"))
 
 
 def against_first(df: DataFrame, case: str, order: str, value: str) -> DataFrame:

@@ -198,3 +198,15 @@ def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in the given order; Spark keeps one candidate a key in each task before the shuffle."""
     w = W.partitionBy(key).orderBy(*order)
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def matched_responses(batch: DataFrame, responses: DataFrame, key: str = "ID", order: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """(answered, retry): the items of a batch with the last of their responses, and those without any."""
+    others = [c for c in responses.columns if c not in (key, order)]
+    last = responses.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), order).alias("response"))
+    return batch.join(last, key), batch.join(last, key, "left_anti")
+
+
+def uncovered(fixes: DataFrame, covered: DataFrame, keys: list[str]) -> DataFrame:
+    """Fixes whose keys another source does not cover already; nulls match nothing."""
+    return fixes.join(covered.select(*keys).distinct(), keys, "left_anti")

@@ -122,3 +122,17 @@ def generations(df: DataFrame, generation: str, top: int = 10) -> DataFrame:
 def size_report(df: DataFrame, chars: Column, batch: Column) -> DataFrame:
     """Items, characters, average, rough tokens and average batch size in one row."""
     return df.agg(F.count("*").alias("items"), F.sum(chars).alias("chars"), F.avg(chars).alias("average"), F.floor(F.sum(chars) / 4).alias("rough_tokens"), (F.count("*") / F.count_distinct(batch)).alias("per_batch"))
+
+
+def crosstab(left: DataFrame, right: DataFrame, case: str, a: str, b: str) -> DataFrame:
+    """a, b, cases: in how many cases a value of the left table meets one of the right."""
+    l, r = left.select(case, a).distinct(), right.select(case, b).distinct()
+    return l.join(r, case).groupBy(a, b).agg(F.count("*").alias("cases"))
+
+
+def feature_lines(occurrences: DataFrame, case: str = "case_id", most: int = 10) -> DataFrame:
+    """case, feature, lines: the first ``most`` lines with a feature in order, each once (a limit of the export)."""
+    once = occurrences.groupBy(case, "feature", "line").agg(F.min("seq").alias("seq"))
+    first = once.withColumn("__r", F.row_number().over(W.partitionBy(case, "feature").orderBy("line"))).filter(F.col("__r") <= most)
+    ordered = F.array_sort(F.collect_list("line"))
+    return first.groupBy(case, "feature").agg(F.array_join(F.transform(ordered, lambda x: x.cast("string")), ",").alias("lines"))

@@ -38,9 +38,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process; call it when no result that reads them is needed any more."""
+    n = 0
+    while _made:
+        p, fs = _file_system(spark, _made.pop())
+        n += bool(fs.delete(p, True))
+    return n
 
 
 def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:

@@ -68,3 +68,11 @@ def coverage(counters: DataFrame, pattern: str, component: str) -> DataFrame:
     """component, lines, hit: merged line counters of the paths that match; component is the first group of the pattern."""
     merged = counters.filter(F.col("path").rlike(pattern)).groupBy("path", "line").agg(F.sum("hits").alias("hits"))
     return merged.groupBy(F.regexp_extract("path", component, 1).alias("component")).agg(F.count("*").alias("lines"), F.count_if(F.col("hits") > 0).alias("hit"))
+
+
+def seeds(files: DataFrame) -> DataFrame:
+    """One row for each source with a main method: folder, file, package, primary type, qualified name."""
+    from millrace.functions import code, extract
+
+    info = sources(files).withColumn("i", extract.source_info(code.masked(F.col("text")), F.col("file")))
+    return info.filter("i.has_main").select("folder", "file", "i.package", "i.primary", extract.qualified_main(F.col("i")).alias("main_class"))

@@ -88,3 +88,11 @@ def test_first_difference(spark):
     df = spark.createDataFrame([("c", "x", "a\nb\nc"), ("c", "y", "a\nb"), ("d", "x", "a"), ("d", "y", "a")], "case_id string, id string, stdout string")
     r = compare.first_difference(df).collect()
     assert len(r) == 1 and r[0]["line"] == 2 and [v["content"] for v in r[0]["variants"]] == ["c", "<END_OF_OUTPUT>"]
+
+
+def test_responses(spark):
+    b = spark.createDataFrame([("a",), ("b",)], "ID string")
+    r = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), (None, 3, "x"), ("z", 4, "y")], "ID string, pos int, v string")
+    done, retry = rules.matched_responses(b, r)
+    assert [(x["ID"], x["response"]["v"]) for x in done.collect()] == [("a", "new")] and [x["ID"] for x in retry.collect()] == ["b"]
+    assert [x["ID"] for x in rules.uncovered(b, r, ["ID"]).collect()] == ["b"]

@@ -138,3 +138,11 @@ def test_state(spark):
     assert {r["k"]: r["s"] for r in timeline.upserted(a, b, "k", "u", "s").collect()} == {"k": 3, "l": 9, "m": 4}
     d = spark.range(1).select(timeline.decoded_decision(timeline.encoded_decision(F.lit(False), F.lit("R1"), F.lit("a|b"), F.lit(None).cast("string"))).alias("d")).head(1)[0]["d"]
     assert tuple(d) == (False, "R1", "a|b", "")
+
+
+def test_crosstab_and_lines(spark):
+    a = spark.createDataFrame([("c", "f"), ("c", "f"), ("d", "f")], "case_id string, f string")
+    b = spark.createDataFrame([("c", "p"), ("d", "q"), ("c", "q")], "case_id string, p string")
+    assert {tuple(r) for r in stats.crosstab(a, b, "case_id", "f", "p").collect()} == {("f", "p", 1), ("f", "q", 2)}
+    occ = spark.createDataFrame([("c", k, "f", (7 * k) % 12) for k in range(24)], "case_id string, seq int, feature string, line int")
+    assert stats.feature_lines(occ, most=3).head(1)[0]["lines"] == "0,1,2"

@@ -74,6 +74,7 @@ def test_scans(spark, tmp_path):
     assert {(r["folder"], r["file"]) for r in scans.sources(files).collect()} == {("A", "A.java"), ("A", "B.java"), ("B", "M1.java"), ("B", "M2.java")}
     chosen, rejected = scans.main_file(scans.sources(files).withColumn("has_main", F.col("text").contains("main")))
     assert [(r["folder"], r["file"]) for r in chosen.collect()] == [("A", "A.java")] and [r["folder"] for r in rejected.collect()] == ["B"]
+    assert [(r["file"], r["main_class"]) for r in scans.seeds(files).collect()] == [("A.java", "A")]
     meta = scans.canonical_metadata(files, r"_llm_")
     assert {(r["folder"], r["file"]) for r in meta.collect()} == {("A", "A.json"), ("B", "Bz.json")}
     assert {r["folder"] for r in scans.valid_cases(files, meta).collect()} == {"A", "B"}
