@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import written
+
 _TERM = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -68,7 +70,9 @@ def weighted_suffixes(df: DataFrame, value_fields: tuple[str, ...], term_fields:
 
 def ngram_counts(df: DataFrame, value_fields: tuple[str, ...] = (), term_fields: tuple[str, ...] = (), max_n: int = 3) -> DataFrame:
     """field, ngram (array), n, occurrences, records of every n-gram of up to max_n terms."""
-    array = weighted_suffixes(df, value_fields, term_fields, max_n).repartitionByRange("field", "suffix").sortWithinPartitions("field", "suffix")
+    # Written first: the range partitioning below reads its input twice.
+    suffixes = written(weighted_suffixes(df, value_fields, term_fields, max_n), "suffixes")
+    array = suffixes.repartitionByRange("field", "suffix").sortWithinPartitions("field", "suffix")
 
     def intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now: tuple[str, ...] = ()
