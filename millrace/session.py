@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    files = sorted(root.rglob("*.py"))
+    digest = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:16]
+    shared = shared_dir(spark)
+    folder = Path(shared.removeprefix("file:")) if shared.startswith(("file:/", "/")) else Path(tempfile.mkdtemp(prefix="millrace-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    at = folder / f"millrace-{digest}-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in files:
+            z.write(f, f"millrace/{f.relative_to(root)}")
+    sc.addPyFile(str(at))
+    sc._millrace_shipped = True
+
+
 _made: list[str] = []
 
 

@@ -17,3 +17,16 @@ def test_core_stands_without_llm(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "p6_found" in entry.queries() and "p5_found" not in entry.queries()
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_executors_get_the_package(tmp_path):
+    """A session started elsewhere, whose workers cannot see this folder."""
+    import os
+    import subprocess
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = f"import sys; sys.path.insert(0, {str(root)!r}); import __spark_entry__ as e; from millrace.session import local_session; print('ROWS', e.queries()['p6_found'](local_session(2), '/root/testdata/sf0.001').count())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
