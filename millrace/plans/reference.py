@@ -62,7 +62,7 @@ def _involved(t) -> DataFrame:
 
 @query(
     f"""WITH pairs AS (SELECT case_id, {_LABEL.format("arg_min(Type_Related, response_no)")} AS screen, {_LABEL.format("arg_max(Type_Related, response_no)")} AS "analyze" FROM (SELECT case_id, response_no, coalesce(Type_Related, '') AS Type_Related FROM analyze_results) GROUP BY case_id)
-SELECT screen, "analyze", count(*) AS count, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM pairs), 3) AS percent FROM pairs GROUP BY 1, 2"""
+SELECT screen, "analyze", count(*) AS count, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM pairs), 3) AS percent FROM pairs GROUP BY 1, 2"""
 )
 def label_transition(t):
     x = t("analyze_results").withColumn("x", F.coalesce("Type_Related", F.lit("")))
@@ -70,12 +70,12 @@ def label_transition(t):
     return stats.transitions(pairs, text.label(c("a")), text.label(c("b")))
 
 
-@query(f"SELECT {_TIER} AS tier, count(*) AS count, min(response_no) AS first_seen, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM analyze_results), 3) AS percent FROM analyze_results GROUP BY 1")
+@query(f"SELECT {_TIER} AS tier, count(*) AS count, min(response_no) AS first_seen, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM analyze_results), 3) AS percent FROM analyze_results GROUP BY 1")
 def tier_distribution(t):
     return stats.distribution(t("analyze_results"), text.tier(c("Compiler_Tier")), "response_no", name="tier")
 
 
-@query(f"WITH {_PASS} SELECT pass, count(*) AS count, min(response_no) AS first_seen, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM analyze_results), 3) AS percent FROM named GROUP BY 1")
+@query(f"WITH {_PASS} SELECT pass, count(*) AS count, min(response_no) AS first_seen, round_even(100.0::DOUBLE * count(*) / (SELECT count(*) FROM analyze_results), 3) AS percent FROM named GROUP BY 1")
 def primary_distribution(t):
     return stats.distribution(_named(t), c("pass"), "response_no", name="pass")
 
