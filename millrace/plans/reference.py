@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import code, evidence, extract, features, text
 from millrace.operators import compare, dedup, graph, rank, rules, stats, timeline
-from millrace.sources.tables import table
-from millrace.streaming import logs
+from millrace.session import fresh_path
+from millrace.sources.tables import streamed, table
+from millrace.streaming import logs, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -602,6 +603,36 @@ def tumbling_window_stats(t):
     return _stats(t)
 
 
+def stream_window_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The same windows by Structured Streaming over the file source, to the end of what is there (available now)."""
+    path, held = f"{sf}/events.parquet", fresh_path(spark, "stream")
+    schema = spark.read.parquet(path).schema
+    cpu = F.when(c("value") > 200, -1.0).otherwise(c("value") / 200)
+    samples = spark.readStream.schema(schema).parquet(streamed(path)).select(c("ts").cast("timestamp").alias("ts"), (c("event_type") != "error").alias("productive"), cpu.alias("cpu"), F.round("value").cast("bigint").alias("wait_ms"))
+    x = windows.stream_statistics(samples, "ts", width="6 hours").withColumn("cpu", F.round("cpu", 6)).withColumn("throughput", F.round("throughput", 9)).withColumn("start", c("start").cast("timestamp_ntz"))
+    q = x.writeStream.outputMode("complete").option("checkpointLocation", f"{held}/state").trigger(availableNow=True).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{held}/out")).start()
+    q.awaitTermination()
+    return spark.read.schema(x.schema).parquet(f"{held}/out")
+
+
+QUERIES["stream_window_stats"] = stream_window_stats
+ORACLES["stream_window_stats"] = _WINDOWS + "SELECT * FROM w"
+
+
+def stream_log_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Log groups with the open context as state, by Structured Streaming over the file source."""
+    path, held = f"{sf}/documents.parquet", fresh_path(spark, "stream")
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(streamed(path)).filter("text IS NOT NULL")
+    lines = docs.select(c("doc_id").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    grouped = logs.stream_grouped_lines(lines)
+    q = grouped.writeStream.format("parquet").option("checkpointLocation", f"{held}/state").option("path", f"{held}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return logs.group_report(spark.read.schema(grouped.schema).parquet(f"{held}/out"))
+
+
+QUERIES["stream_log_groups"] = stream_log_groups
+
+
 @query(_WINDOWS + """SELECT w.*, lag(throughput) OVER o AS before, CASE WHEN lag(throughput) OVER o IS NULL THEN 'first' WHEN cpu >= 0 AND cpu < 0.85 AND wait_ms <= greatest(100, round(lag(wait_ms) OVER o * 1.2)) AND throughput > lag(throughput) OVER o * 1.03 THEN 'raise'
  WHEN cpu >= 0.95 OR wait_ms > 2 * greatest(100, round(lag(wait_ms) OVER o * 1.2)) OR throughput < lag(throughput) OVER o * 0.97 THEN 'lower' ELSE 'hold' END AS advice FROM w WINDOW o AS (ORDER BY start)""")
 def window_vs_previous(t):
@@ -747,3 +778,6 @@ def ordered_distinct(t):
 def distinct_capped(t):
     x = t("issues").filter("status IS NOT NULL").withColumn("status", F.lower(F.trim("status")))
     return dedup.distinct_capped(x.select("repository", "status", "crawl_seq"), "repository", ["status"], "crawl_seq", 2)
+
+
+ORACLES["stream_log_groups"] = ORACLES["log_groups"]

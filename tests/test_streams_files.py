@@ -105,3 +105,18 @@ def test_sinks(spark, tmp_path):
     tex = sinks.taxonomy_latex(spark.createDataFrame([("a_b", "c & d", 3)], "category string, pass string, count int")).head(1)[0][0]
     assert tex == r"a\_b & c \& d & 3 \\"
     assert {r["label"]: r["cases"] for r in sinks.export_manifest(df.withColumn("l", F.lit("Yes")), "l").collect()} == {"Yes": 2}
+
+
+def test_case_tree_source(spark, tmp_path):
+    from millrace.sources import case_tree
+
+    for k in range(7):
+        (tmp_path / f"c{k}").mkdir()
+        (tmp_path / f"c{k}" / "A.java").write_text(f"class A{k} {{ }}")
+        (tmp_path / f"c{k}" / "x.json").write_text("{}")
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / ".hidden" / "B.java").write_text("x")
+    case_tree.register(spark)
+    df = spark.read.format("case_tree").option("suffix", ".java").option("folders_per_task", 3).load(str(tmp_path))
+    assert {(r["folder"], r["file"], r["text"]) for r in df.collect()} == {(f"c{k}", "A.java", f"class A{k} {{ }}") for k in range(7)}
+    assert df.rdd.getNumPartitions() == 3 and df.filter("error IS NOT NULL").count() == 0
