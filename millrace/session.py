@@ -33,11 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else None
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.sparkContext.setCheckpointDir(at)
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not held.isDefined():
+            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='millrace-')}")
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = held.get()
     return at
 
 

@@ -26,7 +26,8 @@ def test_executors_get_the_package(tmp_path):
     from pathlib import Path
 
     root = Path(__file__).resolve().parent.parent
-    code = f"import sys; sys.path.insert(0, {str(root)!r}); import __spark_entry__ as e; from millrace.session import local_session; print('ROWS', e.queries()['p6_found'](local_session(2), '/root/testdata/sf0.001').count())"
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = f"import sys; sys.path.insert(0, {str(root)!r}); import __spark_entry__ as e; from millrace.session import local_session; s = local_session(2); print('ROWS', e.queries()['p6_found'](s, '/root/testdata/sf0.001').count(), e.queries()['components'](s, '/root/testdata/sf0.001').count())"
+    # No configuration at all: the folder for intermediate tables is unset as well.
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_CONF_DIR": str(tmp_path)}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS" in out.stdout, out.stderr[-2000:]
