@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from millrace.llm.shingles import Similarity, bucket_pairs, prefix_pairs, prune, signatures, verify
 from millrace.session import exists, fresh_path, written
@@ -45,10 +46,14 @@ class History:
     def keys(self) -> DataFrame:
         return self.spark.read.schema("key bigint, n int, id bigint, part int, bucket int").parquet(f"{self.path}/keys").filter(F.col("part") < self.parts).drop("part")
 
-    def matching(self, mine: DataFrame, at: str) -> DataFrame:
-        """Rows of the history whose key is among ``mine`` (key, n, id), written below ``at``; the history is only scanned."""
+    def matching(self, mine: DataFrame, at: str, most: int) -> DataFrame:
+        """Rows of the history whose key is among ``mine`` (key, n, id; at most ``most`` rows), written below ``at``; the
+        history is only scanned."""
         wanted = mine.select("key", self._bucket().alias("bucket"))
-        sizes = {r["bucket"]: r["count"] for r in wanted.groupBy("bucket").count().collect()}  # one row a bucket
+        if most <= self.broadcast_rows:
+            sizes = dict.fromkeys(range(self.buckets), most // self.buckets)
+        else:
+            sizes = {r["bucket"]: r["count"] for r in wanted.groupBy("bucket").count().collect()}  # one row a bucket
         rounds: list[list[int]] = []
         held = 0
         for k in sorted(sizes):
@@ -58,16 +63,17 @@ class History:
             rounds[-1].append(k)
             held += sizes[k]
         for part in rounds:
-            old = self.keys().filter(F.col("bucket").isin(part))
-            some = wanted.filter(F.col("bucket").isin(part)).select("key")
+            here = F.col("bucket").isin(part) if len(part) < self.buckets else F.lit(True)
+            old, some = self.keys().filter(here), wanted.filter(here).select("key")
             small = sum(sizes[k] for k in part) <= self.broadcast_rows
             old.join(F.broadcast(some) if small else some.hint("shuffle_hash"), "key", "left_semi").select("key", "n", "id").write.mode("append").parquet(at)
         return self.spark.read.schema("key bigint, n int, id bigint").parquet(at) if rounds else self.spark.createDataFrame([], "key bigint, n int, id bigint")
 
-    def probe(self, batch: DataFrame, at: str) -> DataFrame:
-        """(a, b): ids a of the history and b of the batch that share a key and fit in size; (id, null): members of hot keys."""
+    def probe(self, batch: DataFrame, at: str, size: int) -> DataFrame:
+        """(a, b): ids a of the history and b of the batch (of at most ``size`` rows) that share a key and fit in size;
+        (id, null): members of hot keys."""
         mine = batch.select(F.explode("bands").alias("key"), "n", "id")
-        old = self.matching(mine, f"{at}/matching")
+        old = self.matching(mine, f"{at}/matching", size * self.sim.bands)
         few = old.select("key").distinct()
         met = mine.join(F.broadcast(few) if old.count() <= self.broadcast_rows else few, "key", "left_semi")
         rows = old.withColumn("side", F.lit(0)).unionByName(met.select("key", "n", "id").withColumn("side", F.lit(1)))
@@ -87,24 +93,26 @@ class History:
         self.parts += 1
 
 
-def candidate_pairs(history: History, sigs: DataFrame, batch_col: str = "batch_no") -> tuple[DataFrame, DataFrame]:
-    """(near, same) over all batches of ``sigs`` (written, partitioned by batch): near a, b by probing, with (id, null) for
-    members of hot keys; same a, b by class."""
-    batches = [r for r in sigs.groupBy(batch_col).count().orderBy(batch_col).collect()]
-    near, same = [], []
-    for number, size in batches:
+def candidate_pairs(history: History, sigs: DataFrame, batch_col: str = "batch_no") -> DataFrame:
+    """a, b over all batches of ``sigs`` (written, partitioned by batch): ids of the history and of a later batch that share
+    a key; (id, null): members of hot keys. Each class of a batch is probed once, by its least id."""
+    paths = []
+    for number, size in sigs.groupBy(batch_col).count().orderBy(batch_col).collect():  # one row a batch
         batch = sigs.filter(F.col(batch_col) == number)
         if history.parts:
             at = fresh_path(history.spark, "probe")
             heads = batch.groupBy("cls").agg(F.min("id").alias("id"))
-            history.probe(batch.join(heads.select("id"), "id", "left_semi"), at).write.parquet(f"{at}/near")
-            old = history.records().select(F.col("id").alias("a"), "cls")
-            heads.select(F.col("id").alias("b"), "cls").join(old, "cls").select("a", "b").write.parquet(f"{at}/same")
-            near.append(f"{at}/near")
-            same.append(f"{at}/same")
+            history.probe(batch.join(heads.select("id"), "id", "left_semi"), at, size).write.parquet(f"{at}/near")
+            paths.append(f"{at}/near")
         history.append(batch, size)
-    read = lambda paths: history.spark.read.schema("a bigint, b bigint").parquet(*paths) if paths else history.spark.createDataFrame([], "a bigint, b bigint")
-    return read(near), read(same)
+    spark = history.spark
+    return spark.read.schema("a bigint, b bigint").parquet(*paths) if paths else spark.createDataFrame([], "a bigint, b bigint")
+
+
+def earlier_copies(heads: DataFrame, batch_col: str = "batch_no") -> DataFrame:
+    """a, b: the least id of an earlier batch whose set of runs is that of b; heads: cls, batch, b (one row a class and batch)."""
+    before = W.partitionBy("cls").orderBy(batch_col).rowsBetween(W.unboundedPreceding, -1)
+    return heads.select(F.min("b").over(before).alias("a"), "b").filter("a IS NOT NULL")
 
 
 def found_earlier(artifacts: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
@@ -113,7 +121,7 @@ def found_earlier(artifacts: DataFrame, sim: Similarity = Similarity()) -> DataF
     src = artifacts.filter("batch_no IS NOT NULL")
     sigs = written(signatures(src, "artifact_id", "content", sim, keep=("batch_no",)), "batches", partition_by=["batch_no"])
     history = History(spark, fresh_path(spark, "history"), sim)
-    near, same = candidate_pairs(history, sigs)
+    near = candidate_pairs(history, sigs)
     texts = src.select(F.col("artifact_id").alias("id"), F.col("content").alias("text")).filter("text IS NOT NULL")
     hot = near.filter("b IS NULL").select(F.col("a").alias("id")).distinct()
     pairs = near.filter("b IS NOT NULL")
@@ -124,8 +132,8 @@ def found_earlier(artifacts: DataFrame, sim: Similarity = Similarity()) -> DataF
         wide = wide.filter("na <> nb").select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
         pairs = pairs.unionByName(wide).distinct()
     checked = verify(prune(pairs, sigs.select("id", "sig"), sim), texts, sim).select("a", "b")
-    best = checked.unionByName(same).groupBy("b").agg(F.min("a").alias("earlier_id"))
     # Each class of a batch was probed once, by its least id; its other ids get the same answer.
     ids = sigs.select("id", "batch_no", "cls").distinct()
     heads = ids.groupBy("batch_no", "cls").agg(F.min("id").alias("b"))
+    best = checked.unionByName(earlier_copies(heads)).groupBy("b").agg(F.min("a").alias("earlier_id"))
     return best.join(heads, "b").join(ids, ["batch_no", "cls"]).select("earlier_id", F.col("id").alias("artifact_id"))
