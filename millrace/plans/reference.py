@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import code, evidence, extract, features, text
 from millrace.operators import compare, dedup, graph, rank, rules, stats, timeline
 from millrace.session import fresh_path
+from millrace.sources.scans import HELPER_FILES
 from millrace.sources.tables import streamed, table
 from millrace.streaming import logs, windows
 
@@ -343,12 +344,12 @@ def rule_counts(t):
     return rules.first_rule(t("documents"), c("text")).filter("rule IS NOT NULL").groupBy("reason", "rule").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH hit AS (SELECT issue_id, pos, artifact_id, {_RULE.replace("(text,", "(content,")} AS rule FROM artifacts WHERE coalesce(original_filename, '') <> 'FuzzerUtils.java' AND issue_id IS NOT NULL),
+@query(f"""WITH hit AS (SELECT issue_id, pos, artifact_id, {_RULE.replace("(text,", "(content,")} AS rule FROM artifacts WHERE coalesce(original_filename, '') <> '{HELPER_FILES[0]}' AND issue_id IS NOT NULL),
 best AS (SELECT issue_id, arg_min(rule, (pos, artifact_id)) AS rule FROM hit WHERE rule IS NOT NULL GROUP BY 1)
 SELECT i.issue_id, b.rule, {_WHY.replace("CASE rule", "CASE b.rule")} AS reason FROM (SELECT DISTINCT issue_id FROM artifacts WHERE issue_id IS NOT NULL) i LEFT JOIN best b ON i.issue_id = b.issue_id""")
 def unit_first_match(t):
     files = t("artifacts").filter("issue_id IS NOT NULL").withColumn("at", F.struct("pos", "artifact_id"))
-    return rules.first_rule_of_unit(files, "issue_id", "at", c("content"), F.coalesce("original_filename", F.lit("")) == "FuzzerUtils.java")
+    return rules.first_rule_of_unit(files, "issue_id", "at", c("content"), F.coalesce("original_filename", F.lit("")).isin(*HELPER_FILES))
 
 
 _CODE = "CASE WHEN event_type = 'click' THEN 0 WHEN value > 200 THEN -124 WHEN value > 150 THEN 139 WHEN value > 120 THEN 130 WHEN value > 100 THEN -999 WHEN value > 90 THEN 255 WHEN value > 80 THEN 129 WHEN value > 70 THEN -5 WHEN value > 60 THEN 1 ELSE 0 END"

@@ -19,7 +19,11 @@ def stamps(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def sources(files: DataFrame, excluded: tuple[str, ...] = ("FuzzerUtils.java",)) -> DataFrame:
+# Fixed value: helper files that are no sources of their own.
+HELPER_FILES = ("FuzzerUtils.java",)
+
+
+def sources(files: DataFrame, excluded: tuple[str, ...] = HELPER_FILES) -> DataFrame:
     """Source files that are not helpers."""
     return files.filter(F.col("file").endswith(".java") & ~F.col("file").isin(*excluded))
 
