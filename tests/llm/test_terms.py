@@ -26,6 +26,22 @@ def test_ngrams_match_brute_force(spark):
     assert got == brute(texts, 3)
 
 
+def test_ngrams_of_every_length(spark):
+    texts = ["a b c d e f g", "b c d e f g", "a b a b a b a b", None, "x", "a b c d e f g", " ".join(f"w{k % 9}" for k in range(30))]
+    got = terms.ngram_counts(frame(spark, [(None, t) for t in texts]), (), ("t",)).collect()
+    assert {tuple(r["ngram"]): (r["occurrences"], r["records"]) for r in got} == brute(texts, 30) and max(r["n"] for r in got) == 30
+
+
+def test_query_counts_every_length(spark):
+    from millrace.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    values = [r[0] for r in registry.table(spark, sf, "analyze_results").select("Type_Mechanism").collect()]
+    want = brute(values, max(len(terms._TERM.findall(v or "")) for v in values))
+    got = {(r["ngram"], r["n"]): (r["occurrences"], r["records"]) for r in registry.p4_ngrams(spark, sf).collect()}
+    assert got == {(" ".join(g), len(g)): v for g, v in want.items()} and max(n for _, n in got) > 3
+
+
 def test_report_and_marks(spark):
     rows = [(" C1 ", "the one"), ("c1", "the the"), ("C2", "the two"), (None, None), ("", " "), ("  ", "odd"), ("x", "the")] + [("c1", "the")] * 3
     got = {(r["field"], r["term"]): (r["occurrences"], r["records"], r["mark"]) for r in terms.term_report(frame(spark, rows), ("v",), ("t",)).collect()}
