@@ -90,7 +90,7 @@ def features_of(text: str | None, table: WordTable) -> list[float] | None:
     add, sub, formal = kind.count(1), kind.count(2), kind.count(3)
     commas = text.count(",") + text.count(";")
     c = Counter(ws)
-    pieces = [len(set(ws[a : a + 50])) / len(ws[a : a + 50]) for a in range(0, n, 50) if a == 0 or n - a >= 25]
+    distinct = sum(len(set(ws[a : a + 50])) for a in range(0, n, 50))  # blocks of 50 words, each by its length
     return [
         math.log1p(n),
         sum(lens) / n,
@@ -105,7 +105,7 @@ def features_of(text: str | None, table: WordTable) -> list[float] | None:
         sub / k,
         formal / k,
         (sub + formal + commas) / (k + add),
-        sum(pieces) / len(pieces),
+        distinct / n,
         list(c.values()).count(1) / n,
         sum(rare) / n,
         _quantile(rare, 0.75),

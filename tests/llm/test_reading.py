@@ -43,6 +43,13 @@ def test_profile_no_ratings_and_empty(tables):
     assert reading.reading_levels(d.limit(0), labels).count() == 0
 
 
+def test_diversity_counts_the_last_words():
+    at = reading.FEATURES.index("diversity")
+    table = reading.WordTable({}, 1.0)
+    same, new = ("word " * 70).strip(), "word " * 50 + " ".join("x" + chr(97 + k) for k in range(20))
+    assert reading.features_of(same, table)[at] == 2 / 70 and reading.features_of(new, table)[at] == 21 / 70
+
+
 def test_model_recovers_an_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 4))
