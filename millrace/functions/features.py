@@ -79,6 +79,9 @@ _BRACES, _PARENTHESES, _BODY = re.compile(r"[{}]"), re.compile(r"[()]"), re.comp
 _TYPE = re.compile(r"\b(class|interface|enum|record)\s+(\w+)")
 _SUPER = re.compile(r"\bclass\s+(\w+)(?:\s*<[^{]*?>)?\s*(?:extends\s+([\w.]+)(?:\s*<[^{]*?>)?)?\s*(?:implements\s+([^{]+))?\{")
 
+_DECLARED = re.compile(r"(?<![\w$.@])(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)")
+_HEADER, _CLAUSE, _NAMED = re.compile(r"[<>(){};]"), re.compile(r"\b(extends|implements|permits)\b"), re.compile(r"[\w$.]+")
+
 
 def trip_bucket(start: int, op: str, limit: int, step: int) -> str:
     """Bucket of the trip count of a counted loop with literal bounds."""
@@ -158,3 +161,49 @@ def feature_rows(files: DataFrame, case: str, text: str) -> DataFrame:
                     yield pd.DataFrame({case: k, "seq": range(len(rows)), "feature": [r[0] for r in rows], "line": [r[1] for r in rows], "detail": [r[2] for r in rows], "approximate": True})
 
     return src.mapInPandas(scan, f"{case} {types[case]}, seq int, feature string, line int, detail string, approximate boolean")
+
+
+def type_edges(text: str) -> list[tuple[str, str, str, str]]:
+    """src, src_type, dst, dst_type of every ``extends`` and ``implements`` of a type declaration; simple names. What
+    stands in type parameters, arguments and record components is no edge."""
+    code, found = blank_out(text), []
+    for m in _DECLARED.finditer(code):
+        head, deep, at = [], 0, m.end()
+        for k in _HEADER.finditer(code, m.end()):
+            if not deep:
+                head.append(code[at : k.start()])
+            at = k.end()
+            if k[0] in "<(":
+                deep += 1
+            elif k[0] in ">)":
+                deep -= 1
+            elif not deep or k[0] == ";":
+                break
+        else:
+            continue
+        if k[0] != "{" or deep:
+            continue
+        parts = _CLAUSE.split(re.sub(r"\s*\.\s*", ".", re.sub(r"@\s*[\w$.]+", " ", " ".join(head))))
+        clauses = [(c, [x.strip() for x in names.split(",")]) for c, names in zip(parts[1::2], parts[2::2], strict=True)]
+        if parts[0].strip() or not all(_NAMED.fullmatch(x) for _, names in clauses for x in names):
+            continue  # words of another language or of prose
+        src_type = "CLASS" if m[1] == "record" else m[1].upper()
+        for c, names in clauses:
+            dst_type = "CLASS" if c == "extends" and m[1] == "class" else "INTERFACE"
+            for x in names:
+                if c != "permits" and x.removeprefix("java.lang.") not in ("Object", "Enum", "Record"):
+                    found.append((m[2], src_type, x.rsplit(".", 1)[-1], dst_type))
+    return found
+
+
+def type_edge_rows(files: DataFrame, case: str, text: str) -> DataFrame:
+    """case_id (string), src, src_type, dst, dst_type of each file. Null texts give no row."""
+    src = files.select(F.col(case).cast("string").alias("case_id"), F.col(text).alias("__text")).filter("__text IS NOT NULL")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, *e) for k, t in zip(b["case_id"], b["__text"], strict=True) for e in type_edges(t)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["case_id", "src", "src_type", "dst", "dst_type"])
+
+    return src.mapInPandas(scan, "case_id string, src string, src_type string, dst string, dst_type string")

@@ -754,9 +754,8 @@ def bfs_paths(t):
 
 @query()
 def hierarchy_patterns(t):
-    """Shapes of the type hierarchies in source files (lexical: the names on both sides of ``extends``)."""
-    m = t("artifacts").filter("content IS NOT NULL").select("artifact_id", F.explode(F.regexp_extract_all(code.masked(c("content")), F.lit(r"(\w+)\s+extends\s+(\w+)"), F.lit(0))).alias("m"))
-    e = m.select(c("artifact_id").cast("string").alias("case_id"), F.regexp_extract("m", r"(\w+)\s+extends", 1).alias("src"), F.lit("CLASS").alias("src_type"), F.regexp_extract("m", r"extends\s+(\w+)", 1).alias("dst"), F.lit("CLASS").alias("dst_type"))
+    """Shapes of the type hierarchies in source files (lexical: the clauses of the type declarations)."""
+    e = features.type_edge_rows(t("artifacts"), "artifact_id", "content")
     return graph.hierarchy_pattern(e).groupBy("pattern").agg(F.count("*").alias("n"))
 
 

@@ -72,3 +72,19 @@ def test_link_and_timeline_shapes(spark):
     ev = ['{"source": {"issue": {"pull_request": {"u": 1}, "number": 5, "repository_url": "https://api/repos/a/b"}}}', '{"commit_id": "abc", "commit_url": null}', '{"subject": {"type": "PullRequest", "url": "https://api/repos/c/d/pulls/9"}}', "broken", "{}"]
     e = spark.createDataFrame([("i", k, x, "home/r") for k, x in enumerate(ev)], "k string, pos int, e string, home string")
     assert {tuple(r) for r in extract.timeline_refs(e, "k", "e", "home").collect()} == {("i", 0, "pull", "a/b", "5"), ("i", 1, "commit", "home/r", "abc"), ("i", 2, "pull", "c/d", "9")}
+
+
+def test_type_edges(spark, monkeypatch):
+    from millrace.plans import reference
+
+    code = """class A<T extends Comparable<T> & K> extends x.Base<Map<String, T>> implements I, J<Map<K, V>> { <E extends Number> void f() { } }
+    interface L<Q extends Z> extends M, @N O { } enum P implements J { X { } } record R(List<? extends S> s) implements I { }
+    sealed class D extends Object permits U { } // class C extends A {
+    """
+    edges = [("A", "CLASS", "Base", "CLASS"), ("A", "CLASS", "I", "INTERFACE"), ("A", "CLASS", "J", "INTERFACE"), ("L", "INTERFACE", "M", "INTERFACE"), ("L", "INTERFACE", "O", "INTERFACE"), ("P", "ENUM", "J", "INTERFACE"), ("R", "CLASS", "I", "INTERFACE")]
+    assert features.type_edges(code) == edges
+    assert features.type_edges("a class that extends a thing; class Foo(Base): x = {}") == []
+    df = spark.createDataFrame([(1, code), (2, None), (3, "class W<T extends Comparable> { }")], "artifact_id bigint, content string")
+    monkeypatch.setattr(reference, "table", lambda *_: df)
+    got = {r["pattern"]: r["n"] for r in reference.QUERIES["hierarchy_patterns"](spark, "").collect()}
+    assert got == {"C0->C1, C0->I0, C0->I1, C2->I0, E0->I1": 1, "I0->I1, I0->I2": 1}
