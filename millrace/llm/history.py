@@ -2,9 +2,8 @@
 
 The history is a folder: ``keys`` (minwise band keys with the id they stand for, partitioned by a
 hash of the key) and ``records`` (id, class digest, size, signature). A batch is probed against
-the partitions its own keys fall into, and nothing of the history is read as text or shuffled:
-the keys of the batch are broadcast to the scan, at most ``broadcast_rows`` at a time (checked): a
-larger batch is probed bucket by bucket, and only one whose keys of a single bucket are more than
+all partitions, and nothing of the history is read as text or shuffled: the keys of the batch are
+broadcast to the scan, at most ``broadcast_rows`` at a time (checked): a larger batch is probed bucket by bucket, and only one whose keys of a single bucket are more than
 that is joined by shuffle. Of the history only the rows that share a key go on. Keys that more
 than ``hot`` rows share do not give pairs; their ids go through the exact prefix filter.
 Candidates pass the Bayesian test on signatures and are verified on whole texts; then the classes
