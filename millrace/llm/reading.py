@@ -6,7 +6,8 @@ odds with an offset for each rater) is fitted on at most ``max_labels`` ratings
 least hash) and gives every document a level between 1 and 5 that can be compared with ratings.
 
 Corpus counts cover all documents. The word table that is broadcast holds the ``vocabulary`` most
-frequent words; all others share one floor, so its size has a bound.
+frequent words, so its size has a bound; the counts of all others are joined to the documents that
+hold them. Words met once in the corpus are those at the floor, at every size.
 
 Defined results: null and blank texts and texts without a plain word get a null level; ratings
 that are null or of unknown documents are not used; without ratings every level is null.
@@ -77,8 +78,8 @@ def _quantile(xs: list, q: float) -> float:
     return xs[k] + (at - k) * (xs[min(k + 1, len(xs) - 1)] - xs[k])
 
 
-def features_of(text: str | None, table: WordTable) -> list[float] | None:
-    """The features of one text, whole."""
+def measured(text: str | None, table: WordTable) -> tuple[list[float], list[str], tuple[float, ...]] | None:
+    """The features of one text, whole, with its words and their bits."""
     found = [_WORD.findall(s) for s in _SENTENCE.split(text or "")]
     ws = [w.lower() for s in found for w in s if w[1:].islower() or len(w) == 1]
     n = len(ws)
@@ -91,7 +92,7 @@ def features_of(text: str | None, table: WordTable) -> list[float] | None:
     commas = text.count(",") + text.count(";")
     c = Counter(ws)
     distinct = sum(len(set(ws[a : a + 50])) for a in range(0, n, 50))  # blocks of 50 words, each by its length
-    return [
+    f = [
         math.log1p(n),
         sum(lens) / n,
         sum(x >= 8 for x in lens) / n,
@@ -112,24 +113,70 @@ def features_of(text: str | None, table: WordTable) -> list[float] | None:
         sum(x >= table.floor for x in rare) / n,
         sum(suffix) / n,
     ]
+    return f, ws, rare
+
+
+def features_of(text: str | None, table: WordTable) -> list[float] | None:
+    """The features of one text, whole."""
+    m = measured(text, table)
+    return m and m[0]
 
 
 def document_features(documents: DataFrame, keep: tuple[str, ...] = (), vocabulary: int = 30_000) -> DataFrame:
     """doc_id, kept columns, f (array of the features, or null)."""
     counts = written(word_counts(documents), "words")
-    total = counts.agg(F.sum("n")).head(1)[0][0] or 1
+    total, size = counts.agg(F.sum("n"), F.count("*")).head(1)[0]
+    total = total or 1
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    floor = max([math.log2(total / r["n"]) for r in top] or [0.0]) + 1
+    floor = math.log2(total)  # the bits of a word met once
     held = documents.sparkSession.sparkContext.broadcast({r["word"]: math.log2(total / r["n"]) for r in top})
     kept = documents.select("doc_id", *keep, "text")
+    types = "".join(f"{k} {t}, " for k, t in kept.dtypes if k != "text")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordTable(held.value, floor)
         for b in batches:
             yield b.drop(columns="text").assign(f=[features_of(t, known) for t in b["text"]])
 
-    types = "".join(f"{k} {t}, " for k, t in kept.dtypes if k != "text")
-    return kept.mapInPandas(measure, types + "f array<double>")
+    if size <= vocabulary:
+        return kept.mapInPandas(measure, types + "f array<double>")
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordTable(held.value, floor)
+        for b in batches:
+            f, others, edge = [], [], []
+            for m in (measured(t, known) for t in b["text"]):
+                f.append(m and m[0])
+                others.append(m and [w for w in m[1] if w not in known.bits])
+                if m:  # words beyond the table are no more frequent than those in it: they are last in order
+                    bits, k = sorted(m[2]), int(0.75 * (len(m[2]) - 1))
+                    inside = bits[: len(bits) - len(others[-1])]
+                    edge.append([float(len(bits)), sum(inside), bits[k], bits[min(k + 1, len(bits) - 1)], float(sum(x >= floor for x in inside))])
+                else:
+                    edge.append(None)
+            yield b.drop(columns="text").assign(f=f, others=others, edge=edge)
+
+    # Written: the number of a row must not change between its uses.
+    parts = written(kept.withColumn("__row", F.monotonically_increasing_id()).mapInPandas(part, types + "__row bigint, f array<double>, others array<string>, edge array<double>"), "parts")
+    met = parts.select("__row", F.explode("others").alias("word")).join(counts, "word")
+    rest = met.groupBy("__row").agg(F.collect_list("n").alias("rest"))
+    at_rarity, at_75, at_floor = (FEATURES.index(x) for x in ("rarity", "rarity_75", "outside"))
+
+    def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for f, edge, ns in zip(b["f"], b["edge"], b["rest"], strict=True):
+                if f is not None and ns is not None:
+                    f, bits, n = list(f), sorted(math.log2(total / x) for x in ns), int(edge[0])
+                    at, known = 0.75 * (n - 1), n - len(bits)
+                    k = int(at)
+                    x, y = (v if j < known else bits[j - known] for j, v in ((k, edge[2]), (min(k + 1, n - 1), edge[3])))
+                    f[at_rarity], f[at_75], f[at_floor] = (edge[1] + sum(bits)) / n, x + (at - k) * (y - x), (edge[4] + sum(x >= floor for x in bits)) / n
+                out.append(f)
+            yield b.drop(columns=["edge", "rest"]).assign(f=out)
+
+    joined = parts.drop("others").join(rest, "__row", "left").drop("__row")
+    return joined.select("doc_id", *keep, "f", "edge", "rest").mapInPandas(complete, types + "f array<double>")
 
 
 class OrdinalModel:

@@ -50,6 +50,18 @@ def test_diversity_counts_the_last_words():
     assert reading.features_of(same, table)[at] == 2 / 70 and reading.features_of(new, table)[at] == 21 / 70
 
 
+def test_rarity_does_not_depend_on_the_table(spark):
+    texts = ["alpha beta beta gamma gamma gamma delta.", "gamma zeta eta alpha theta.", "", "once only words here", None, "gamma beta " * 20, "gamma"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(0, texts[0])], "doc_id bigint, text string")
+    whole = sorted((tuple(r) for r in reading.document_features(d).collect()), key=str)
+    for vocabulary in (1, 3, 6):
+        got = sorted((tuple(r) for r in reading.document_features(d, vocabulary=vocabulary).collect()), key=str)
+        assert [k for k, _ in got] == [k for k, _ in whole]
+        assert all((f is None and g is None) or f == pytest.approx(g) for (_, f), (_, g) in zip(got, whole, strict=True))
+    by = dict(whole)
+    assert by[3][reading.FEATURES.index("outside")] == 1 and by[6][reading.FEATURES.index("outside")] == 0
+
+
 def test_model_recovers_an_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 4))
