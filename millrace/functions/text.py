@@ -96,10 +96,19 @@ def content_hash(c: Column) -> Column:
 
 
 def set_key(items: Column, scope: Column, version: str = "v3") -> Column:
-    """Key of a bag of texts within a scope, whatever their order."""
+    """Key of a bag of texts (or of their digests) within a scope, whatever their order."""
     return F.concat(F.lit(f"{version}."), F.sha2(F.concat_ws("\0", scope, F.array_sort(items)), 256))
 
 
+def seed_key(scope: Column, targets: Column, ids: Column, files: Column, version: str = "v3") -> Column:
+    """Composite key: scope; targets (array of struct of name and version), sorted; ids in their order; files (array of
+    struct of name and digest of the bytes), sorted by name. Nulls count as empty texts."""
+    part = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    pairs = lambda a: F.flatten(F.transform(F.array_sort(a), lambda x: F.array(part(x["name"]), part(x["value"]))))
+    fields = F.concat(F.array(part(scope)), pairs(targets), F.transform(ids, part), pairs(files))
+    return F.concat(F.lit(f"{version}."), F.sha2(F.array_join(fields, "\0"), 256))
+
+
 def safe_name(c: Column) -> Column:
     """A name that is safe on every file system, 120 characters at most."""
     x = F.regexp_replace(F.coalesce(c, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', "_")
@@ -150,6 +159,6 @@ def version_line(c: Column) -> Column:
 
 
 def output_name(c: Column) -> Column:
-    """The issue key at the begin of an id, or the whole id."""
-    m = F.regexp_extract(c, r"^((?:JDK|OpenJ9)-\d+(?:_[A-Za-z]+)?)", 1)
+    """The issue key at the begin of an id (without letter case, with its suffix, before a dot), or the whole id."""
+    m = F.regexp_extract(c, r"(?i)^((?:JDK|OpenJ9)-\d+(?:_[a-z]+)?)\..", 1)
     return F.when(m != "", m).otherwise(c)

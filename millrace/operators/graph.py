@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from millrace.session import written
 
@@ -14,9 +15,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
     Each star needs only the least neighbour of a node, which is a partial aggregation; a node that
     is linked with a third of all others is joined by Spark's skew handling, not collected.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    nodes = written(e.select("u").union(e.select("v")).distinct(), "nodes")
-    e = written(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    # Written once, self-links included (they keep lone nodes): what makes the edges runs a single time.
+    given = written(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    nodes = given.select(F.explode(F.array("u", "v")).alias("u")).distinct()
+    e = given.filter("u <> v")
     before = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,7 +28,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = written(small.filter("u <> v").distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head(1)[0])
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head(1)[0])  # one row of two numbers
         if now == before:
             break
         before = now
@@ -36,22 +38,54 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
     return nodes.withColumnRenamed("u", "node").join(label.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def bounded_paths(start: DataFrame, edges: DataFrame, most_depth: int, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
-    """origin, node, depth, path of every node reached within ``most_depth`` links, each once by the shortest path
-    (of several, the least by node order)."""
-    reached = written(start.select(F.col(node).alias("origin"), F.col(node).alias("node"), F.lit(0).alias("depth"), F.array(F.col(node)).alias("path")).distinct(), "reached")
-    parts = [reached]
-    front = reached
-    links = edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d")).filter("__s IS NOT NULL AND __d IS NOT NULL").distinct()
-    for depth in range(1, most_depth + 1):
-        seen = parts[0] if len(parts) == 1 else _union(parts)
-        step = front.join(links, F.col("node") == F.col("__s")).select("origin", F.col("__d").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("__d")).alias("path"))
-        best = step.groupBy("origin", "node").agg(F.min("path").alias("path")).select("origin", "node", F.lit(depth).alias("depth"), "path")
-        front = written(best.join(seen.select("origin", "node"), ["origin", "node"], "left_anti"), f"depth{depth}")
-        if not front.head(1):
+def bounded_paths(start: DataFrame, edges: DataFrame, most_depth: int, node: str = "node", src: str = "src", dst: str = "dst", expand: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+    """origin, node, depth, via of every node reached within ``most_depth`` links, each once by a shortest path; ``via`` is
+    the node before it on it (of several, the least), from which ``path_of`` puts paths together.
+
+    With ``expand`` (node, cost) a node is followed only while the costs of the nodes its origin followed before it, in
+    order of depth and node, are below ``budget``: nodes that are known already cost nothing and are always followed. The
+    nodes beyond it are in the result with ``followed`` = false, so that a caller sees what is incomplete.
+    """
+    links = edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d")).filter("__s IS NOT NULL AND __d IS NOT NULL AND __s <> __d").distinct()
+    links = written(links, "links") if most_depth > 1 else links  # read once for each depth
+    front = start.select(F.col(node).alias("origin"), F.col(node).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(dict(start.dtypes)[node]).alias("via")).distinct()
+    if expand is not None:
+        front = front.withColumn("spent", F.lit(0).cast("bigint"))
+    parts: list[DataFrame] = []
+    for depth in range(most_depth + 1):
+        if depth:
+            step = front.join(links, F.col("node") == F.col("__s"))
+            best = step.groupBy("origin", F.col("__d").alias("node")).agg(F.min("node").alias("via"), *([F.max("spent").alias("spent")] if expand is not None else []))
+            front = best.withColumn("depth", F.lit(depth)).join(_union(parts).select("origin", "node"), ["origin", "node"], "left_anti")
+        if expand is not None:
+            front = _followed(front, expand, budget or 0)
+        at = written(front, f"depth{depth}")
+        parts.append(at.drop("spent"))
+        if depth == most_depth or (depth and not at.head(1)):
             break
-        parts.append(front)
-    return _union(parts)
+        front = at.filter("followed") if expand is not None else at
+    columns = ["origin", "node", "depth", "via", *(["followed"] if expand is not None else [])]
+    return _union([p.select(*columns) for p in parts])
+
+
+def _followed(front: DataFrame, expand: DataFrame, budget: int) -> DataFrame:
+    """Adds followed, and spent with the costs of this depth: a node is followed if it costs nothing or if the budget is not
+    used up by the ones before it (a running sum over the nodes of one depth of one origin)."""
+    priced = front.join(expand.select("node", F.coalesce("cost", F.lit(1)).cast("bigint").alias("__c")), "node", "left").withColumn("__c", F.coalesce("__c", F.lit(1)))
+    w = W.partitionBy("origin").orderBy("node").rowsBetween(W.unboundedPreceding, 0)
+    total = F.col("spent") + F.sum("__c").over(w)
+    priced = priced.withColumns({"followed": (F.col("__c") == 0) | (total <= budget), "spent": F.least(total, F.lit(budget).cast("bigint"))})
+    return priced.withColumn("spent", F.max("spent").over(W.partitionBy("origin"))).drop("__c")
+
+
+def path_of(reached: DataFrame, most_depth: int) -> DataFrame:
+    """Adds path (from the origin to the node) to the rows of ``bounded_paths``: one join a depth."""
+    step = reached.select(F.col("origin").alias("__o"), F.col("node").alias("__n"), F.col("via").alias("__v"))
+    out = reached.withColumns({"path": F.array("node"), "__at": F.col("via")})
+    for _ in range(most_depth):
+        longer = F.when(F.col("__at").isNotNull(), F.concat(F.array("__at"), "path")).otherwise(F.col("path"))
+        out = out.join(step, (F.col("origin") == F.col("__o")) & (F.col("__at") == F.col("__n")), "left").withColumn("path", longer).withColumn("__at", F.col("__v")).drop("__o", "__n", "__v")
+    return out.drop("__at")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -23,27 +23,38 @@ def term_pattern(terms: tuple[str, ...] = TERMS) -> str:
     return "(?i)" + "|".join(sorted(terms, key=len, reverse=True))
 
 
-def comment_score(text: Column, position: Column, total: Column, terms: tuple[str, ...] = TERMS) -> Column:
-    """Value of a comment as evidence; position counts from 0."""
+# Points of a comment for its place, for each term (and at most), a code block, a stack frame, a link, a
+# commit; and what is taken off a short one.
+FIRST, LAST, TERM, TERMS_MOST, FENCE, FRAME, LINK, COMMIT, SHORT = 8, 8, 3, 30, 4, 4, 3, 2, 4
+
+
+def text_score(text: Column, terms: tuple[str, ...] = TERMS) -> Column:
+    """Value of a comment as evidence by its text alone."""
     return (
-        F.when(position == 0, 8).otherwise(0)
-        + F.when(position == total - 1, 8).otherwise(0)
-        + F.least(F.regexp_count(text, F.lit(term_pattern(terms))) * 3, F.lit(30))
-        + F.when(text.contains("```"), 4).otherwise(0)
-        + F.when(text.rlike(r"\bat\s+[\w.$]+\([^)]*\)"), 4).otherwise(0)
-        + F.when(text.rlike(r"https?://(?:github\.com|bugs\.openjdk\.org)"), 3).otherwise(0)
-        + F.when(text.rlike(r"(?i)\b[0-9a-f]{7,40}\b"), 2).otherwise(0)
-        - F.when(F.length(F.trim(text)) < 40, 4).otherwise(0)
+        F.least(F.regexp_count(text, F.lit(term_pattern(terms))) * TERM, F.lit(TERMS_MOST))
+        + F.when(text.contains("```"), FENCE).otherwise(0)
+        + F.when(text.rlike(r"\bat\s+[\w.$]+\([^)]*\)"), FRAME).otherwise(0)
+        + F.when(text.rlike(r"https?://(?:github\.com|bugs\.openjdk\.org)"), LINK).otherwise(0)
+        + F.when(text.rlike(r"(?i)\b[0-9a-f]{7,40}\b"), COMMIT).otherwise(0)
+        - F.when(F.length(F.trim(text)) < 40, SHORT).otherwise(0)
     )
 
 
+def comment_score(text: Column, position: Column, total: Column, terms: tuple[str, ...] = TERMS) -> Column:
+    """Value of a comment as evidence; position counts from 0."""
+    return text_score(text, terms) + F.when(position == 0, FIRST).otherwise(0) + F.when(position == total - 1, LAST).otherwise(0)
+
+
 def top_comments(df: DataFrame, case: str, order: str, text: str, k: int, tie: str) -> DataFrame:
-    """The k best comments of each case and always its first and last, with position and score."""
+    """case, order, tie, position, score: the k best comments of each case and always its first and last. Texts are scored
+    before the windows and do not go through them; join them back by ``tie`` where they are needed."""
+    scored = df.select(case, order, tie, text_score(F.coalesce(F.col(text), F.lit(""))).alias("__s"))
     by = W.partitionBy(case).orderBy(order, tie)
-    placed = df.withColumns({"position": F.row_number().over(by) - 1, "__n": F.count("*").over(W.partitionBy(case))})
-    scored = placed.withColumn("score", comment_score(F.coalesce(F.col(text), F.lit("")), F.col("position"), F.col("__n")))
+    placed = scored.withColumns({"position": F.row_number().over(by) - 1, "__n": F.count("*").over(W.partitionBy(case))})
+    last = F.col("position") == F.col("__n") - 1
+    points = placed.withColumn("score", F.col("__s") + F.when(F.col("position") == 0, FIRST).otherwise(0) + F.when(last, LAST).otherwise(0))
     r = F.row_number().over(W.partitionBy(case).orderBy(F.desc("score"), "position"))
-    return scored.withColumn("__r", r).filter((F.col("__r") <= k) | (F.col("position") == 0) | (F.col("position") == F.col("__n") - 1)).drop("__r", "__n")
+    return points.withColumn("__r", r).filter((F.col("__r") <= k) | (F.col("position") == 0) | last).drop("__r", "__n", "__s")
 
 
 def budget_shares(sizes: Column, budget: int, least: int = 600, most: int = 3000) -> Column:
@@ -148,27 +159,36 @@ def path_score(path: Column, terms: tuple[str, ...] = ()) -> Column:
     return out
 
 
-def diff_hunks(patches: DataFrame, key: str, text: str, terms: tuple[str, ...] = ()) -> DataFrame:
-    """key, section, path, hunk, header, changed, score for each hunk of each file of a diff."""
-    lines = patches.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("line", "t"))
+def diff_lines(patches: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line, t, section (0 before the first file), hunk (0 before the first of the section) of every line of a diff."""
+    lines = patches.select(key, F.posexplode(F.split(text, r"\r?\n", -1)).alias("line", "t"))
     w = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    new_file = F.col("t").startswith("diff --git ")
-    lines = lines.withColumn("section", F.count_if(new_file).over(w))
+    lines = lines.withColumn("section", F.count_if(F.col("t").startswith("diff --git ")).over(w))
     v = W.partitionBy(key, "section").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    lines = lines.withColumns({"hunk": F.count_if(F.col("t").startswith("@@")).over(v)})
+    return lines.withColumn("hunk", F.count_if(F.col("t").startswith("@@")).over(v))
+
+
+def is_change(line: Column) -> Column:
+    """An added or removed line, not the head of a file."""
+    return (line.startswith("+") & ~line.startswith("+++")) | (line.startswith("-") & ~line.startswith("---"))
+
+
+def hunk_score(header: Column, line: Column, terms: tuple[str, ...]) -> list[Column]:
+    """For each term the points a line earns its hunk: 15 if it is in the header, 10 if in the line. A hunk gets the most
+    of its lines for each term, and one for each changed line up to 20."""
+    return [F.when(F.lower(header).contains(t.lower()), 15).when(F.lower(line).contains(t.lower()), 10).otherwise(0) for t in terms]
+
+
+def diff_hunks(patches: DataFrame, key: str, text: str, terms: tuple[str, ...] = ()) -> DataFrame:
+    """key, section, path, hunk, header, changed, score for each hunk of each file of a diff."""
+    lines = diff_lines(patches, key, text)
     named = F.coalesce(F.nullif(F.regexp_extract("t", r"^\+\+\+ b/(.+?)\s*$", 1), F.lit("")), F.nullif(F.regexp_extract("t", r"^diff --git a/.+? b/(.+)$", 1), F.lit("")))
     paths = lines.filter("hunk = 0").groupBy(key, "section").agg(F.max_by(named, F.when(named.isNotNull(), F.col("line"))).alias("path"))
-    change = (F.col("t").startswith("+") & ~F.col("t").startswith("+++")) | (F.col("t").startswith("-") & ~F.col("t").startswith("---"))
-    hunks = (
-        lines.filter("hunk > 0")
-        .groupBy(key, "section", "hunk")
-        .agg(F.min_by("t", "line").alias("header"), F.count_if(change).alias("changed"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(change, F.struct("line", "t")))), lambda x: x["t"]), "\n").alias("body"))
-    )
-    score = F.least("changed", F.lit(20))
-    for t in terms:
-        low = t.lower()
-        score = score + F.when(F.lower("header").contains(low), 15).when(F.lower("body").contains(low), 10).otherwise(0)
-    return hunks.join(paths, [key, "section"], "left").select(key, "section", F.coalesce("path", F.lit("unknown")).alias("path"), "hunk", "header", "changed", score.alias("score"))
+    in_hunk = W.partitionBy(key, "section", "hunk").orderBy("line")
+    body = lines.filter("hunk > 0").withColumns({"header": F.first("t").over(in_hunk), "change": is_change(F.col("t"))})
+    earned = [F.max(F.when(F.col("change") | F.col("t").startswith("@@"), s).otherwise(0)) for s in hunk_score(F.col("header"), F.col("t"), terms)]
+    hunks = body.groupBy(key, "section", "hunk").agg(F.first("header").alias("header"), F.count_if("change").alias("changed"), sum(earned, F.least(F.count_if("change"), F.lit(20))).alias("score"))
+    return hunks.join(paths, [key, "section"], "left").select(key, "section", F.coalesce("path", F.lit("unknown")).alias("path"), "hunk", "header", "changed", "score")
 
 
 def rolled_order(file: Column) -> Column:

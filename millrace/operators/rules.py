@@ -34,6 +34,17 @@ STATIC_RULES = (
 )
 
 
+#: Texts of which every match of a rule holds at least one.
+NEEDED = {
+    "external-java-process": ("ProcessBuilder", "getRuntime"),
+    "properties-usage": ("Property", "java.util.Properties"),
+    "java-compiler-api": ("javax.tools.JavaCompiler", "ToolProvider", "compiler.lib."),
+    "unsafe-api": ("Unsafe",),
+    "time-api": ("Date", "Calendar", "TimeZone", "LocalTime", "Instant", "nanoTime", "currentTimeMillis"),
+    "thread-api": ("Thread", "Runnable", "Callable", "Executor", "ForkJoin", "CountDownLatch", "CyclicBarrier", "Semaphore", "Phaser", "Exchanger", "Future", "BlockingQueue", "Concurrent", "CopyOnWrite", "LockSupport", "Lock", "Condition", "ProcessBuilder", "Currency", "java.util.concurrent.", "getRuntime"),
+}
+
+
 def exit_status(code: Column) -> Column:
     """Status of a finished process by its exit code."""
     return (
@@ -59,13 +70,23 @@ def run_status(code: Column, crashes: Column, errors: Column, exceptions: Column
 
 
 def first_rule(df: DataFrame, text: Column, rules: tuple[tuple[str, str, str], ...] = STATIC_RULES) -> DataFrame:
-    """Adds rule and reason: of the first rule whose pattern is found. One CASE, no join; later patterns are not tried."""
-    rule = reason = None
-    for name, why, pattern in rules:
+    """Adds rule and reason: of the first rule whose pattern is found. One CASE gives its place in the list, later patterns
+    are not tried; name and reason are looked up by the place. A text is searched for a word of the pattern first where
+    every match of it must hold one (``NEEDED``)."""
+    place = None
+    for k, (name, _, pattern) in enumerate(rules):
         hit = text.rlike(pattern)
-        rule = F.when(hit, name) if rule is None else rule.when(hit, name)
-        reason = F.when(hit, why) if reason is None else reason.when(hit, why)
-    return df.withColumn("rule", rule).withColumn("reason", reason)
+        words = NEEDED.get(name)
+        if words and rules is STATIC_RULES:
+            held = text.contains(words[0])
+            for w in words[1:]:
+                held = held | text.contains(w)
+            hit = held & hit
+        place = F.when(hit, k) if place is None else place.when(hit, k)
+    # A filter on the rule would be evaluated beside it, so the place goes through an array: it is computed once.
+    found = df.withColumn("__place", F.explode_outer(F.array(place)))
+    look_up = lambda n: F.try_element_at(F.array(*[F.lit(r[n]) for r in rules]), F.col("__place") + 1)
+    return found.withColumns({"rule": look_up(0), "reason": look_up(1)}).drop("__place")
 
 
 def first_rule_of_unit(files: DataFrame, unit: str, order: str, text: Column, excluded: Column) -> DataFrame:

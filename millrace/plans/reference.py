@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import code, evidence, extract, features, text
+from millrace.functions import extract, features, text
 from millrace.operators import compare, dedup, graph, rank, rules, stats, timeline
 from millrace.session import fresh_path
 from millrace.sources.scans import HELPER_FILES
@@ -194,9 +194,10 @@ def safe_names(t):
 
 
 @query(r"""SELECT o_orderkey, printf('%.2f%%', 100.0 * floor(o_totalprice) / 599999) AS pct, printf('%dd %02dh %02dm %02ds', (round(o_totalprice)::BIGINT // 86400), (round(o_totalprice)::BIGINT % 86400) // 3600, (round(o_totalprice)::BIGINT % 3600) // 60, round(o_totalprice)::BIGINT % 60) AS dur,
- CASE WHEN regexp_extract(o_orderpriority, '^((JDK|OpenJ9)-\d+(_[A-Za-z]+)?)', 1) <> '' THEN regexp_extract(o_orderpriority, '^((JDK|OpenJ9)-\d+(_[A-Za-z]+)?)', 1) ELSE o_orderpriority END AS name FROM orders""")
+ coalesce(nullif(regexp_extract(o_orderpriority || ' jdk-' || o_orderkey || '_x.Main', '(?i)^((JDK|OpenJ9)-\d+(_[a-z]+)?)\..+', 1), ''), o_orderpriority) AS priority,
+ CASE WHEN o_orderstatus = 'F' THEN 'jdk-' || o_orderkey || '_x' WHEN o_orderstatus = 'O' THEN 'OpenJ9-' || o_orderkey ELSE 'JDK-' || o_orderkey || ' P' END AS name FROM orders""")
 def text_formats(t):
-    return t("orders").select("o_orderkey", text.percent_text(F.floor("o_totalprice"), F.lit(599999)).alias("pct"), text.duration_text(F.round("o_totalprice")).alias("dur"), text.output_name(c("o_orderpriority")).alias("name"))
+    return t("orders").select("o_orderkey", text.percent_text(F.floor("o_totalprice"), F.lit(599999)).alias("pct"), text.duration_text(F.round("o_totalprice")).alias("dur"), text.output_name(c("o_orderpriority")).alias("priority"), text.output_name(F.concat(F.when(c("o_orderstatus") == "F", "jdk-").when(c("o_orderstatus") == "O", "OpenJ9-").otherwise("JDK-"), c("o_orderkey").cast("string"), F.when(c("o_orderstatus") == "F", "_x.Main").when(c("o_orderstatus") == "O", ".p.Main").otherwise(" P"))).alias("name"))
 
 
 @query(r"SELECT artifact_id, sha256(regexp_replace(coalesce(content, ''), '\s+', '', 'g')) AS digest, coalesce(lower(sha256) = sha256(regexp_replace(coalesce(content, ''), '\s+', '', 'g')), false) AS as_stored FROM artifacts")
@@ -205,9 +206,9 @@ def content_hash(t):
     return t("artifacts").select("artifact_id", h.alias("digest"), F.coalesce(F.lower("sha256") == h, F.lit(False)).alias("as_stored"))
 
 
-@query(r"""SELECT issue_id, 'v3.' || sha256(issue_id || chr(0) || array_to_string(list_sort(list(regexp_replace(coalesce(content, ''), '\s+', '', 'g'))), chr(0))) AS key FROM artifacts WHERE issue_id IS NOT NULL GROUP BY issue_id""")
+@query(r"""SELECT issue_id, 'v3.' || sha256(issue_id || chr(0) || array_to_string(list_sort(list(sha256(regexp_replace(coalesce(content, ''), '\s+', '', 'g')))), chr(0))) AS key FROM artifacts WHERE issue_id IS NOT NULL GROUP BY issue_id""")
 def case_keys(t):
-    return t("artifacts").filter("issue_id IS NOT NULL").groupBy("issue_id").agg(text.set_key(F.collect_list(text.dense(c("content"))), c("issue_id")).alias("key"))
+    return t("artifacts").filter("issue_id IS NOT NULL").groupBy("issue_id").agg(text.set_key(F.collect_list(text.content_hash(c("content"))), c("issue_id")).alias("key"))
 
 
 @query(r"SELECT artifact_id, issue_id FROM (SELECT artifact_id, issue_id, row_number() OVER (PARTITION BY issue_id, sha256(regexp_replace(coalesce(content, ''), '\s+', '', 'g')) ORDER BY pos, artifact_id) AS r FROM artifacts) WHERE r = 1")
@@ -286,25 +287,6 @@ def declared_types(t):
     return t("artifacts").filter("content IS NOT NULL").select("artifact_id", F.size(extract.declared_types(c("content"))).alias("types"), c("content").rlike(extract.MAIN_METHOD).alias("has_main"))
 
 
-@query()
-def source_info(t):
-    """Package, types and main method on code without comments and literals (Python state machine)."""
-    x = t("artifacts").filter("content IS NOT NULL").select("artifact_id", extract.source_info(code.masked(c("content")), F.coalesce("original_filename", F.lit(""))).alias("i"))
-    return x.select("artifact_id", "i.package", "i.primary", "i.has_main", extract.qualified_main(c("i")).alias("main_class"))
-
-
-@query()
-def source_verdicts(t):
-    return t("artifacts").select("artifact_id", code.source_verdict(c("content")).alias("verdict"))
-
-
-@query()
-def inline_sources(t):
-    """Declarations within running text, after source blocks and fenced blocks."""
-    x = t("documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.concat(extract.source_blocks(c("text")), extract.fenced_blocks(c("text")), code.inline_code(c("text")))).alias("pos", "source"))
-    return x.filter(code.source_verdict(c("source")) == "valid").select("doc_id", "pos", F.sha2("source", 256).alias("digest"))
-
-
 @query()
 def code_features(t):
     """Lexical features of source files: cases and share of each reported one (approximate)."""
@@ -321,12 +303,6 @@ def loop_details(t):
     return d.groupBy("d.depth", "d.bucket").agg(F.count("*").alias("loops"), F.count_distinct("artifact_id").alias("files"))
 
 
-@query()
-def packed_evidence(t):
-    """The sources of each issue within 6000 characters."""
-    return evidence.packed_files(t("artifacts"), "issue_id", "original_filename", "content", 6000).select("issue_id", "files", "original", F.length("packed").alias("packed"))
-
-
 # rules
 
 
@@ -549,16 +525,6 @@ def budget_shares(t):
     return sizes.select("issue_id", rank.budget_shares(c("sizes"), 9000).alias("shares"))
 
 
-@query("""WITH x AS (SELECT artifact_id, string_split(content, chr(10)) AS ls FROM artifacts WHERE content IS NOT NULL)
-SELECT artifact_id, 1::BIGINT AS section, 'src/f' || artifact_id || '.cpp' AS path, 1::BIGINT AS hunk, len(list_filter(ls, lambda l: contains(l, ';')))::BIGINT AS changed FROM x""")
-def diff_hunks(t):
-    """A diff made of each file: its lines with a semicolon are added ones."""
-    name = F.concat(F.lit("src/f"), c("artifact_id").cast("string"), F.lit(".cpp"))
-    body = F.array_join(F.transform(F.split(F.regexp_replace("content", "\r", " "), "\n", -1), lambda l: F.concat(F.when(l.contains(";"), "+ ").otherwise("  "), l)), "\n")
-    diff = F.concat(F.lit("diff --git a/old b/"), name, F.lit("\n--- a/old\n+++ b/"), name, F.lit("\n@@ -1 +1 @@\n"), body)
-    return rank.diff_hunks(t("artifacts").filter("content IS NOT NULL").select("artifact_id", diff.alias("diff")), "artifact_id", "diff").select("artifact_id", "section", "path", "hunk", "changed")
-
-
 # time
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -44,24 +45,65 @@ def test_rows(spark):
     assert features.feature_rows(df.limit(0), "case_id", "code").count() == 0
 
 
+def _kept_by_trial(text, budget):
+    """The same rule by rendering every proposal from a mask of lines."""
+    lines = text.splitlines()
+
+    def render(mask):
+        shown = "".join(line + "\n" if m else "\0" for line, m in zip(lines, mask, strict=True))
+        return re.sub("\0+", evidence.GAP + "\n", shown.strip("\0")).removesuffix("\n")
+
+    mask = [k < evidence.HEAD or k >= len(lines) - evidence.TAIL for k in range(len(lines))]
+    weights = [next(((-w, k, a) for w, a, p in evidence.LANDMARKS if re.search(p, line)), None) for k, line in enumerate(lines)]
+    for _, k, a in sorted(w for w in weights if w):
+        trial = [m or k - a <= n <= k + a for n, m in enumerate(mask)]
+        mask = trial if len(render(trial)) <= budget else mask
+    return render(mask)
+
+
 def test_landmarks_within_budget():
     rng = random.Random(1)
-    lines = [rng.choice(["int x = 1;", "assert x;", "o instanceof String", "void testIt() {", "  filler filler filler"]) for _ in range(300)]
-    text = "\n".join(lines)
-    for budget in (50, 700, 1500, 4000, len(text)):
-        out = evidence.landmark_lines(text, budget)
-        assert len(out) <= budget + 60 and (budget < len(text) or out == text)
-        if 1500 <= budget < len(text):
-            assert evidence.GAP in out and out.startswith(lines[0]) and len(out) <= budget
+    for size in (30, 300):
+        lines = [rng.choice(["int x = 1;", "assert x;", "o instanceof String", "void testIt() {", "", "  filler filler filler"]) for _ in range(size)]
+        text = "\n".join(lines)
+        for budget in (50, 700, 1500, 4000, len(text) - 1, len(text)):
+            out = evidence.landmark_lines(text, budget)
+            assert len(out) <= budget + 60 and (budget < len(text) or out == text)
+            if 1500 <= budget < len(text):
+                assert out == _kept_by_trial(text, budget) and len(out) <= budget
     assert evidence.clipped("x" * 10, 0) == "" and evidence.landmark_lines("", 5) == ""
 
 
-def test_packed_files(spark):
-    df = spark.createDataFrame([("c", "Zother.java", "y\n" * 3000), ("c", "Main.java", "x\n" * 3000), ("d", "A.java", "short"), ("e", None, None), (None, "B.java", "z")], "k string, n string, t string")
-    got = {r["k"]: r for r in evidence.packed_files(df, "k", "n", "t", 4000).collect()}
-    assert set(got) == {"c", "d"} and got["d"]["packed"] == "\n--- A.java (full) ---\nshort"
+def test_source_blocks(spark):
+    df = spark.createDataFrame(
+        [("c", "Zother.java", "y\n" * 3000, 1), ("c", "Main.java", "x\n" * 3000, 2), ("d", "A.java", "short", 3), ("e", None, None, 4), (None, "B.java", "z", 5), ("f", None, "", 6), *[("g", f"F{k}.java", "z" * 900, 10 + k) for k in range(300)]],
+        "k string, n string, t string, i int",
+    )
+    blocks = evidence.source_blocks(df, "k", "n", "t", "i", 4000)
+    got = {r["case_id"]: r for r in evidence.packed(_renamed(blocks), "case_id").collect()}
+    assert set(got) == {"c", "d", "f", "g"} and got["d"]["packed"] == "\n--- A.java (full) ---\nshort" and got["f"]["packed"] == "\n---  (full) ---\n"
     assert got["c"]["files"] == 2 and got["c"]["original"] == 12000 and len(got["c"]["packed"]) <= 4800 and got["c"]["packed"].index("Main.java") < got["c"]["packed"].index("Zother.java")
-    assert spark.createDataFrame([("a" * 100,), (None,)], "t string").select(evidence.compact_source(F.col("t"), 40)).count() == 2
+    assert got["g"]["files"] == 300 and got["g"]["original"] == 270000 and len(got["g"]["packed"]) <= 3200
+    assert evidence.source_blocks(df.limit(0), "k", "n", "t", "i", 4000).count() == 0
+
+
+def test_patch_blocks(spark):
+    lines = ["diff --git a/x b/src/x.cpp", "--- a/src/x.cpp", "+++ b/src/x.cpp", "@@ -1 +1 @@ small", " a", "+b", " c", *[" d"] * 9, "-e", " f", "@@ -9 +9 @@ no change", " g", "@@ -20 +20 @@ GVN", "+h"]
+    diff = "\n".join(["diff --git a/t b/test/t.txt", "+++ b/test/t.txt", "@@ -1 +1 @@", "+t", *lines])
+    df = spark.createDataFrame([("c", "fix.patch", diff, 1), ("c", "backport.patch", "+x\n" * 4000, 2), ("d", "n.patch", "", 3), ("e", None, None, 4)], "k string, n string, t string, i int")
+    s = {(r["i"], r["section"]): r for r in evidence.patch_sections(df.filter("t IS NOT NULL"), "i", "t", ("x.cpp",), ("gvn",)).collect()}
+    assert [s[1, 2]["path"], s[1, 1]["path"], s[2, 0]["path"]] == ["src/x.cpp", "test/t.txt", "unknown"] and s[1, 2]["rank"] < s[1, 1]["rank"]
+    body = s[1, 2]["body"].split("\n")
+    assert body[0] == "File: src/x.cpp" and body[4:6] == ["@@ -20 +20 @@ GVN", "+h"] and "@@ -9 +9 @@ no change" not in body
+    assert body[6:] == ["@@ -1 +1 @@ small", " a", "+b", " c", " d", " d", evidence.CONTEXT_GAP, " d", " d", " d", "-e", " f"]
+    blocks = {(r["case_id"], r["place"]): r["block"] for r in _renamed(evidence.patch_blocks(df, "k", "n", "t", "i", 3000, ("x.cpp",), ("gvn",))).collect()}
+    assert set(blocks) == {("c", 1), ("c", 2), ("d", 1)} and blocks["c", 1].index("File: src/x.cpp") < blocks["c", 1].index("File: test/t.txt")
+    assert blocks["c", 1].startswith("\n\nPatch file: fix.patch") and sum(len(b) for (k, _), b in blocks.items() if k == "c") <= 3000
+
+
+def _renamed(blocks):
+    """The case column, here named as the place, under a name of its own."""
+    return blocks.toDF("case_id", *blocks.columns[1:])
 
 
 def test_link_and_timeline_shapes(spark):

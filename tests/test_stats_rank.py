@@ -106,7 +106,7 @@ def test_components_and_paths(spark):
     assert {r["node"]: r["component"] for r in graph.components(df).collect()} == {n: find(n) for n in par}
     assert graph.components(df.limit(0)).count() == 0
     line = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 1), (3, 4)], "src bigint, dst bigint")
-    got = {(r["origin"], r["node"]): (r["depth"], r["path"]) for r in graph.bounded_paths(spark.createDataFrame([(1,)], "node bigint"), line, 2).collect()}
+    got = {(r["origin"], r["node"]): (r["depth"], r["path"]) for r in graph.path_of(graph.bounded_paths(spark.createDataFrame([(1,)], "node bigint"), line, 2), 2).collect()}
     assert got == {(1, 1): (0, [1]), (1, 2): (1, [1, 2]), (1, 3): (1, [1, 3]), (1, 4): (2, [1, 3, 4])}
     assert {tuple(r) for r in graph.closure(line.filter("src <> 3 OR dst <> 1")).collect()} == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)}
 

@@ -21,7 +21,7 @@ def test_normalisation(one):
     assert one(text.percent_text(F.col("c"), F.col("n")), c=1, n=0) == "0.00%"
     assert one(text.duration_text(F.col("s")), s=90061) == "1d 01h 01m 01s"
     assert one(text.version_line(F.col("x")), x="\nPicked up X\n openjdk 17 \nmore") == "openjdk 17"
-    assert [one(text.output_name(F.col("x")), x=v) for v in ("JDK-123_a.Main", "OpenJ9-7 x", "seed.A")] == ["JDK-123_a", "OpenJ9-7", "seed.A"]
+    assert [one(text.output_name(F.col("x")), x=v) for v in ("JDK-123_a.Main", "openj9-7.x", "OpenJ9-7 x", "JDK-1.", "seed.A")] == ["JDK-123_a", "openj9-7", "OpenJ9-7 x", "JDK-1.", "seed.A"]
     assert one(text.latex(F.col("x")), x="a_b & 5%") == r"a\_b \& 5\%"
 
 
@@ -71,16 +71,24 @@ def test_blocks_links_and_responses(one):
     assert tuple(one(extract.loop_detail(F.col("x")), x="Depth: 2, Count: [11, 100]")) == (2, "[11, 100]")
 
 
-def test_code_states():
+def test_code_states(one):
+    x = F.col("x")
     src = 'class A { // "x {\n String s = "a // b { \\" }"; char c = \'{\'; /* } \n */ }'
-    blank = code.blank_out(src)
+    blank = one(code.masked(x), x=src)
+    assert blank == code.blank_out(src)
     assert len(blank) == len(src) and blank.count("\n") == src.count("\n") and blank.count("{") == 1 and blank.count("}") == 1
-    assert '"a // b { \\" }"' in code.without_comments(src) and '"x {' not in code.without_comments(src)
-    assert code.closing_brace(blank, blank.index("{")) == len(src) - 1
-    assert [code.verdict(t) for t in (None, " ", "<!DOCTYPE html><html>", "public class Abcdefghij {", src)] == ["empty", "empty", "html", "incomplete", "valid"]
-    prose = "see below\nimport java.util.*;\n// note\npublic class Foo { void f() { } }\nand class Bar { int x; } too; class Open {"
-    got = code.inline_sources(prose)
+    bare = one(code.uncommented(x), x=src)
+    assert '"a // b { \\" }"' in bare and '"x {' not in bare
+    assert one(code.balanced_length(x), x=src[src.index("{") :]) == len(src) - src.index("{") and one(code.balanced_length(x), x="{ '}' ") is None
+    texts = (None, " ", "<!DOCTYPE html><html>", "public class Abcdefghij {", src)
+    assert [one(code.source_verdict(x), x=t) for t in texts] == ["empty", "empty", "html", "incomplete", "valid"]
+    prose = "see below\nimport java.util.*;\n// note\npublic class Foo { void f() { } class In { int inner; } }\nand class Bar { int x; } too; class Open {"
+    got = one(code.inline_code(x), x=prose)
     assert got[0].startswith("import java.util.*;") and got[1].endswith("{ int x; }") and len(got) == 2
+    assert one(code.inline_code(x), x="") == [] and one(code.inline_code(x), x=None) is None
+    # Long literals and comments are matched in a loop, not on the stack.
+    for long in ('"' + "\\n" * 300_000 + '"', "/*" + "* " * 300_000 + "*/", '"""' + 'a"b\\"' * 100_000 + '"""'):
+        assert one(code.source_verdict(x), x=f"class Long {{ String s = {long}; }} // end of it") == "valid"
 
 
 def test_source_info(spark):
