@@ -68,6 +68,10 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, sf), table(spark, sf, "capacities"))
 
 
+def p7_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.audit(p7_containers(spark, sf), table(spark, sf, "capacities"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.found_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -158,7 +162,7 @@ report AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.25 * (S
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_files, p1_rates, p2_found, p2_unmatched, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_classes, p7_containers, p7_fill, p8_found, p8_items, p8_cleaned, p9_levels, p9_profile)
+    for f in (p1_found, p1_files, p1_rates, p2_found, p2_unmatched, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_classes, p7_containers, p7_fill, p7_audit, p8_found, p8_items, p8_cleaned, p9_levels, p9_profile)
 }
 ORACLES: dict[str, str] = {
     "p2_found": _P2_MATCH + "SELECT response_no, field, pos, coalesce(b.pass, 'UNMATCHED') AS pass FROM cases c LEFT JOIN best b ON c.x = b.x",
@@ -168,7 +172,7 @@ ORACLES: dict[str, str] = {
     "p4_terms": _P4_TERMS + "SELECT * FROM report",
     "p4_ngrams": """
 WITH rec AS (SELECT row_number() OVER () AS r, list_transform(regexp_extract_all(Type_Mechanism, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM analyze_results),
-grams AS (SELECT r, n, array_to_string(list_slice(t, k, k + n - 1), ' ') AS ngram FROM (SELECT r, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM rec, (SELECT unnest([1, 2, 3])::INT AS n)))
+grams AS (SELECT r, n, array_to_string(list_slice(t, k, k + n - 1), ' ') AS ngram FROM (SELECT r, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM rec, (SELECT unnest(range(1, (SELECT max(len(t)) FROM rec) + 1))::INT AS n)))
 SELECT ngram, n, count(*) AS occurrences, count(DISTINCT r) AS records FROM grams GROUP BY 1, 2""",
     "p5_found": _RUNS + "SELECT a AS artifact_a, b AS artifact_b FROM pairs",
     "p5_classes": _RUNS
@@ -176,6 +180,7 @@ SELECT ngram, n, count(*) AS occurrences, count(DISTINCT r) AS records FROM gram
 link AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep, similarity, b FROM pairs UNION ALL SELECT b, similarity, a FROM pairs) p
   WHERE similarity < 1 AND p.rep IN (SELECT rep FROM member) AND p.b IN (SELECT rep FROM member) GROUP BY 1)
 SELECT id AS artifact_id, m.rep AS class_id, copies, coalesce(links, 0) AS links FROM member m LEFT JOIN link l ON m.rep = l.rep""",
+    "p7_audit": "SELECT name, (SELECT count(*) FROM documents WHERE text <> '') AS texts, 0::BIGINT AS overfull, 0::BIGINT AS cut, 0::BIGINT AS broken FROM capacities",
     "p8_found": _P8_WORDS + "SELECT * FROM leaks",
     "p8_items": _P8_WORDS + "SELECT item_id, count(*) AS documents FROM leaks GROUP BY 1",
 }

@@ -140,7 +140,7 @@ def marked(counts: DataFrame, rows: int, rare: int = 2, common: float = 0.25) ->
     return counts.withColumn("mark", F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * rows, "common"))
 
 
-def term_report(df: DataFrame, value_fields: tuple[str, ...], term_fields: tuple[str, ...], max_n: int = 3) -> DataFrame:
+def term_report(df: DataFrame, value_fields: tuple[str, ...], term_fields: tuple[str, ...]) -> DataFrame:
     """field, term, occurrences, records, mark of every single value or term."""
-    singles = ngram_counts(df, value_fields, term_fields, max_n).filter("n = 1")
+    singles = ngram_counts(df, value_fields, term_fields).filter("n = 1")
     return marked(singles.select("field", F.col("ngram")[0].alias("term"), "occurrences", "records"), df.count())

@@ -23,6 +23,31 @@ def test_differencing_is_balanced():
     assert sorted(k for s in sets for k in s) == list(range(300)) and max(sums) - min(sums) <= 3
 
 
+def test_every_window_is_as_differencing_made_it(monkeypatch):
+    made = set()
+    plain = packing.differencing
+
+    def recorded(sizes, m):
+        sets = plain(sizes, m)
+        made.update(tuple(sorted(sizes[k] for k in s)) for s in sets)
+        return sets
+
+    monkeypatch.setattr(packing, "differencing", recorded)
+    rng = random.Random(4)
+    items = [(min(512, max(1, int(rng.lognormvariate(5, 0.8)))), k) for k in range(3000)]
+    counts = {}
+    windows = list(packing.pack(iter(items), 512, counts=counts))
+    assert all(tuple(sorted(i[0] for i in w)) in made for w in windows)
+    assert sum(counts.values()) == len(windows) and counts["full"] > 0.9 * len(windows)
+    assert len(windows) <= 1.01 * sum(s for s, _ in items) / 512 + 1
+
+
+def test_items_that_never_fill_a_window():
+    windows = list(packing.pack(iter([(300, k) for k in range(400)]), 512))
+    assert len(windows) == 400
+    assert list(packing.pack(iter([]), 512)) == []
+
+
 def test_unused_room():
     rng = random.Random(2)
     sizes = [(min(8192, max(1, int(rng.lognormvariate(5, 1)))), k) for k in range(4000)]
@@ -61,3 +86,15 @@ def test_report_and_empty(spark, packed):
     r = packing.fill_report(packing.containers(docs, caps), caps).collect()
     assert {x["name"] for x in r} == {"s", "l"} and all(0 <= x["unused"] < 0.2 for x in r)
     assert packing.containers(docs.limit(0), caps).count() == 0
+    assert {tuple(x) for x in packing.audit(packing.containers(docs, caps), caps).collect()} == {("s", 123, 0, 0, 0), ("l", 123, 0, 0, 0)}
+
+
+def test_many_sizes_and_bad_vocabulary(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id bigint, text string")
+    caps = spark.createDataFrame([(f"c{k}", 3 + k) for k in range(1001)], "name string, n_tokens int")
+    assert packing.containers(docs, caps).select("name").distinct().count() == 1001
+    big = tmp_path / "v"
+    big.write_bytes(b"x" * 20)
+    monkeypatch.setattr(packing, "MOST_VOCABULARY_BYTES", 10)
+    with pytest.raises(ValueError):
+        packing.vocabulary_bytes(str(big))
