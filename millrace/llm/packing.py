@@ -3,7 +3,7 @@
 Texts are measured in tokens of a public tokenizer (``byte_bpe_50k``: byte-level BPE, its
 vocabulary file is a parameter). A text longer than the container is divided: whole containers
 come off its front, the rest is an item like any other. Items are spread evenly over independent
-groups of about ``group_windows`` containers. A group is packed in rounds: items for ``block`` windows
+groups of about ``group_windows`` containers, a task each. A group is packed in rounds: items for ``block`` windows
 are drawn, and Karmarkar-Karp multiway differencing joins the partial partitions with the largest
 imbalance so that their differences cancel. Windows it has filled to within ``slack`` of the capacity
 are closed as they are; the items of all others, overfull ones among them, go back and are drawn
@@ -22,6 +22,7 @@ import random
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
+from operator import itemgetter
 from statistics import median
 
 import pandas as pd
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from millrace.session import written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+_first = itemgetter(0)
 #: Split pattern of the byte-level BPE vocabulary (fixed value of that tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -67,39 +69,37 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     return documents.select("doc_id", "text").filter("text IS NOT NULL AND text <> ''").mapInPandas(measure, "doc_id bigint, tokens int")
 
 
-def differencing(sizes: list[int], m: int) -> list[list[int]]:
-    """Karmarkar-Karp: indices of sizes in m sets of nearly equal sums."""
+def differencing(sizes: list[int], m: int) -> list[tuple[int, ...]]:
+    """Karmarkar-Karp: indices of sizes in m sets of nearly equal sums.
+
+    A partial partition holds its sets with their sums less the least one, largest first; sets of sum 0 that hold
+    nothing are not written out, so most of the early steps only put two short lists together.
+    """
+    if not sizes:
+        return [()] * m
     tick = count()
-    heap = []
-    for k, s in enumerate(sizes):
-        heap.append((-s, next(tick), [(0, ())] * (m - 1) + [(s, (k,))]))  # sums ascending, less their least
-    if not heap:
-        return [[] for _ in range(m)]
+    heap = [(-s, next(tick), [(s, (k,))]) for k, s in enumerate(sizes)] if m > 1 else [(0, 0, [(0, tuple(range(len(sizes))))])]
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heapreplace
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        # The largest sums of one meet the smallest of the other; sets are kept as trees and flattened at the end.
-        joined = [(x[0] + y[0], (x[1], y[1]) if x[1] and y[1] else x[1] or y[1]) for x, y in zip(a, reversed(b), strict=True)]
-        joined.sort(key=lambda x: x[0])
-        least = joined[0][0]
-        joined = [(s - least, t) for s, t in joined]
-        heapq.heappush(heap, (-joined[-1][0], next(tick), joined))
-    out = []
-    for _, tree in heap[0][2]:
-        flat, stack = [], [tree]
-        while stack:
-            t = stack.pop()
-            for x in t:
-                if isinstance(x, int):
-                    flat.append(x)
-                else:
-                    stack.append(x)
-        out.append(flat)
-    return out
-
-
-def pack(items: Iterator[tuple], capacity: int, block: int = 16, slack: float = 0.002, pool: int = 6, counts: dict[str, int] | None = None) -> Iterator[list[tuple]]:
+        a, b = pop(heap)[2], heap[0][2]
+        alone = m - len(b)  # sets of a that meet an empty one
+        if len(a) <= alone:
+            joined = a + b
+        else:
+            # The largest sums of one meet the smallest of the other.
+            joined = a[:alone]
+            joined += [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[alone:], reversed(b))]  # noqa: B905 - b is the longer
+            joined += b[: len(b) - (len(a) - alone)]
+        joined.sort(key=_first, reverse=True)
+        if len(joined) == m and (least := joined[-1][0]):
+            joined = [(s - least, t) for s, t in joined]
+        push(heap, (-joined[0][0], next(tick), joined))
+    sets = [t for _, t in heap[0][2]]
+    return sets + [()] * (m - len(sets))
+
+
+def pack(items: Iterator[tuple], capacity: int, block: int = 12, slack: float = 0.002, pool: int = 8, counts: dict[str, int] | None = None) -> Iterator[list[tuple]]:
     """Windows of items (size, ...) with no sum beyond the capacity, each exactly as differencing made it.
 
     ``counts`` takes up the number of windows closed as full (``full``), closed as the fullest of a round without any
@@ -157,7 +157,6 @@ def pack(items: Iterator[tuple], capacity: int, block: int = 16, slack: float =
             yield from round_(block)
     # No more items: rounds go on with what is left while it fills several windows, then everything is divided at
     # once, and the number of windows rises whenever one of them exceeds the capacity.
-    patience = 120
     while total > LEAST_WINDOWS * capacity:
         yield from round_(max(2, min(block, int(total // capacity) - 1)))
     rest = fresh + back
@@ -179,7 +178,7 @@ LEAST_WINDOWS = 6
 GROUP_ROWS = 200_000
 
 
-def containers(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABULARY, group_windows: int = 2048, block: int = 16, slack: float = 0.002) -> DataFrame:
+def containers(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABULARY, group_windows: int = 1024, block: int = 12, slack: float = 0.002) -> DataFrame:
     """name, container_id, doc_id, piece, first_token, n_tokens: where every text, or piece of one, is put."""
     counts = written(token_counts(documents, vocabulary), "tokens")
     total, texts = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).head(1)[0]  # two numbers
@@ -201,8 +200,11 @@ def containers(documents: DataFrame, capacities: DataFrame, vocabulary: str = VO
         rows = [(name, f"g{group}:{k}", i[1], i[2], i[3], i[0]) for k, w in enumerate(pack(items, capacity, block, slack)) for i in w]
         return pd.DataFrame(rows, columns=["name", "container_id", "doc_id", "piece", "first_token", "n_tokens"])
 
-    # The last piece of each text is the only one below the capacity, so a group has about texts / groups rows.
-    rest = pieces.filter("n_tokens < capacity").groupBy("name", "grp").applyInPandas(fill, "name string, container_id string, doc_id bigint, piece bigint, first_token bigint, n_tokens int")
+    # The last piece of each text is the only one below the capacity, so a group has about texts / groups rows. The number of
+    # tasks is given: by the size of its rows, which says nothing of the work, Spark would put many groups into one.
+    tasks = sizes.agg(F.sum(groups)).head(1)[0][0] or 1  # one number
+    rest = pieces.filter("n_tokens < capacity").repartition(int(min(tasks, 10_000)), "name", "grp").groupBy("name", "grp")
+    rest = rest.applyInPandas(fill, "name string, container_id string, doc_id bigint, piece bigint, first_token bigint, n_tokens int")
     return full.unionByName(rest)
 
 
