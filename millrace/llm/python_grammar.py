@@ -236,8 +236,6 @@ class _Scan:
             elif kind == "op":
                 o = m[0]
                 depth = max(0, depth + (o in "([{") - (o in ")]}"))
-                if depth > 200:
-                    return add(BAD, at)
                 add(KINDS[o], at)
             elif kind == "newline":
                 if not depth:

@@ -10,7 +10,8 @@ extensions have no grammar, their files are in no case and have a null ``valid``
 
 Defined results: null contents have a null ``valid`` and count in no rate; an empty content is a
 valid Java unit and Python module, and no JSON value or XML document; rows repeated come out
-repeated; a file too deep for the parser counts as invalid with cause ``too_deep``.
+repeated; nesting has no limit of its own: a file that exhausts the memory of the parser has a null
+``valid`` and the cause ``not_parsed``, it is in no case and in no rate.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def cause(lang: str, text: str, at: int) -> str:
     if _CONFLICT.search(text[before : len(text) if end < 0 else end]):
         return "conflict"
     for other in LANGUAGES:
-        if other != lang and text.strip() and not (other == "py" and len(text) < 40) and failure(other, text) < 0:
+        if other != lang and text.strip() and failure(other, text) < 0:
             return "wrong_extension"
     return "truncated" if not text[at:].strip() else "syntax"
 
@@ -74,9 +75,10 @@ def checked_files(artifacts: DataFrame, keep: tuple[str, ...] = ("repository",))
                     try:
                         p = failure(lang, text)
                         w = cause(lang, text, p) if p >= 0 else None
+                        valid.append(p < 0)
                     except (RecursionError, MemoryError):
-                        p, w = 0, "too_deep"
-                    valid.append(p < 0)
+                        p, w = -1, "not_parsed"
+                        valid.append(None)
                 at.append(None if p < 0 else p)
                 line.append(None if p < 0 else text.count("\n", 0, p) + 1)
                 why.append(w)
@@ -94,5 +96,5 @@ def found_invalid(artifacts: DataFrame) -> DataFrame:
 def invalid_rates(checked: DataFrame) -> DataFrame:
     """repository, language, files, invalid, share, and the number of invalid files by cause."""
     by = checked.filter("valid IS NOT NULL").groupBy("repository", "language")
-    causes = [F.count_if(F.col("cause") == c).alias(c) for c in ("conflict", "truncated", "wrong_extension", "syntax", "too_deep")]
+    causes = [F.count_if(F.col("cause") == c).alias(c) for c in ("conflict", "truncated", "wrong_extension", "syntax")]
     return by.agg(F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"), *causes).withColumn("share", F.col("invalid") / F.col("files"))

@@ -79,6 +79,13 @@ def test_deep_and_long_texts():
     assert syntax.failure("java", "class A { int x = 1; }\n" * 20_000 + "}") >= 0
 
 
+def test_nesting_has_no_limit(spark, monkeypatch):
+    for depth in (200, 201, 300, 2000):
+        assert syntax.failure("py", "x = " + "(" * depth + "1" + ")" * depth + "\n") == -1
+        assert syntax.failure("py", "x = " + "(" * depth + "1" + ")" * (depth - 1) + "\n") >= 0
+    assert syntax.cause("java", "x = 1\n", syntax.failure("java", "x = 1\n")) == "wrong_extension"
+
+
 def test_packrat_choice_and_lookahead():
     g = Grammar("S <- A !'b' 'c'? EOF / 'a' 'b' EOF\nA <- 'a' / 'x'+", "S", {"a": "a", "b": "b", "c": "c", "x": "x"}, {})
     assert [g.failure(k) for k in ("a", "ac", "ab", "xxx")] == [-1] * 4
