@@ -28,6 +28,23 @@ def test_hits(spark):
     assert {tuple(r) for r in leakage.leaked_items(leakage.found_leaks(d, b)).collect()} == {(1, 6), (2, 1), (5, 1)}
 
 
+def test_items_in_blocks(spark):
+    """More runs than one block takes: several scans, the same result."""
+    d, b = frames(spark, [(k, f"a {ITEM} b {OTHER}" if k % 3 else "nothing") for k in range(12)])
+    want = sorted(tuple(r) for r in leakage.found_leaks(d, b).collect())
+    assert len(want) == 24 and sorted(tuple(r) for r in leakage.found_leaks(d, b, max_runs=3).collect()) == want
+    clean = sorted((r["doc_id"], r["text"]) for r in leakage.cleaned(d, b, max_share=1.0).collect())
+    assert sorted((r["doc_id"], r["text"]) for r in leakage.cleaned(d, b, max_share=1.0, max_runs=3).collect()) == clean
+
+
+def test_equal_hashes_are_told_apart(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(leakage.RunSet, "places", lambda self, h: np.arange(len(h)))
+    d, b = frames(spark, [(1, ITEM), (2, "other words than those of any item " * 5)])
+    assert {tuple(r) for r in leakage.found_leaks(d, b).collect()} == {(1, 1)}
+
+
 def test_cleaning(spark):
     d, b = frames(spark, [(1, f"Keep this part of the text, it is long enough to stay where it is for good. {ITEM} " + "and keep this as well. " * 20), (2, OTHER), (3, None), (4, "plain")])
     rows = {r["doc_id"]: r for r in leakage.cleaned(d, b).collect()}
