@@ -78,6 +78,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of the shared folder."""
+    p, fs = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file of the shared folder: it is written beside its place and moved there."""
+    p, fs = _file_system(spark, path)
+    beside, _ = _file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(beside, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    if not fs.rename(beside, p):
+        fs.delete(p, False)
+        if not fs.rename(beside, p):
+            raise OSError(f"{path} cannot be replaced")
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables of this process; call it when no result that reads them is needed any more."""
     n = 0
