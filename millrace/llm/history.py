@@ -1,138 +1,209 @@
 """New batches against all history (problem 3).
 
-The history is a folder: ``keys`` (minwise band keys with the id they stand for, partitioned by a
-hash of the key) and ``records`` (id, class digest, size, signature). A batch is probed against
-all partitions, and nothing of the history is read as text or shuffled: the keys of the batch are
-broadcast to the scan, at most ``broadcast_rows`` at a time (checked): a larger batch is probed bucket by bucket, and only one whose keys of a single bucket are more than
-that is joined by shuffle. Of the history only the rows that share a key go on. Keys that more
-than ``hot`` rows share do not give pairs; their ids go through the exact prefix filter.
-Candidates pass the Bayesian test on signatures and are verified on whole texts; then the classes
-new to the history are appended. Copies of a class that is there already have a lower-numbered
-equal in the history and need no second entry.
+The history is a folder with two bucketed Parquet tables: ``keys`` (minwise band keys with the size
+and id they stand for, bucketed and sorted by key) and ``records`` (id, class digest, size,
+signature, text; bucketed and sorted by id). Only the least id of each class of equal sets is kept.
+``check`` takes the rows of one or more new batches, gives each that is similar to an earlier row,
+and appends the classes that are new:
+
+1. Band keys of the new classes are probed. If they are few, they are pushed into the scan: Spark
+   prunes the buckets, Parquet skips the pages whose key range holds none. If they are many, they
+   are joined bucket by bucket: only they are shuffled, the history is read where it lies.
+2. Candidates pass the Bayesian test on signatures and are verified on whole texts; records are
+   looked up by id in the same two ways. A candidate of equal class digest is a copy.
+3. Keys that more than ``hot`` rows share do not give pairs; their ids go through the exact prefix
+   filter.
+4. Classes the history does not hold (or holds by a greater id only) are appended. Nothing is
+   compared with the history as a whole, and an append that broke off and is repeated only repeats
+   entries, which changes no result.
+
+A table that has outgrown its number of buckets is rewritten with four times as many, so the cost
+of growing stays in proportion to what is added.
 
 Defined results: null texts and texts with fewer tokens than a run match nothing; rows without a
-batch number are left out; batches are taken in ascending order, whatever their numbers; rows of
-one batch are not compared with each other; ``sha256`` is only a hint that may be null or stale,
-so equality is taken from the texts; rows repeated under one id count once.
+batch number are left out; every row of the history counts as earlier than every row of a call, and
+within a call batches follow their numbers; rows of one batch are not compared with each other;
+``sha256`` is only a hint that may be null or stale, so equality is taken from the texts; rows
+repeated under one id count once; ids need not rise with the batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.llm.shingles import Similarity, bucket_pairs, prefix_pairs, prune, signatures, verify
-from millrace.session import exists, fresh_path, written
+from millrace.session import exists, fresh_path, read_text, write_text, written
 
+_COLUMNS = {"keys": "key bigint, n int, id bigint", "records": "id bigint, cls binary, n int, sig binary, text string"}
+_BY = {"keys": "key", "records": "id"}
+#: Scans among which a look-up of few keys is divided, by their buckets.
+_SCANS = 32
 
-class History:
-    """What has been accepted so far, as Parquet below ``path``; a path that is there already is continued. A part
-    whose writing broke off is not counted and will be written again."""
 
-    def __init__(self, spark: SparkSession, path: str, sim: Similarity = Similarity(), buckets: int = 8, broadcast_rows: int = 1_000_000) -> None:
-        self.spark, self.path, self.sim, self.buckets, self.broadcast_rows = spark, path, sim, buckets, broadcast_rows
-        self.parts = 0
-        while exists(spark, f"{path}/keys/part={self.parts}/_SUCCESS"):  # the keys of a part are written last
-            self.parts += 1
+def _any_of(c: Column, values: list[int]) -> Column:
+    """Whether c is one of the values, as a balanced tree of equalities: a list of values would reach the pages of the scan
+    as their range only."""
+    if len(values) < 2:
+        return c == F.lit(values[0]) if values else F.lit(False)
+    half = len(values) // 2
+    return _any_of(c, values[:half]) | _any_of(c, values[half:])
 
-    def _bucket(self, key: str = "key") -> F.Column:
-        return F.pmod(F.col(key), F.lit(self.buckets)).cast("int")
 
-    def records(self) -> DataFrame:
-        return self.spark.read.schema("id bigint, cls binary, n int, sig binary, part int").parquet(f"{self.path}/records").filter(F.col("part") < self.parts).drop("part")
+class History:
+    """What has been accepted so far, as tables below ``path``; a path that is there already is continued."""
+
+    def __init__(self, spark: SparkSession, path: str, sim: Similarity = Similarity(), keys_a_bucket: int = 2_000_000, pushed: int = 1024) -> None:
+        self.spark, self.path, self.sim, self.keys_a_bucket, self.pushed = spark, path.rstrip("/"), sim, keys_a_bucket, pushed
+        state = f"{self.path}/state.json"
+        #: version and buckets of the tables, and about how many keys they hold.
+        self.state: dict = json.loads(read_text(spark, state)) if exists(spark, state) else {"version": 0, "buckets": 0, "keys": 0}
+        self._names: dict[tuple[str, int], str] = {}
+
+    @property
+    def empty(self) -> bool:
+        return not self.state["buckets"]
+
+    def _table(self, kind: str) -> str:
+        """Name under which this session knows the present version of a table."""
+        at = kind, self.state["version"]
+        if at not in self._names:
+            name = f"millrace_{kind}_{uuid.uuid4().hex}"
+            by, n = _BY[kind], self.state["buckets"]
+            # Short pages, so that a look-up of a few keys reads a few of them.
+            self.spark.sql(
+                f"CREATE TABLE {name} ({_COLUMNS[kind]}) USING parquet OPTIONS ('parquet.page.row.count.limit'='256', 'compression'='zstd') CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{self.path}/{kind}-{at[1]}'"
+            )
+            self._names[at] = name
+        return self._names[at]
 
     def keys(self) -> DataFrame:
-        return self.spark.read.schema("key bigint, n int, id bigint, part int, bucket int").parquet(f"{self.path}/keys").filter(F.col("part") < self.parts).drop("part")
-
-    def matching(self, mine: DataFrame, at: str, most: int) -> DataFrame:
-        """Rows of the history whose key is among ``mine`` (key, n, id; at most ``most`` rows), written below ``at``; the
-        history is only scanned."""
-        wanted = mine.select("key", self._bucket().alias("bucket"))
-        if most <= self.broadcast_rows:
-            sizes = dict.fromkeys(range(self.buckets), most // self.buckets)
-        else:
-            sizes = {r["bucket"]: r["count"] for r in wanted.groupBy("bucket").count().collect()}  # one row a bucket
-        rounds: list[list[int]] = []
-        held = 0
-        for k in sorted(sizes):
-            if not rounds or held + sizes[k] > self.broadcast_rows:
-                rounds.append([])
-                held = 0
-            rounds[-1].append(k)
-            held += sizes[k]
-        for part in rounds:
-            here = F.col("bucket").isin(part) if len(part) < self.buckets else F.lit(True)
-            old, some = self.keys().filter(here), wanted.filter(here).select("key")
-            small = sum(sizes[k] for k in part) <= self.broadcast_rows
-            old.join(F.broadcast(some) if small else some.hint("shuffle_hash"), "key", "left_semi").select("key", "n", "id").write.mode("append").parquet(at)
-        return self.spark.read.schema("key bigint, n int, id bigint").parquet(at) if rounds else self.spark.createDataFrame([], "key bigint, n int, id bigint")
-
-    def probe(self, batch: DataFrame, at: str, size: int) -> DataFrame:
-        """(a, b): ids a of the history and b of the batch (of at most ``size`` rows) that share a key and fit in size;
-        (id, null): members of hot keys."""
-        mine = batch.select(F.explode("bands").alias("key"), "n", "id")
-        old = self.matching(mine, f"{at}/matching", size * self.sim.bands)
-        few = old.select("key").distinct()
-        met = mine.join(F.broadcast(few) if old.count() <= self.broadcast_rows else few, "key", "left_semi")
-        rows = old.withColumn("side", F.lit(0)).unionByName(met.select("key", "n", "id").withColumn("side", F.lit(1)))
-        return bucket_pairs(rows, self.sim).distinct()
-
-    def append(self, batch: DataFrame, size: int) -> None:
-        """Add the classes of the batch that are new: one id each, the least."""
-        at = f"{self.path}/{{}}/part={self.parts}"
-        first = batch.groupBy("cls").agg(F.min("id").alias("id"))
-        if self.parts:
-            first = first.join(self.records().select("cls"), "cls", "left_anti")
-        new = batch.join(first.select("id"), "id", "left_semi")
-        new.select("id", "cls", "n", "sig").write.mode("overwrite").parquet(at.format("records"))
-        keys = batch.join(self.spark.read.parquet(at.format("records")).select("id"), "id", "left_semi")
-        keys = keys.select(F.explode("bands").alias("key"), "n", "id").withColumn("bucket", self._bucket())
-        keys.coalesce(max(1, min(size // 10_000, 2000))).write.mode("overwrite").partitionBy("bucket").parquet(at.format("keys"))
-        self.parts += 1
-
-
-def candidate_pairs(history: History, sigs: DataFrame, batch_col: str = "batch_no") -> DataFrame:
-    """a, b over all batches of ``sigs`` (written, partitioned by batch): ids of the history and of a later batch that share
-    a key; (id, null): members of hot keys. Each class of a batch is probed once, by its least id."""
-    paths = []
-    for number, size in sigs.groupBy(batch_col).count().orderBy(batch_col).collect():  # one row a batch
-        batch = sigs.filter(F.col(batch_col) == number)
-        if history.parts:
-            at = fresh_path(history.spark, "probe")
-            heads = batch.groupBy("cls").agg(F.min("id").alias("id"))
-            history.probe(batch.join(heads.select("id"), "id", "left_semi"), at, size).write.parquet(f"{at}/near")
-            paths.append(f"{at}/near")
-        history.append(batch, size)
-    spark = history.spark
-    return spark.read.schema("a bigint, b bigint").parquet(*paths) if paths else spark.createDataFrame([], "a bigint, b bigint")
-
-
-def earlier_copies(heads: DataFrame, batch_col: str = "batch_no") -> DataFrame:
-    """a, b: the least id of an earlier batch whose set of runs is that of b; heads: cls, batch, b (one row a class and batch)."""
-    before = W.partitionBy("cls").orderBy(batch_col).rowsBetween(W.unboundedPreceding, -1)
-    return heads.select(F.min("b").over(before).alias("a"), "b").filter("a IS NOT NULL")
+        return self.spark.table(self._table("keys"))
+
+    def records(self) -> DataFrame:
+        return self.spark.table(self._table("records"))
+
+    def _insert(self, kind: str, df: DataFrame) -> None:
+        by = _BY[kind]
+        names = [c.split()[0] for c in _COLUMNS[kind].split(", ")]
+        df.select(*names).repartition(self.state["buckets"], by).write.insertInto(self._table(kind))
+
+    def picked(self, kind: str, columns: list[str], wanted: DataFrame) -> DataFrame:
+        """Rows of a table whose key (or id) is among ``wanted`` (one column, written): read from the pages that hold them
+        if they are few, else by a join with the table as it is bucketed."""
+        by, rows = _BY[kind], self.spark.table(self._table(kind)).select(*columns)
+        if wanted.count() > self.pushed:
+            return rows.join(wanted.toDF(by).hint("shuffle_hash"), by, "left_semi")
+        # Each bucket is sorted over all keys, so a scan of many buckets would read a page in each for every key: the
+        # buckets are scanned in groups, each with the keys that belong there.
+        group = F.pmod(F.pmod(F.hash(by), F.lit(self.state["buckets"])), F.lit(_SCANS))
+        of: dict[int, set[int]] = {}
+        for value, g in wanted.toDF(by).select(by, group).collect():  # at most ``pushed`` numbers
+            of.setdefault(g, set()).add(value)
+        parts = [rows.filter(_any_of(F.col(by), sorted(values))) for _, values in sorted(of.items())] or [rows.limit(0)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def append(self, entries: DataFrame, texts: DataFrame) -> None:
+        """Add entries (id, cls, n, bands, sig) with their texts (id, text)."""
+        count = entries.count()
+        if not count:
+            return
+        keys = self.state["keys"] + count * self.sim.bands
+        if self.empty:
+            self.state["buckets"] = max(16, -(-keys // self.keys_a_bucket))
+            write_text(self.spark, f"{self.path}/state.json", json.dumps(self.state))
+        # A record without keys is never looked up, so the records go first.
+        self._insert("records", entries.select("id", "cls", "n", "sig").join(texts.dropDuplicates(["id"]), "id"))
+        self._insert("keys", entries.select(F.explode("bands").alias("key"), "n", "id"))
+        self.state["keys"] = keys
+        if keys > 4 * self.keys_a_bucket * self.state["buckets"]:
+            self._grow()
+        write_text(self.spark, f"{self.path}/state.json", json.dumps(self.state))
+
+    def _grow(self) -> None:
+        """Both tables with four times as many buckets, as a new version; the old one stays for readers that have it."""
+        old = {kind: self.spark.table(self._table(kind)) for kind in _COLUMNS}
+        self.state |= {"version": self.state["version"] + 1, "buckets": 4 * self.state["buckets"]}
+        for kind, df in old.items():
+            self._insert(kind, df)
+
+    def check(self, rows: DataFrame, id_col: str, text_col: str, batch_col: str) -> DataFrame:
+        """earlier_id, id: each row that is similar to one of the history or of an earlier batch of the call, with the least
+        such id. Then the call's classes are part of the history."""
+        sim = self.sim
+        src = rows.filter(F.col(batch_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(batch_col).alias("batch")).filter("text IS NOT NULL AND id IS NOT NULL")
+        texts = src.select("id", "text")
+        sigs = written(signatures(src, "id", "text", sim, keep=("batch",)), "batches")
+        least = sigs.groupBy("cls").agg(F.min("id").alias("rep"))
+        members = written(sigs.select("id", "batch", "cls").distinct().join(least, "cls").select("id", "batch", "rep"), "members")
+        reps = written(sigs.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi").drop("batch").dropDuplicates(["id"]), "representatives")
+
+        old, new, hot = self._candidates(reps)
+        ours = reps.select("id", "sig", "cls")
+        theirs, their_texts = ours.limit(0), texts.limit(0)
+        if not self.empty:
+            ids = written(old.select("a").union(hot.filter("old").select(F.col("id").alias("a"))).distinct(), "ids")
+            theirs = self.picked("records", ["id", "sig", "cls"], ids)
+            their_texts = self.picked("records", ["id", "text"], ids)
+        if hot.head(1):
+            wide = self._hot_pairs(hot, texts, their_texts)
+            old = old.unionByName(wide.filter("old").select("a", "b")).distinct()
+            new = new.unionByName(wide.filter("NOT old").select("a", "b")).distinct()
+        found_new = verify(prune(new, ours, sim), texts, sim).select("a", "b")
+        left = written(prune(old, theirs, sim, ours), "left")
+        copies = left.filter("same").select("a", "b")
+        found_old = written(copies.unionByName(verify(left.filter("NOT same").select("a", "b"), texts, sim, texts_a=their_texts).select("a", "b")).distinct(), "old")
+
+        answer = written(self._earlier(members, found_old, found_new), "earlier")
+        self.append(reps.join(copies.filter("a <= b").select(F.col("b").alias("id")), "id", "left_anti"), texts)
+        return answer
+
+    def _candidates(self, reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(a of the history, b of reps), (a < b of reps) that share a key, and hot (id, old): members of hot keys."""
+        mine = reps.select(F.explode("bands").alias("key"), "n", "id")
+        rows = mine.withColumn("side", F.lit(1))
+        if not self.empty:
+            probe = reps.select(F.explode("bands").alias("key"))
+            rows = self.picked("keys", ["key", "n", "id"], probe).withColumn("side", F.lit(0)).unionByName(rows)
+        raw = written(bucket_pairs(rows, self.sim).distinct(), "near")
+        pairs = raw.filter("b IS NOT NULL AND a <> b")
+        return pairs.filter("old").select("a", "b"), pairs.filter("NOT old").select("a", "b"), raw.filter("b IS NULL").select(F.col("a").alias("id"), "old").distinct()
+
+    def _hot_pairs(self, hot: DataFrame, texts: DataFrame, their_texts: DataFrame) -> DataFrame:
+        """a, b, old of the members of hot keys, by the exact prefix filter; pairs within the history are left out."""
+        both = texts.join(hot.filter("NOT old").select("id"), "id", "left_semi").unionByName(their_texts.join(hot.filter("old").select("id"), "id", "left_semi"))
+        side = lambda k: hot.select(F.col("id").alias(k), F.col("old").alias(f"old_{k}"))
+        wide = prefix_pairs(both.dropDuplicates(["id"]), self.sim).join(side("a"), "a").join(side("b"), "b").filter("NOT (old_a AND old_b)")
+        turned = F.col("old_b")
+        return wide.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), (F.col("old_a") | F.col("old_b")).alias("old"))
+
+    @staticmethod
+    def _earlier(members: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+        """earlier_id, id of every member: the least id of similar classes of the history, of earlier batches of its own class
+        and of similar classes."""
+        heads = members.groupBy("rep", "batch").agg(F.min("id").alias("head"))
+        from_history = heads.select("rep", "batch").join(old.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("earlier_id")), "rep")
+        before = F.min("head").over(W.partitionBy("rep").orderBy("batch").rowsBetween(W.unboundedPreceding, -1))
+        own = heads.select("rep", "batch", before.alias("earlier_id")).filter("earlier_id IS NOT NULL")
+        ways = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = heads.select(F.col("rep").alias("a"), F.col("batch").alias("batch_a"), "head")
+        others = ways.join(first, "a").join(heads.select(F.col("rep").alias("b"), "batch"), "b").filter("batch_a < batch")
+        others = others.groupBy(F.col("b").alias("rep"), "batch").agg(F.min("head").alias("earlier_id"))
+        best = from_history.unionByName(own).unionByName(others).groupBy("rep", "batch").agg(F.min("earlier_id").alias("earlier_id"))
+        return members.join(best, ["rep", "batch"]).select("earlier_id", "id")
 
 
 def found_earlier(artifacts: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """earlier_id, artifact_id: each artifact with the lowest similar artifact of an earlier batch."""
+    """earlier_id, artifact_id: each artifact with the lowest similar artifact of an earlier batch. The first batch makes the
+    history, the others are checked against it and one another."""
     spark = artifacts.sparkSession
-    src = artifacts.filter("batch_no IS NOT NULL")
-    sigs = written(signatures(src, "artifact_id", "content", sim, keep=("batch_no",)), "batches", partition_by=["batch_no"])
     history = History(spark, fresh_path(spark, "history"), sim)
-    near = candidate_pairs(history, sigs)
-    texts = src.select(F.col("artifact_id").alias("id"), F.col("content").alias("text")).filter("text IS NOT NULL")
-    hot = near.filter("b IS NULL").select(F.col("a").alias("id")).distinct()
-    pairs = near.filter("b IS NOT NULL")
-    if hot.head(1):
-        number = sigs.select("id", "batch_no").distinct()
-        wide = prefix_pairs(texts.join(hot, "id", "left_semi").dropDuplicates(["id"]), sim).join(number.withColumnsRenamed({"id": "a", "batch_no": "na"}), "a").join(number.withColumnsRenamed({"id": "b", "batch_no": "nb"}), "b")
-        turned = F.col("na") > F.col("nb")
-        wide = wide.filter("na <> nb").select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
-        pairs = pairs.unionByName(wide).distinct()
-    checked = verify(prune(pairs, sigs.select("id", "sig"), sim), texts, sim).select("a", "b")
-    # Each class of a batch was probed once, by its least id; its other ids get the same answer.
-    ids = sigs.select("id", "batch_no", "cls").distinct()
-    heads = ids.groupBy("batch_no", "cls").agg(F.min("id").alias("b"))
-    best = checked.unionByName(earlier_copies(heads)).groupBy("b").agg(F.min("a").alias("earlier_id"))
-    return best.join(heads, "b").join(ids, ["batch_no", "cls"]).select("earlier_id", F.col("id").alias("artifact_id"))
+    first = artifacts.agg(F.min("batch_no")).head(1)[0][0]  # one number
+    history.check(artifacts.filter(F.col("batch_no") == F.lit(first)), "artifact_id", "content", "batch_no")
+    found = history.check(artifacts.filter(F.col("batch_no") > F.lit(first)), "artifact_id", "content", "batch_no")
+    return found.withColumnRenamed("id", "artifact_id")

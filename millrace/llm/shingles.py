@@ -132,6 +132,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, sim: Similarity, keep:
                     ns.append(len(s))
                     bands.append(band_keys(m, sim))
                     sigs.append(short_signature(m))
+            if not rows:  # an empty list has no type that Arrow could turn into arrays
+                continue
             out = b.iloc[rows].drop(columns="__text")
             yield out.assign(cls=cls, n=ns, bands=bands, sig=sigs)
 
@@ -173,25 +175,26 @@ def survivors(a: np.ndarray, b: np.ndarray, sim: Similarity) -> np.ndarray:
     return keep
 
 
-def prune(pairs: DataFrame, sigs: DataFrame, sim: Similarity) -> DataFrame:
-    """Of the candidate pairs (a, b), those the Bayesian test leaves; sigs: id, sig."""
-    joined = (
-        pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .select("a", "b", "sig_a", "sig_b")
-    )
+def prune(pairs: DataFrame, sigs: DataFrame, sim: Similarity, sigs_b: DataFrame | None = None) -> DataFrame:
+    """Of the candidate pairs (a, b), those the Bayesian test leaves; sigs: id, sig of a and b. With ``sigs_b`` (of b alone)
+    both have a cls as well, and same tells whether it is equal."""
+    side = lambda df, k: df.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"), *([F.col("cls").alias(f"cls_{k}")] if sigs_b is not None else []))
+    joined = pairs.join(side(sigs, "a"), "a").join(side(sigs if sigs_b is None else sigs_b, "b"), "b")
+    joined = joined.select("a", "b", "sig_a", "sig_b", *([F.expr("cls_a = cls_b").alias("same")] if sigs_b is not None else []))
+    kept = ["a", "b"] if sigs_b is None else ["a", "b", "same"]
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             if len(t):
                 x, y = (np.frombuffer(b"".join(t[c]), np.uint8).reshape(len(t), -1) for c in ("sig_a", "sig_b"))
-                yield t.loc[survivors(x, y, sim), ["a", "b"]]
+                yield t.loc[survivors(x, y, sim), kept]
 
-    return joined.mapInPandas(test, "a bigint, b bigint")
+    return joined.mapInPandas(test, "a bigint, b bigint" + (", same boolean" if sigs_b is not None else ""))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, sim: Similarity, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Of the pairs (a, b), those whose sets of runs reach the threshold exactly; texts: id, text. Adds similarity.
+def verify(pairs: DataFrame, texts: DataFrame, sim: Similarity, broadcast_rows: int = 1_000_000, texts_a: DataFrame | None = None) -> DataFrame:
+    """Of the pairs (a, b), those whose sets of runs reach the threshold exactly; texts: id, text (of b alone, if those of a
+    are given by themselves). Adds similarity.
 
     Texts that are in no pair are left out before the shuffle if the ids are few enough to broadcast (counted first).
     """
@@ -199,7 +202,7 @@ def verify(pairs: DataFrame, texts: DataFrame, sim: Similarity, broadcast_rows:
     if 2 * pairs.count() <= broadcast_rows:
         texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
     joined = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs.join((texts if texts_a is None else texts_a).select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
@@ -232,7 +235,8 @@ def verify(pairs: DataFrame, texts: DataFrame, sim: Similarity, broadcast_rows:
 def bucket_pairs(rows: DataFrame, sim: Similarity) -> DataFrame:
     """Pairs (a, b) of ids that share a key and may reach the threshold by size; rows: key, n, id and, optionally, side.
 
-    Without sides a < b; with sides (0 and 1) only pairs of different sides come out, a being of side 0.
+    Without sides a < b. With sides (0: old, 1: new) pairs of two old rows do not come out, an old row is a, and old tells
+    whether a is one.
     Rows are sorted by key within a task and streamed, so no bucket is held whole: one of more than
     ``sim.hot`` members gives rows (id, null) instead, for ``prefix_pairs``.
     """
@@ -244,23 +248,26 @@ def bucket_pairs(rows: DataFrame, sim: Similarity) -> DataFrame:
         rest: tuple[np.ndarray, ...] | None = None
         hot_key = None
 
-        def marked(ids: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"a": ids, "b": None}).astype({"b": "Int64"})
+        def marked(ids: np.ndarray, sides: np.ndarray) -> pd.DataFrame:
+            return framed(ids, np.full(len(ids), None), sides)
+
+        def framed(a: np.ndarray, b: np.ndarray, sides: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"a": a, "b": b} | ({"old": sides == 0} if two else {})).astype({"b": "Int64"})
 
         def pairs(key: np.ndarray, n: np.ndarray, i: np.ndarray, s: np.ndarray) -> Iterator[pd.DataFrame]:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             big = np.repeat(sizes > sim.hot, sizes)
             if big.any():
-                yield marked(i[big])
+                yield marked(i[big], s[big])
             live = np.flatnonzero(~big & np.repeat(sizes > 1, sizes))
             step = 1
             while len(live := live[live + step < len(key)]) and len(live := live[key[live] == key[live + step]]):
                 live = live[n[live] >= sim.threshold * n[live + step] - 1e-9]  # sizes rise within a key: one too large now stays so
-                x, y = (live[s[live] != s[live + step]],) * 2 if two else (live, live)
-                y = y + step
-                first = s[x] == 0 if two else i[x] < i[y]
-                yield pd.DataFrame({"a": np.where(first, i[x], i[y]), "b": np.where(first, i[y], i[x])}).astype({"b": "Int64"})
+                x = live[(s[live] | s[live + step]) != 0] if two else live
+                y = x + step
+                first = np.where(s[x] != s[y], s[x] < s[y], i[x] < i[y])
+                yield framed(np.where(first, i[x], i[y]), np.where(first, i[y], i[x]), np.minimum(s[x], s[y]))
                 step += 1
 
         for t in batches:
@@ -271,14 +278,14 @@ def bucket_pairs(rows: DataFrame, sim: Similarity) -> DataFrame:
             if hot_key is not None and len(cols[0]):
                 skip = int(np.searchsorted(cols[0], hot_key, side="right"))
                 if skip:
-                    yield marked(cols[2][:skip])
+                    yield marked(cols[2][:skip], cols[3][:skip])
                     cols = tuple(x[skip:] for x in cols)
             if not len(cols[0]):
                 continue
             hot_key, cut = None, int(np.searchsorted(cols[0], cols[0][-1], side="left"))
             if len(cols[0]) - cut > sim.hot:
                 hot_key = cols[0][-1]
-                yield marked(cols[2][cut:])
+                yield marked(cols[2][cut:], cols[3][cut:])
             else:
                 rest = tuple(x[cut:] for x in cols)
             if cut:
@@ -286,7 +293,7 @@ def bucket_pairs(rows: DataFrame, sim: Similarity) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield from pairs(*rest)
 
-    return ordered.mapInPandas(emit, "a bigint, b bigint")
+    return ordered.mapInPandas(emit, "a bigint, b bigint" + (", old boolean" if two else ""))
 
 
 def prefix_pairs(texts: DataFrame, sim: Similarity) -> DataFrame:

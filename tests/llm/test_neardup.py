@@ -4,7 +4,10 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from millrace.llm import history, neardup
+from millrace.session import fresh_path
 from millrace.llm.shingles import Similarity, bucket_pairs, least_matches, minhash, prefix_pairs, shingle_hashes, short_signature, survivors
 
 SIM = Similarity()
@@ -75,21 +78,61 @@ def test_empty_and_long(spark):
     assert [tuple(r) for r in got] == [(1, 2)]
 
 
-def test_history_in_small_broadcasts(spark):
+def test_history_batch_by_batch(spark):
+    """One batch a call gives what one call for all gives; tables grow, are opened again, and are joined or looked up."""
     rows = corpus(4)
-    sigs_all = history.found_earlier(frame(spark, rows)).collect()
+    df = frame(spark, rows + EDGES + rows[:2])
+    want = {tuple(r) for r in history.found_earlier(df).collect()}
+    assert want
+    for settings in ({"pushed": 0}, {"pushed": 1024, "keys_a_bucket": 30}):
+        path, got = fresh_path(spark, "h"), set()
+        for number in sorted({b for _, b, _ in rows}):
+            h = history.History(spark, path, SIM, **settings)  # opened again, it goes on where it was
+            got |= {tuple(r) for r in h.check(df.filter(f"batch_no = {number}"), "artifact_id", "content", "batch_no").collect()}
+        assert got == want, settings
+        assert h.keys().count() == h.state["keys"] and h.records().count() * SIM.bands == h.state["keys"]
+        assert (h.state["version"] > 0) == ("keys_a_bucket" in settings)
+
+
+def test_ids_that_do_not_rise(spark):
+    t = " ".join(f"w{k}" for k in range(40))
+    h = history.History(spark, fresh_path(spark, "h"), SIM)
+    for number, ids in ((0, [50]), (1, [20, 60]), (2, [70, 10])):
+        df = spark.createDataFrame([(i, number, t) for i in ids], "artifact_id bigint, batch_no int, content string")
+        found = {tuple(r) for r in h.check(df, "artifact_id", "content", "batch_no").collect()}
+        assert found == {0: set(), 1: {(50, 20), (50, 60)}, 2: {(20, 70), (20, 10)}}[number]
+
+
+def _read(df):
+    """Rows that the scan of a plan gave to the rest of it."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(k).metrics().get("numOutputRows").get().value() for k in range(leaves.size()))
+
+
+def test_a_small_batch_reads_little(spark):
+    """Of 100,000 keys and more a batch of one text reads the pages that can hold its keys; a large one is joined bucket by
+    bucket, and the history is not shuffled."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(7000)]
+    h = history.History(spark, fresh_path(spark, "h"), SIM)
+    h.check(spark.createDataFrame([(k, 0, x) for k, x in enumerate(texts)], "artifact_id bigint, batch_no int, content string"), "artifact_id", "content", "batch_no")
+    total = h.keys().count()
+    assert total == 7000 * SIM.bands
     from millrace.llm.shingles import signatures
-    from millrace.session import fresh_path, written
 
-    sigs = written(signatures(frame(spark, rows), "artifact_id", "content", SIM, keep=("batch_no",)), "b", partition_by=["batch_no"])
-    h = history.History(spark, fresh_path(spark, "h"), SIM, buckets=8, broadcast_rows=200)
-    near = history.candidate_pairs(h, sigs)
-    copies = history.earlier_copies(sigs.selectExpr("cls", "batch_no", "id AS b"))
-    want = {tuple(r) for r in sigs_all}
-    have = {tuple(r) for r in near.filter("b IS NOT NULL").collect()} | {tuple(r) for r in copies.collect()}
-    assert want <= have
-    again = history.History(spark, h.path, SIM)  # opened again, it goes on where it was
-    assert again.parts == h.parts and again.records().count() == h.records().count()
+    one = spark.createDataFrame([(8000, texts[7])], "id bigint, text string")
+    keys = [r[0] for r in signatures(one, "id", "text", SIM).selectExpr("explode(bands)").collect()]
+    few = h.picked("keys", ["key", "n", "id"], spark.createDataFrame([(k,) for k in keys], "key bigint"))
+    assert few.count() >= 64 and _read(few) <= 0.05 * total
+    many = spark.createDataFrame([(k,) for k in range(100_000)] + [(k,) for k in keys], "key bigint")
+    joined = h.picked("keys", ["key", "n", "id"], many)
+    assert {r["id"] for r in joined.collect()} == {7}
+    plan = joined._jdf.queryExecution().toString()
+    side = plan[plan.index("Physical Plan") :].split("ShuffledHashJoin")[1]
+    assert side.count("Exchange hashpartitioning(key") == 1 and "Bucketed: true" in plan, plan
+    assert {tuple(r) for r in h.check(spark.createDataFrame([(8000, 1, texts[7])], "artifact_id bigint, batch_no int, content string"), "artifact_id", "content", "batch_no").collect()} == {(7, 8000)}
 
 
 def test_minhash_estimates_and_pruning():
@@ -109,7 +152,9 @@ def test_minhash_estimates_and_pruning():
 
 def test_bucket_stream_keeps_order_of_sides(spark):
     rows = spark.createDataFrame([(1, 10, 5, 0), (1, 10, 4, 1), (1, 10, 6, 0), (2, 10, 7, 0), (2, 30, 8, 1)], "key bigint, n int, id bigint, side int")
-    assert {tuple(r) for r in bucket_pairs(rows, SIM).collect()} == {(5, 4), (6, 4)}
+    assert {tuple(r) for r in bucket_pairs(rows, SIM).collect()} == {(5, 4, True), (6, 4, True)}
+    more = rows.unionByName(spark.createDataFrame([(1, 10, 3, 1)], rows.schema))
+    assert {tuple(r) for r in bucket_pairs(more, SIM).collect()} == {(5, 4, True), (6, 4, True), (5, 3, True), (6, 3, True), (3, 4, False)}
 
 
 def test_prefix_filter_is_exact(spark):
