@@ -112,6 +112,15 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by ``written``, when nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if any(path.split(":", 1)[-1].lstrip("/") == made.split(":", 1)[-1].lstrip("/") for made in _made):
+            p, fs = _file_system(spark, path)
+            fs.delete(p, True)
+
+
 def written(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and survives a lost executor."""
     spark = df.sparkSession
