@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.llm.shingles import Similarity, bucket_pairs, prefix_pairs, prune, signatures, verify
-from millrace.session import exists, fresh_path, read_text, write_text, written
+from millrace.session import discard, exists, fresh_path, read_text, write_text, written
 
 _COLUMNS = {"keys": "key bigint, n int, id bigint", "records": "id bigint, cls binary, n int, sig binary, text string"}
 _BY = {"keys": "key", "records": "id"}
@@ -88,10 +88,9 @@ class History:
     def records(self) -> DataFrame:
         return self.spark.table(self._table("records"))
 
-    def _insert(self, kind: str, df: DataFrame) -> None:
-        by = _BY[kind]
-        names = [c.split()[0] for c in _COLUMNS[kind].split(", ")]
-        df.select(*names).repartition(self.state["buckets"], by).write.insertInto(self._table(kind))
+    def _insert(self, kind: str, df: DataFrame, placed: bool = False) -> None:
+        by, rows = _BY[kind], df.select(*[c.split()[0] for c in _COLUMNS[kind].split(", ")])
+        (rows if placed else rows.repartition(self.state["buckets"], by)).write.insertInto(self._table(kind))
 
     def picked(self, kind: str, columns: list[str], wanted: DataFrame) -> DataFrame:
         """Rows of a table whose key (or id) is among ``wanted`` (one column, written): read from the pages that hold them
@@ -118,7 +117,10 @@ class History:
             self.state["buckets"] = max(16, -(-keys // self.keys_a_bucket))
             write_text(self.spark, f"{self.path}/state.json", json.dumps(self.state))
         # A record without keys is never looked up, so the records go first.
-        self._insert("records", entries.select("id", "cls", "n", "sig").join(texts.dropDuplicates(["id"]), "id"))
+        # Both sides of the join are shuffled by the buckets of the table, so its rows are where they are written.
+        n = self.state["buckets"]
+        full = entries.select("id", "cls", "n", "sig").repartition(n, "id").join(texts.repartition(n, "id").hint("merge"), "id")
+        self._insert("records", full.dropDuplicates(["id"]), placed=True)
         self._insert("keys", entries.select(F.explode("bands").alias("key"), "n", "id"))
         self.state["keys"] = keys
         if keys > 4 * self.keys_a_bucket * self.state["buckets"]:
@@ -142,6 +144,11 @@ class History:
         least = sigs.groupBy("cls").agg(F.min("id").alias("rep"))
         members = written(sigs.select("id", "batch", "cls").distinct().join(least, "cls").select("id", "batch", "rep"), "members")
         reps = written(sigs.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi").drop("batch").dropDuplicates(["id"]), "representatives")
+        discard(sigs)  # all of it is in the two tables
+        if self.empty and members.select("batch").distinct().limit(2).count() < 2:
+            # The first batch of all: there is nothing earlier.
+            self.append(reps, texts)
+            return self.spark.createDataFrame([], "earlier_id bigint, id bigint")
 
         old, new, hot = self._candidates(reps)
         ours = reps.select("id", "sig", "cls")
