@@ -14,8 +14,8 @@ and appends the classes that are new:
 3. Keys that more than ``hot`` rows share do not give pairs; their ids go through the exact prefix
    filter.
 4. Classes the history does not hold (or holds by a greater id only) are appended. Nothing is
-   compared with the history as a whole, and an append that broke off and is repeated only repeats
-   entries, which changes no result.
+   compared with the history as a whole. Rows repeated in a call, or by an append that broke off and
+   was made again, are repeated records and keys, which changes no result.
 
 A table that has outgrown its number of buckets is rewritten with four times as many, so the cost
 of growing stays in proportion to what is added.
@@ -92,11 +92,11 @@ class History:
         by, rows = _BY[kind], df.select(*[c.split()[0] for c in _COLUMNS[kind].split(", ")])
         (rows if placed else rows.repartition(self.state["buckets"], by)).write.insertInto(self._table(kind))
 
-    def picked(self, kind: str, columns: list[str], wanted: DataFrame) -> DataFrame:
-        """Rows of a table whose key (or id) is among ``wanted`` (one column, written): read from the pages that hold them
-        if they are few, else by a join with the table as it is bucketed."""
+    def picked(self, kind: str, columns: list[str], wanted: DataFrame, size: int | None = None) -> DataFrame:
+        """Rows of a table whose key (or id) is among ``wanted`` (one column, of ``size`` rows; counted if not given): read
+        from the pages that hold them if they are few, else by a join with the table as it is bucketed."""
         by, rows = _BY[kind], self.spark.table(self._table(kind)).select(*columns)
-        if wanted.count() > self.pushed:
+        if (wanted.count() if size is None else size) > self.pushed:
             return rows.join(wanted.toDF(by).hint("shuffle_hash"), by, "left_semi")
         # Each bucket is sorted over all keys, so a scan of many buckets would read a page in each for every key: the
         # buckets are scanned in groups, each with the keys that belong there.
@@ -120,7 +120,7 @@ class History:
         # Both sides of the join are shuffled by the buckets of the table, so its rows are where they are written.
         n = self.state["buckets"]
         full = entries.select("id", "cls", "n", "sig").repartition(n, "id").join(texts.repartition(n, "id").hint("merge"), "id")
-        self._insert("records", full.dropDuplicates(["id"]), placed=True)
+        self._insert("records", full, placed=True)
         self._insert("keys", entries.select(F.explode("bands").alias("key"), "n", "id"))
         self.state["keys"] = keys
         if keys > 4 * self.keys_a_bucket * self.state["buckets"]:
@@ -140,10 +140,11 @@ class History:
         sim = self.sim
         src = rows.filter(F.col(batch_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(batch_col).alias("batch")).filter("text IS NOT NULL AND id IS NOT NULL")
         texts = src.select("id", "text")
-        sigs = written(signatures(src, "id", "text", sim, keep=("batch",)), "batches")
-        least = sigs.groupBy("cls").agg(F.min("id").alias("rep"))
+        sigs = written(signatures(src, "id", "text", sim, keep=("batch",)).withColumn("row", F.monotonically_increasing_id()), "batches")
+        # One row of each class stands for it: of its least id, and of rows repeated under that the first.
+        least = written(sigs.groupBy("cls").agg(F.min(F.struct("id", "row")).alias("at")).select("cls", F.col("at.id").alias("rep"), F.col("at.row").alias("row")), "classes")
         members = written(sigs.select("id", "batch", "cls").distinct().join(least, "cls").select("id", "batch", "rep"), "members")
-        reps = written(sigs.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi").drop("batch").dropDuplicates(["id"]), "representatives")
+        reps = written(sigs.join(least.select("row"), "row", "left_semi").drop("batch", "row"), "representatives")
         discard(sigs)  # all of it is in the two tables
         if self.empty and members.select("batch").distinct().limit(2).count() < 2:
             # The first batch of all: there is nothing earlier.
@@ -176,7 +177,7 @@ class History:
         rows = mine.withColumn("side", F.lit(1))
         if not self.empty:
             probe = reps.select(F.explode("bands").alias("key"))
-            rows = self.picked("keys", ["key", "n", "id"], probe).withColumn("side", F.lit(0)).unionByName(rows)
+            rows = self.picked("keys", ["key", "n", "id"], probe, reps.count() * self.sim.bands).withColumn("side", F.lit(0)).unionByName(rows)
         raw = written(bucket_pairs(rows, self.sim).distinct(), "near")
         pairs = raw.filter("b IS NOT NULL AND a <> b")
         return pairs.filter("old").select("a", "b"), pairs.filter("NOT old").select("a", "b"), raw.filter("b IS NULL").select(F.col("a").alias("id"), "old").distinct()

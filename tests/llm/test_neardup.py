@@ -90,7 +90,7 @@ def test_history_batch_by_batch(spark):
             h = history.History(spark, path, SIM, **settings)  # opened again, it goes on where it was
             got |= {tuple(r) for r in h.check(df.filter(f"batch_no = {number}"), "artifact_id", "content", "batch_no").collect()}
         assert got == want, settings
-        assert h.keys().count() == h.state["keys"] and h.records().count() * SIM.bands == h.state["keys"]
+        assert h.keys().count() == h.state["keys"] and h.records().select("id").distinct().count() * SIM.bands == h.state["keys"]
         assert (h.state["version"] > 0) == ("keys_a_bucket" in settings)
 
 
