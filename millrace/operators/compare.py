@@ -125,6 +125,13 @@ def first_difference(outputs: DataFrame, case: str = "case_id", id_col: str = "i
     return wide.groupBy(case, "line").agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), shown.alias("content"), F.slice("ls", F.greatest(F.col("line") + 1 - around, F.lit(1)), F.lit(2 * around + 1)).alias("around")))).alias("variants"))
 
 
+def planned(executions: DataFrame, plans: DataFrame, order: str, key: str = "id") -> DataFrame:
+    """Each execution with the first of the plans of its id; executions without a plan fall out."""
+    others = [c for c in plans.columns if c not in (key, order)]
+    first = plans.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*others), order).alias("plan"))
+    return executions.join(first, key).select(*executions.columns, "plan.*")
+
+
 def against_first(df: DataFrame, case: str, order: str, value: str) -> DataFrame:
     """Adds same: whether the value is that of the first replica of its case."""
     w = W.partitionBy(case).orderBy(order)

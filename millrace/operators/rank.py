@@ -191,6 +191,18 @@ def diff_hunks(patches: DataFrame, key: str, text: str, terms: tuple[str, ...] =
     return hunks.join(paths, [key, "section"], "left").select(key, "section", F.coalesce("path", F.lit("unknown")).alias("path"), "hunk", "header", "changed", "score")
 
 
+def fix_order(title: Column) -> tuple[Column, Column]:
+    """Sort keys of fixing commits: those of the main line first, then by title."""
+    t = F.coalesce(title, F.lit(""))
+    return F.when(F.lower(t).contains("master"), 0).otherwise(1), t
+
+
+def applicable_draws(draws: DataFrame, group: str, draw: str, applies: str, order: str) -> DataFrame:
+    """group and the row of its greatest draw that applies: operators are tried in the order of their draws until one does."""
+    rest = [c for c in draws.columns if c not in (group, applies)]
+    return draws.filter(applies).groupBy(group).agg(F.max_by(F.struct(*rest), F.struct(draw, order)).alias("__r")).select(group, "__r.*")
+
+
 def rolled_order(file: Column) -> Column:
     """Order of rolled logs: the highest index first, the live file last."""
     return -F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(file, r"\.(\d+)$", 1), F.lit("")), F.lit("9999999999")), F.lit(0))

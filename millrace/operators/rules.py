@@ -190,6 +190,39 @@ def rejection(verdict: Column, has_compile_results: Column, reject_timeout: bool
     )
 
 
+#: Evidence of a named optimization, from the specific to the general.
+EVIDENCE_TERMS = (
+    (r"(?i)\bPhaseStringOpts\b|\bOptimizeStringConcat\b|\bStringConcat::(?:build_candidate|validate_control_flow|replace_string_concat)\b", "String Concatenation Optimization"),
+    (r"(?i)\bloop_predication(?:_impl)?\b|\bloopPredicate\.cpp\b|\bloop_predication_should_follow_branches\b", "Loop Predication"),
+    (r"(?i)\bloopUnswitch\.cpp\b|\bUnswitchCandidate\b|\bloop[_ ]?unswitch(?:ing)?\b", "Loop Unswitching"),
+    (r"(?i)\bC1 LICM\b|\bloop-invariant code motion\b|\bloop invariant code motion\b|\bc1_ValueMap\b.*\bhoist", "Loop Invariant Code Motion"),
+    (r"(?i)\bPhaseIdealLoop::(?:do_split_if|split_up|split_thru_phi)\b|\bsplit_if_with_blocks(?:_pre)?\b|\bsplit_thru_phi\b|\bIfNode::fold_compares\b", "Control Flow Optimization"),
+    (r"(?i)\bPhaseVector::(?:expand_vbox_node_helper|scalarize_vbox_node)\b|\bVectorBox\b|\bscalarize_vbox\b|\bvector-box scalarization\b|\bvector box expansion\b", "Vector API Optimization"),
+    (r"(?i)\bCompile::compute_(?:logic_cone|truth_table)\b|\boptimize_logic_cones\b|\bMacroLogicV?\b|\bmacro[- ]logic\b", "Macro Logic Optimization"),
+    (r"(?i)\bPhaseGVN\b|\bPhaseIterGVN\b|\bIGVN\b|\bGVN/IGVN\b", "Global Value Numbering"),
+)
+
+
+def inferred_entry(primary: Column, reason: Column, *evidence: Column) -> Column:
+    """primary, inferred, reason: an unknown entry without a match in the list is read from the evidence texts (``Unknown``
+    and nulls among them do not count); then no reason is left."""
+    text = F.concat_ws("\n", *[F.when(e != "Unknown", e) for e in evidence])
+    found = first_pattern(text, list(EVIDENCE_TERMS))
+    applies = F.coalesce((primary == "Unknown") & (reason == "NoTaxonomyMatch"), F.lit(False))
+    now = F.when(applies, found).otherwise(primary)
+    return F.struct(now.alias("primary"), (applies & (now != "Unknown")).alias("inferred"), F.when(now != "Unknown", "N/A").otherwise(reason).alias("reason"))
+
+
+def stage_gate(verdict: Column, reason: Column, runtime: Column) -> Column:
+    """Whether a case goes on to the run stage: all compilers agree on success and there is a runtime."""
+    return runtime & F.coalesce((verdict == "MATCH_SUCCESS") & ~reason.eqNullSafe("COMPILER_SYMBOL_NOT_FOUND"), F.lit(False))
+
+
+def valid_utf8(data: Column) -> Column:
+    """Whether bytes are UTF-8: half a surrogate pair, written as if it were a character, is not."""
+    return F.is_valid_utf8(data)
+
+
 def is_bug(verdict: Column) -> Column:
     return verdict.isin("DIFFERENCE", "DIFFERENCE_STDOUT", "CRASH")
 

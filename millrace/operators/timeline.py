@@ -99,6 +99,21 @@ def worker_plan(stats: DataFrame, by: str, most_workers: int, start: int = 1, se
     return stats.repartition(by).sortWithinPartitions(by, "start").mapInPandas(fold, f"{by} {types[by]}, start {types['start']}, workers int, reason string")
 
 
+def query_window(df: DataFrame, first: str, last: str, instant: str) -> DataFrame:
+    """Rows whose instant lies in the days first to last, both included, as a half-open range that reaches the scan."""
+    return df.filter((F.col(instant) >= F.col(first).cast("timestamp")) & (F.col(instant) < F.date_add(F.col(last), 1).cast("timestamp")))
+
+
+def emergency_steps(samples: DataFrame, by: str, ts: str, cpu: str, limit: float = 0.98, needed: int = 2) -> DataFrame:
+    """The samples at which one worker has to go at once: every second one in a row at or beyond the limit (each step begins
+    the count anew). One window over the samples of a group; where only one worker is left the caller keeps it."""
+    w = W.partitionBy(by).orderBy(ts)
+    calm = F.coalesce(F.col(cpu) < limit, F.lit(True))
+    runs = samples.withColumn("__run", F.sum(calm.cast("int")).over(w))
+    k = F.sum((~calm).cast("int")).over(W.partitionBy(by, "__run").orderBy(ts))
+    return runs.withColumn("__k", k).filter(~calm & (F.col("__k") % needed == 0)).drop("__run", "__k")
+
+
 def upserted(state: DataFrame, changes: DataFrame, key: str, updated: str, tie: str) -> DataFrame:
     """The state table after the changes: the newest row of each key."""
     w = W.partitionBy(key).orderBy(F.desc_nulls_last(updated), F.desc(tie))

@@ -30,6 +30,24 @@ def query(sql: str | None = None):
     return add
 
 
+def beside(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    """The rows of a table and given ones, so that every branch of an operator is taken."""
+    return df.unionByName(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def _literal(v: object) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, (list, tuple)):
+        return "[" + ", ".join(map(_literal, v)) + "]"
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+
+
+def values_sql(rows: list[tuple]) -> str:
+    """Given rows in SQL."""
+    return "VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+
+
 c = F.col
 _LABEL = r"CASE WHEN trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g')) IN ('Yes', 'No', 'Unclear') THEN trim(regexp_replace({0}, '\s+', ' ', 'g')) ELSE 'Missing' END"
 _TIER = r"CASE lower(trim(regexp_replace(coalesce(Compiler_Tier, ''), '\s+', ' ', 'g'))) WHEN 'c1' THEN 'C1' WHEN 'client compiler' THEN 'C1' WHEN 'c1 / client compiler' THEN 'C1' WHEN 'c2' THEN 'C2' WHEN 'server compiler' THEN 'C2' WHEN 'c2 / server compiler' THEN 'C2' WHEN 'shared' THEN 'Shared' ELSE 'Unknown' END"
@@ -125,7 +143,17 @@ def summary_blocks(t):
     return blocks.groupBy("block", "value").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_PASS} SELECT response_no, CASE
+_VALID = (-1, "c", " c ", "Yes", "C2", "x", "r", "Patch", "High", "N/A", "Global Value Numbering", ["Inlining"], True, True)
+_ANSWER = ("response_no", "case_id", "ID", "Type_Related", "Compiler_Tier", "Faulty_Compiler_Component", "Optimization_Mapping_Reason", "Optimization_Evidence_Basis", "Optimization_Confidence", "Optimization_Unknown_Reason", "Primary_Faulty_Optimization", "Interacting_Optimizations", "Java_Evidence", "Patch_Evidence")
+#: A valid answer, and answers that break one rule each.
+_ANSWERS = [_VALID] + [
+    (-2 - k, *[v if name == changed else old for name, old in zip(_ANSWER[1:], _VALID[1:], strict=True)])
+    for k, (changed, v) in enumerate([("ID", "d"), ("Type_Related", "Maybe"), ("Compiler_Tier", "C3"), ("Faulty_Compiler_Component", None), ("Optimization_Mapping_Reason", None), ("Optimization_Evidence_Basis", "Guess"), ("Optimization_Confidence", None), ("Optimization_Unknown_Reason", "x"), ("Primary_Faulty_Optimization", None), ("Interacting_Optimizations", None), ("Interacting_Optimizations", [None]), ("Java_Evidence", None), ("Patch_Evidence", None), ("Primary_Faulty_Optimization", "no such entry"), ("Optimization_Unknown_Reason", "NoTaxonomyMatch")])
+]
+
+
+@query(f"""WITH answers AS (SELECT {", ".join(_ANSWER[:-2])}, CASE WHEN Java_Evidence IS NOT NULL THEN true END AS Java_Evidence, CASE WHEN Patch_Evidence IS NOT NULL THEN true END AS Patch_Evidence FROM analyze_results UNION ALL {values_sql(_ANSWERS)}),
+ {_PASS.replace("analyze_results", "answers")} SELECT response_no, CASE
  WHEN coalesce(trim(ID, ' ') = case_id, false) = false THEN 'wrong ID'
  WHEN coalesce(Type_Related IN ('Yes','No','Unclear'), false) = false THEN 'invalid Type_Related'
  WHEN coalesce(Compiler_Tier IN ('C1','C2','Shared','Unknown'), false) = false THEN 'invalid Compiler_Tier'
@@ -141,15 +169,26 @@ def summary_blocks(t):
  WHEN pass = 'Unknown' AND Optimization_Unknown_Reason = 'N/A' THEN 'Unknown primary requires Optimization_Unknown_Reason'
  WHEN pass <> 'Unknown' AND Optimization_Unknown_Reason <> 'N/A' THEN 'known primary requires Optimization_Unknown_Reason=N/A' ELSE 'ok' END AS verdict FROM named""")
 def validate_answers(t):
-    return _named(t).select("response_no", rules.answer_violation().alias("verdict"))
+    there = {k: F.when(c(k).isNotNull(), True).alias(k) for k in _ANSWER[-2:]}
+    answers = beside(t("analyze_results").select(*[there.get(k, c(k)) for k in _ANSWER]), _ANSWERS)
+    return rules.canonical_name(answers, c("Primary_Faulty_Optimization"), t("taxonomy"), t("aliases")).select("response_no", rules.answer_violation().alias("verdict"))
+
+
 
 
-@query("""SELECT response_no, CASE WHEN len(Interacting_Optimizations) > 4 THEN 4 ELSE len(Interacting_Optimizations) END::INT AS interactions, CASE WHEN len(Java_Evidence) > 2 THEN 2 ELSE len(Java_Evidence) END::INT AS java, CASE WHEN len(Patch_Evidence) > 2 THEN 2 ELSE len(Patch_Evidence) END::INT AS patch,
- list_max(list_transform(Java_Evidence[1:2], lambda e: CASE WHEN length(e.snippet) > 300 THEN 303 ELSE length(e.snippet) END))::INT AS longest FROM analyze_results""")
+@query("""WITH a AS (SELECT response_no, Interacting_Optimizations AS i, list_transform(Java_Evidence, lambda e: repeat(e.snippet, 30)) AS j, list_transform(Patch_Evidence, lambda e: repeat(e.why_relevant, 40)) AS p FROM analyze_results)
+SELECT response_no, len(i[1:4])::INT AS interactions, len(j[1:2])::INT AS java, len(p[1:2])::INT AS patch,
+ list_max(list_transform(j[1:2], lambda x: CASE WHEN length(x) > 300 THEN 303 ELSE length(x) END))::INT AS longest, list_max(list_transform(p[1:2], lambda x: CASE WHEN length(x) > 600 THEN 603 ELSE length(x) END))::INT AS reasons FROM a""")
 def capped_answers(t):
-    x = rules.capped_answer(t("analyze_results"))
+    """Answers cut to their limits; the texts are repeated first, so that some are beyond them."""
+    java = F.transform("Java_Evidence", lambda e: F.when(e.isNotNull(), F.struct(e["file"].alias("file"), F.repeat(e["snippet"], F.lit(30)).alias("snippet"), e["why_relevant"].alias("why_relevant"))))
+    patch = F.transform("Patch_Evidence", lambda e: F.when(e.isNotNull(), F.struct(e["file"].alias("file"), e["location_or_symbol"].alias("location_or_symbol"), F.repeat(e["why_relevant"], F.lit(40)).alias("why_relevant"))))
+    x = rules.capped_answer(t("analyze_results").withColumns({"Java_Evidence": java, "Patch_Evidence": patch}))
     n = lambda k: F.when(c(k).isNotNull(), F.size(k))
-    return x.select("response_no", n("Interacting_Optimizations").alias("interactions"), n("Java_Evidence").alias("java"), n("Patch_Evidence").alias("patch"), F.array_max(F.transform("Java_Evidence", lambda e: F.length(e["snippet"]))).alias("longest"))
+    longest = lambda k, f: F.array_max(F.transform(k, lambda e: F.length(e[f])))
+    return x.select("response_no", n("Interacting_Optimizations").alias("interactions"), n("Java_Evidence").alias("java"), n("Patch_Evidence").alias("patch"), longest("Java_Evidence", "snippet").alias("longest"), longest("Patch_Evidence", "why_relevant").alias("reasons"))
+
+
 
 
 @query(f"WITH {_PASS} SELECT response_no, pass FROM named")
@@ -157,9 +196,6 @@ def alias_canonicalize(t):
     return _named(t).select("response_no", "pass")
 
 
-@query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '(?i)ring$') THEN 'ring' WHEN regexp_matches(p_name, '(?i)^(red|blue)') THEN 'coloured' WHEN regexp_matches(p_name, 'widget|bolt') THEN 'small part' ELSE 'Unknown' END AS kind FROM part")
-def pattern_first_match(t):
-    return t("part").select("p_partkey", rules.first_pattern(c("p_name"), [("(?i)ring$", "ring"), ("(?i)^(red|blue)", "coloured"), ("widget|bolt", "small part")]).alias("kind"))
 
 
 # text
@@ -236,10 +272,21 @@ def fence_blocks(t):
     return t("documents").filter(c("text").contains("```")).select("doc_id", F.size(x).alias("blocks"), F.array_join(x, "|").alias("code"))
 
 
-@query(r"""SELECT crawl_seq, len(regexp_extract_all(coalesce(body, ''), '(?is)-+\s*BEGIN\s+SOURCE\s*-+\s*(.*?)\s*-+\s*END\s+SOURCE\s*-+', 1))::INT AS blocks, len(list_distinct(regexp_extract_all(coalesce(body, ''), '(?i)https://github\.com/user-attachments/files/\d+/[^\s)>\]]+\.java(?:\?[^\s)>\]]+)?')))::INT AS urls FROM comments""")
+_SOURCES = [
+    (-1, "--- BEGIN SOURCE ---\nclass A {}\n--- END SOURCE ---\nhttps://github.com/user-attachments/files/12/A.java and https://github.com/user-attachments/files/12/A.java?x=1"),
+    (-2, "-begin source-\n a \n-END  SOURCE- mid --BEGIN SOURCE--b--end source-- https://github.com/user-attachments/files/7/B.java https://github.com/user-attachments/files/7/B.java"),
+    (-3, "--- BEGIN SOURCE --- without end, https://github.com/user-attachments/files/7/B.txt"),
+]
+
+
+@query(rf"""WITH x AS (SELECT crawl_seq, coalesce(body, '') AS b FROM (SELECT crawl_seq, body FROM comments UNION ALL {values_sql(_SOURCES)})), y AS (SELECT crawl_seq, regexp_extract_all(b, '(?is)-+\s*BEGIN\s+SOURCE\s*-+\s*(.*?)\s*-+\s*END\s+SOURCE\s*-+', 1) AS s, regexp_extract_all(b, '(?i)https://github\.com/user-attachments/files/\d+/[^\s)>\]]+\.java(?:\?[^\s)>\]]+)?') AS u FROM x)
+SELECT crawl_seq, len(s)::INT AS blocks, array_to_string(s, '|') AS code, array_to_string(list_filter(u, lambda v, i: list_position(u, v) = i), ' ') AS urls FROM y""")
 def source_blocks(t):
     b = F.coalesce("body", F.lit(""))
-    return t("comments").select("crawl_seq", F.size(extract.source_blocks(b)).alias("blocks"), F.size(extract.attachment_urls(b)).alias("urls"))
+    s = extract.source_blocks(b)
+    return beside(t("comments").select("crawl_seq", "body"), _SOURCES).select("crawl_seq", F.size(s).alias("blocks"), F.array_join(s, "|").alias("code"), F.array_join(extract.attachment_urls(b), " ").alias("urls"))
+
+
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS l FROM documents WHERE text IS NOT NULL),
@@ -250,21 +297,42 @@ def exception_counts(t):
     return x.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?is)error:\s+cannot\s+find\s+symbol.*?\bsymbol:\s+class\s+\S+') THEN 'COMPILER_SYMBOL_NOT_FOUND'
+_MESSAGES = [
+    (-1, "A.java:3: error: cannot find symbol\n  symbol:   class Foo\n"), (-2, "A.java:4: error: local variables referenced from a lambda expression must be final or effectively final"),
+    (-3, "(at line 7) Local variable x is required to be final or effectively final based on its usage"), (-4, "A.java:2: error: incompatible types: bad return type in lambda expression\n missing return value"),
+    (-5, "A.java:9: error: unreachable code\nA.java:2: error: x"), (-6, "B.java:1: error: missing return statement"), (-7, "This method must return a result of type int (at line 2)"), (-8, "X.java:5: error: x\nX.java:5: Error: y (at line 12)"),
+    (-9, "Segmentation fault (core dumped)"), (-10, "core dump OutOfMemoryError"), (-11, "# A fatal error has been detected by the Java Runtime"), (-12, "core dump"), (-13, "Error: Could not find or load main class A"), (-14, "java.lang.ClassNotFoundException: A"),
+]
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL {values_sql(_MESSAGES)}), f AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '(?is)error:\s+cannot\s+find\s+symbol.*?\bsymbol:\s+class\s+\S+') THEN 'COMPILER_SYMBOL_NOT_FOUND'
  WHEN contains(lower(text), 'local variables referenced from a lambda expression must be final or effectively final') OR (contains(lower(text), 'local variable') AND contains(lower(text), 'is required to be final or effectively final based on its usage')) THEN 'COMPILER_LAMBDA_CAPTURE_EFFECTIVELY_FINAL'
  WHEN contains(lower(text), 'bad return type in lambda expression') AND contains(lower(text), 'missing return value') THEN 'COMPILER_LAMBDA_MISSING_RETURN_VALUE'
  WHEN contains(lower(text), 'unreachable code') THEN 'COMPILER_UNREACHABLE_CODE' WHEN contains(text, 'missing return statement') OR contains(text, 'method must return a result') THEN 'COMPILER_MISSING_RETURN' ELSE 'NONE' END AS reason,
- len(regexp_extract_all(text, '(?:\.java:\d+: ?(?i:error))|(?:\(at line \d+\))'))::INT AS lines,
- contains(text, 'Segmentation fault') OR contains(text, 'A fatal error has been detected') OR (contains(text, 'core dump') AND NOT contains(text, 'OutOfMemoryError')) AS crashed FROM documents WHERE text IS NOT NULL""")
+ list_transform(list_zip(regexp_extract_all(text, '(?:\.java:(\d+): ?(?i:error))|(?:\(at line (\d+)\))', 1), regexp_extract_all(text, '(?:\.java:(\d+): ?(?i:error))|(?:\(at line (\d+)\))', 2)), lambda z: 'Line-' || CASE WHEN z[1] <> '' THEN z[1] ELSE z[2] END) AS l FROM d)
+SELECT doc_id, reason, len(l)::INT AS lines, CASE WHEN reason IN ('COMPILER_MISSING_RETURN', 'COMPILER_LAMBDA_CAPTURE_EFFECTIVELY_FINAL') THEN reason WHEN reason IN ('COMPILER_LAMBDA_MISSING_RETURN_VALUE', 'COMPILER_UNREACHABLE_CODE') THEN 'COMPILER_LAMBDA_MISSING_RETURN_VALUE' ELSE array_to_string(list_sort(list_distinct(l)), ',') END AS fingerprint,
+ contains(text, 'Segmentation fault') OR contains(text, 'A fatal error has been detected') OR (contains(text, 'core dump') AND NOT contains(text, 'OutOfMemoryError')) AS crashed, doc_id % 2 = 0 OR contains(text, 'Segmentation fault') OR contains(text, 'A fatal error has been detected') OR (contains(text, 'core dump') AND NOT contains(text, 'OutOfMemoryError')) AS crashed_by_code,
+ contains(text, 'Could not find or load main class') OR contains(text, 'ClassNotFoundException') AS no_main FROM f""")
 def error_fingerprint(t):
+    """Texts of documents and messages of every kind; half of them end with the exit code of a crash as well."""
     x = c("text")
-    return t("documents").filter("text IS NOT NULL").select("doc_id", extract.failure_reason(x).alias("reason"), F.size(extract.error_lines(x)).alias("lines"), extract.crashed(x, F.lit(1)).alias("crashed"))
+    code = F.when(c("doc_id") % 2 == 0, 134).otherwise(1)
+    d = beside(t("documents").filter("text IS NOT NULL").select("doc_id", "text"), _MESSAGES)
+    r = d.select("doc_id", "text", extract.failure_reason(x).alias("reason"), extract.error_lines(x).alias("l"))
+    return r.select("doc_id", "reason", F.size("l").alias("lines"), F.array_join(extract.canonical_lines(c("reason"), c("l")), ",").alias("fingerprint"), extract.crashed(x, F.lit(1)).alias("crashed"), extract.crashed(x, code).alias("crashed_by_code"), extract.main_missing(x, F.lit(1)).alias("no_main"))
+
 
 
-@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")
+
+_PROPS = [(-1, '{"k": 5}'), (-2, "not json"), (-3, '{"k": "x"}'), (-4, None), (-5, '{"k": 7'), (-6, "[1]")]
+
+
+@query(f"""WITH e AS (SELECT event_id, props FROM events UNION ALL {values_sql(_PROPS)}) SELECT event_id, CASE WHEN json_valid(props) THEN try_cast(json_extract_string(props, '$.k') AS BIGINT) END AS k, coalesce(json_valid(props), false) AS valid FROM e""")
 def json_props(t):
     v = F.try_parse_json("props")
-    return t("events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.coalesce(v.isNotNull(), F.lit(False)).alias("valid"))
+    return beside(t("events").select("event_id", "props"), _PROPS).select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.coalesce(v.isNotNull(), F.lit(False)).alias("valid"))
+
+
 
 
 @query("SELECT artifact_id, 'openjdk/' || split_part(repository, '/', 2) AS repository, left(sha256, 12) AS sha FROM artifacts WHERE regexp_matches(sha256, '(?i)^[0-9a-f]{12}')")
@@ -277,9 +345,15 @@ def commit_links(t):
     return x.select("artifact_id", "l.repository", "l.sha")
 
 
-@query(r"SELECT doc_id, regexp_matches(coalesce(text, ''), 'diff --git ') OR (regexp_matches(coalesce(text, ''), '(?m)^---\s+\S+') AND regexp_matches(coalesce(text, ''), '(?m)^\+\+\+\s+\S+')) AS patch FROM documents")
+_PATCHES = [(-1, "diff --git a/x b/x\n"), (-2, "--- a/x\n+++ b/x\n@@"), (-3, '{"a": "diff --git "}'), (-4, "--- only"), (-5, "[diff --git "), (-6, "  "), (-7, None), (-8, '["--- a", "diff --git "]')]
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM (SELECT doc_id, text FROM documents UNION ALL {values_sql(_PATCHES)}))
+SELECT doc_id, NOT (regexp_matches(trim(x, ' '), '^[{{\[]') AND json_valid(trim(x, ' '))) AND (contains(x, 'diff --git ') OR (regexp_matches(x, '(?m)^---\s+\S+') AND regexp_matches(x, '(?m)^\+\+\+\s+\S+'))) AS patch FROM d""")
 def patch_validity(t):
-    return t("documents").select("doc_id", F.coalesce(extract.valid_patch(c("text")), F.lit(False)).alias("patch"))
+    return beside(t("documents").select("doc_id", "text"), _PATCHES).select("doc_id", F.coalesce(extract.valid_patch(c("text")), F.lit(False)).alias("patch"))
+
+
 
 
 @query(r"SELECT artifact_id, len(regexp_extract_all(content, '(?s)\b(?:(?:public|private|protected|static|final|abstract|sealed|non-sealed|strictfp)\s+)*(?:class|interface|enum|record)\s+([A-Za-z_$][A-Za-z0-9_$]*)[^{;]*\{', 1))::INT AS types, coalesce(regexp_matches(content, 'public\s+static\s+void\s+main\s*\(\s*String\s*(?:\[\s*\]|\.\.\.)'), false) AS has_main FROM artifacts WHERE content IS NOT NULL")
@@ -306,23 +380,36 @@ def loop_details(t):
 # rules
 
 
-_RULE = "CASE " + " ".join("WHEN regexp_matches(text, '{}') THEN '{}'".format(p.replace("'", "''"), n) for n, _, p in rules.STATIC_RULES) + " END"
-_WHY = "CASE rule " + " ".join(f"WHEN '{n}' THEN '{r}'" for n, r, _ in rules.STATIC_RULES) + " END"
+_RULE = r"""CASE WHEN regexp_matches(text, '\b(Date|Calendar|DateFormat|SimpleDateFormat|TimeZone|LocalDate|LocalTime|LocalDateTime|ZonedDateTime|Instant|nanoTime|currentTimeMillis)\b') THEN 'time-api'
+ WHEN regexp_matches(text, '\bProcessBuilder\s*\(\s*"java"|\bRuntime\s*\.\s*getRuntime\s*\(\s*\)\s*\.\s*exec\s*\(\s*"java"') THEN 'external-java-process'
+ WHEN regexp_matches(text, '\b(Thread|Runnable|Callable|ExecutorService|ThreadPoolExecutor|ScheduledExecutorService|ForkJoinPool|ForkJoinTask|CountDownLatch|CyclicBarrier|Semaphore|Phaser|Exchanger|Future|CompletableFuture|BlockingQueue|ConcurrentHashMap|ConcurrentLinkedQueue|CopyOnWriteArrayList|LockSupport|ReentrantLock|ReadWriteLock|StampedLock|Condition|ProcessBuilder|Currency)\b|java\.util\.concurrent\.|\bRuntime\s*\.\s*getRuntime\s*\(') THEN 'thread-api'
+ WHEN regexp_matches(text, '(?i)\b(?:Random|ThreadLocalRandom|SplittableRandom)\b|\bMath\s*\.\s*random\s*\(') THEN 'random-api'
+ WHEN regexp_matches(text, '\b(?:System|Properties)\s*\.\s*(?:getProperty|setProperty)\s*\(|\bjava\.util\.Properties\b') THEN 'properties-usage'
+ WHEN regexp_matches(text, '\bjavax\.tools\.JavaCompiler\b|\bToolProvider\s*\.\s*getSystemJavaCompiler\s*\(|\bcompiler\.lib\.') THEN 'java-compiler-api'
+ WHEN regexp_matches(text, '\b(?:sun\.misc\.|jdk\.internal\.misc\.)?Unsafe\b|\bUnsafe\s*\.\s*getUnsafe\s*\(|\btheUnsafe\b') THEN 'unsafe-api'
+ WHEN regexp_matches(text, '\b(?:import\s+)?(?:javafx\.|com\.sun\.|sun\.|jdk\.internal\.|jdk\.nashorn\.|java\.lang\.foreign\.|javax\.|java\.net\.|java\.rmi\.|java\.security\.|java\.io\.|java\.awt\.|java\.nio\.|java\.text\.|java\.sql\.|org\.|java\.util\.Locale|MethodHandleProxies\b)') THEN 'unsupported-lib' END"""
+_WHY = "CASE WHEN rule = 'time-api' THEN 'STATIC_TIME' WHEN rule = 'thread-api' THEN 'STATIC_THREAD' WHEN rule IS NOT NULL THEN 'STATIC_SYSTEM' END"
+_RULED = [(-1, "long t = System.nanoTime();"), (-2, 'new ProcessBuilder( "java", "X")'), (-3, "Thread t;"), (-4, "new Random()"), (-5, 'System.getProperty("x")'), (-6, "compiler.lib.X"), (-7, "Unsafe u = theUnsafe"), (-8, "import java.net.URL;"), (-9, "nothing here"), (-10, 'Runtime.getRuntime().exec("java")'), (-11, "java.util.concurrent.atomic.AtomicInteger i"), (-12, "math . random; Math . random ()"), (-13, "long d = Dated;")]
+_TEXTS = f"(SELECT doc_id, text FROM documents UNION ALL {values_sql(_RULED)})"
 
 
-@query(f"SELECT doc_id, rule, {_WHY} AS reason FROM (SELECT doc_id, {_RULE} AS rule FROM documents)")
+@query(f"SELECT doc_id, rule, {_WHY} AS reason FROM (SELECT doc_id, {_RULE} AS rule FROM {_TEXTS})")
 def static_rules_first_match(t):
-    return rules.first_rule(t("documents"), c("text")).select("doc_id", "rule", "reason")
+    return rules.first_rule(beside(t("documents").select("doc_id", "text"), _RULED), c("text")).select("doc_id", "rule", "reason")
 
 
-@query(f"SELECT {_WHY} AS reason, rule, count(*) AS n FROM (SELECT {_RULE} AS rule FROM documents) WHERE rule IS NOT NULL GROUP BY 1, 2")
+@query(f"""WITH r AS (SELECT {_WHY} AS reason, rule, count(*) AS n FROM (SELECT {_RULE} AS rule FROM {_TEXTS}) WHERE rule IS NOT NULL GROUP BY 1, 2) SELECT * FROM r UNION ALL SELECT CASE WHEN grouping(reason) = 1 THEN 'STATIC' ELSE reason END, NULL, sum(n)::BIGINT FROM r GROUP BY ROLLUP (reason)""")
 def rule_counts(t):
-    return rules.first_rule(t("documents"), c("text")).filter("rule IS NOT NULL").groupBy("reason", "rule").agg(F.count("*").alias("n"))
+    """Counts of each rule, and the sums of each reason and of all static ones."""
+    found = rules.first_rule(beside(t("documents").select("doc_id", "text"), _RULED), c("text")).filter("rule IS NOT NULL")
+    by = found.groupBy("reason", "rule").agg(F.count("*").alias("n"))
+    sums = by.rollup("reason").agg(F.sum("n").alias("n"), F.grouping("reason").alias("all")).select(F.when(c("all") == 1, "STATIC").otherwise(c("reason")).alias("reason"), F.lit(None).cast("string").alias("rule"), "n")
+    return by.unionByName(sums)
 
 
-@query(f"""WITH hit AS (SELECT issue_id, pos, artifact_id, {_RULE.replace("(text,", "(content,")} AS rule FROM artifacts WHERE coalesce(original_filename, '') <> '{HELPER_FILES[0]}' AND issue_id IS NOT NULL),
+@query(f"""WITH hit AS (SELECT issue_id, pos, artifact_id, {_RULE.replace("(text,", "(content,")} AS rule FROM artifacts WHERE coalesce(original_filename, '') <> 'FuzzerUtils.java' AND issue_id IS NOT NULL),
 best AS (SELECT issue_id, arg_min(rule, (pos, artifact_id)) AS rule FROM hit WHERE rule IS NOT NULL GROUP BY 1)
-SELECT i.issue_id, b.rule, {_WHY.replace("CASE rule", "CASE b.rule")} AS reason FROM (SELECT DISTINCT issue_id FROM artifacts WHERE issue_id IS NOT NULL) i LEFT JOIN best b ON i.issue_id = b.issue_id""")
+SELECT i.issue_id, b.rule, {_WHY.replace("rule ", "b.rule ")} AS reason FROM (SELECT DISTINCT issue_id FROM artifacts WHERE issue_id IS NOT NULL) i LEFT JOIN best b ON i.issue_id = b.issue_id""")
 def unit_first_match(t):
     files = t("artifacts").filter("issue_id IS NOT NULL").withColumn("at", F.struct("pos", "artifact_id"))
     return rules.first_rule_of_unit(files, "issue_id", "at", c("content"), F.coalesce("original_filename", F.lit("")).isin(*HELPER_FILES))
@@ -341,13 +428,19 @@ def status_cascade(t):
     return x.select("event_id", rules.exit_status(c("code")).alias("compiled"), rules.run_status(c("code"), none, errors, none).alias("ran"))
 
 
-@query("""WITH x AS (SELECT user_id, event_type AS name, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1, 2)
-SELECT user_id, CASE name WHEN 'error' THEN 'error' ELSE name END AS name, n FROM x""")
+_ISSUES = [(-1, "newNoSuchMethodException", 2), (-1, "NoSuchMethodException", 3), (-1, "ImportError", 5), (-1, "NoClassDefFoundError", 1), (-1, "ClassNotFoundException", 4), (-2, "JvmOutput-TIMEOUT", 4), (-2, "zero", 0), (-2, "null", None), (-2, "ensureError", 1), (-2, "ExceptionInInitializerError", 1), (-2, "recordInitializationFailure", 1)]
+
+
+@query(f"""WITH x AS (SELECT user_id, event_type AS name, count(*) AS n FROM events GROUP BY 1, 2 UNION ALL {values_sql(_ISSUES)}),
+y AS (SELECT user_id, CASE name WHEN 'newNoSuchMethodException' THEN 'NoSuchMethodException' WHEN 'NoClassDefFoundError' THEN 'ClassNotFoundException' WHEN 'JvmOutput-TIMEOUT' THEN 'StackOverflowError' ELSE name END AS name, n FROM x WHERE n > 0 AND name NOT IN ('ExceptionInInitializerError', 'ensureError', 'recordInitializationFailure', 'ImportError'))
+SELECT user_id, name, sum(n)::BIGINT AS n FROM y GROUP BY 1, 2""")
 def canonical_issue_counts(t):
-    x = t("events").filter("event_type <> 'view'").groupBy("user_id", c("event_type").alias("name")).agg(F.count("*").alias("n"))
+    x = beside(t("events").groupBy("user_id", c("event_type").alias("name")).agg(F.count("*").alias("n")).select("user_id", "name", F.expr("nullif(n, -1)").alias("n")), _ISSUES)
     return rules.canonical_issues(x, ["user_id"])
 
 
+
+
 @query("""WITH u AS (SELECT user_id, event_type AS target, CASE WHEN max(value) > 300 THEN 'HIGH' ELSE 'LOW' END AS status FROM events GROUP BY 1, 2),
 e AS (SELECT * FROM (VALUES ('calm', 'click', 'LOW'), ('calm', 'error', 'LOW'), ('spiky', 'click', 'HIGH'), ('noisy', 'error', 'HIGH')) v(rule, target, status))
 SELECT user_id, rule FROM u JOIN e USING (target, status) GROUP BY 1, 2 HAVING count(DISTINCT target) = (SELECT count(*) FROM e e2 WHERE e2.rule = e.rule)""")
@@ -366,8 +459,13 @@ def resume_anti(t):
 
 @query("""WITH l AS (SELECT issue_id, status, row_number() OVER (PARTITION BY issue_id ORDER BY crawled_at DESC NULLS LAST, crawl_seq DESC) AS r FROM issues) SELECT issue_id, status FROM l WHERE r = 1""")
 def latest_state(t):
+    """The rows of the second half of the crawl merged into the state after the first."""
     i = t("issues").select("issue_id", "status", "crawled_at", "crawl_seq")
-    return timeline.upserted(i.filter("crawl_seq IS NULL"), i, "issue_id", "crawled_at", "crawl_seq").select("issue_id", "status")
+    half = i.agg((F.max("crawl_seq") + F.min("crawl_seq")) / 2).head(1)[0][0]  # one number
+    state = rules.latest(i.filter(c("crawl_seq") <= half), "issue_id", F.desc_nulls_last("crawled_at"), F.desc("crawl_seq"))
+    return timeline.upserted(state, i.filter(c("crawl_seq") > half), "issue_id", "crawled_at", "crawl_seq").select("issue_id", "status")
+
+
 
 
 @query("""SELECT a.artifact_id AS seed_id, CASE WHEN a.provenance = 'attachment' THEN 'ACCEPTED' WHEN contains(content, 'Thread') THEN 'STATIC' WHEN size_bytes IS NULL THEN 'NO_SIZE' ELSE 'ACCEPTED' END AS decision,
@@ -401,7 +499,7 @@ def accounting_identity(t):
     return stats.accounting(t("events"), ["user_id"], out, F.count("*"))
 
 
-_BUCKET = "CASE " + " ".join(f"WHEN ms <= {b} THEN {b}" for b in stats.BUCKETS) + f" ELSE {stats.NO_BOUND} END"
+_BUCKET = "coalesce(list_min(list_filter([1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000, 15000, 30000, 45000, 60000, 90000, 120000, 180000], lambda b: ms <= b)), 9223372036854775807)"
 
 
 @query(f"""WITH x AS (SELECT event_type, greatest(round(value * 400)::BIGINT, 0) AS ms FROM events) SELECT event_type, ({_BUCKET})::BIGINT AS bucket, count(*) AS count, sum(ms)::BIGINT AS total, min(ms) AS least, max(ms) AS most FROM x GROUP BY 1, 2""")
@@ -455,9 +553,6 @@ def generation_weights(t):
     return rank.generation_weights(t("artifacts"), "batch_no")
 
 
-@query("SELECT lang, count(*) AS items, sum(n_chars)::BIGINT AS chars, floor(sum(n_chars) / 4)::BIGINT AS rough_tokens, max(n_chars) AS most FROM documents GROUP BY 1")
-def usage_totals(t):
-    return t("documents").groupBy("lang").agg(F.count("*").alias("items"), F.sum("n_chars").alias("chars"), F.floor(F.sum("n_chars") / 4).alias("rough_tokens"), F.max("n_chars").alias("most"))
 
 
 @query(r"SELECT repository, lower(trim(status, ' ')) AS status, count(*) AS n FROM issues GROUP BY 1, 2")
@@ -468,8 +563,8 @@ def crawl_stats(t):
 # ranking and names
 
 
-_SCORE = r"""(CASE WHEN position = 0 THEN 8 ELSE 0 END + CASE WHEN position = n - 1 THEN 8 ELSE 0 END + least(3 * len(regexp_extract_all(b, '{}')), 30) + CASE WHEN contains(b, '```') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(b, '\bat\s+[\w.$]+\([^)]*\)') THEN 4 ELSE 0 END
- + CASE WHEN regexp_matches(b, 'https?://(?:github\.com|bugs\.openjdk\.org)') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(b, '(?i)\b[0-9a-f]{{7,40}}\b') THEN 2 ELSE 0 END - CASE WHEN length(trim(b, ' ')) < 40 THEN 4 ELSE 0 END)""".format(rank.term_pattern())
+_SCORE = r"""(CASE WHEN position = 0 THEN 8 ELSE 0 END + CASE WHEN position = n - 1 THEN 8 ELSE 0 END + least(3 * len(regexp_extract_all(b, '(?i)incorrect result|pull request|stack trace|introduced|root cause|reproducer|miscompile|regression|workaround|wrong code|assertion|exception|regressed|reproduce|segfault|SIGSEGV|failure|assert|bisect|commit|failed|crash|fails|fatal|fixed|patch|fix')), 30) + CASE WHEN contains(b, '```') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(b, '\bat\s+[\w.$]+\([^)]*\)') THEN 4 ELSE 0 END
+ + CASE WHEN regexp_matches(b, 'https?://(?:github\.com|bugs\.openjdk\.org)') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(b, '(?i)\b[0-9a-f]{7,40}\b') THEN 2 ELSE 0 END - CASE WHEN length(trim(b, ' ')) < 40 THEN 4 ELSE 0 END)"""
 
 
 @query(f"""WITH p AS (SELECT crawl_seq, issue_id, coalesce(body, '') AS b, row_number() OVER (PARTITION BY issue_id ORDER BY idx, crawl_seq) - 1 AS position, count(*) OVER (PARTITION BY issue_id) AS n FROM comments),
@@ -504,22 +599,35 @@ def weighted_order(t):
     return rank.weighted_order(t("part").select("p_partkey", "p_size"), c("p_size"), 42, c("p_partkey"))
 
 
-@query("""SELECT artifact_id, (CASE WHEN contains(f, 'test') OR contains(f, 'repro') OR contains(f, 'main') THEN 10 ELSE 0 END + CASE WHEN f IN ('test.java', 'main.java') THEN 10 ELSE 0 END)::INT AS priority,
+_FILES = [(-1, "ReproTest.java"), (-2, "Main.java"), (-3, "x/backport-jdk17u.patch"), (-4, "src/hotspot/opto/loop.cpp"), (-5, "src/test/a.cpp"), (-6, "docs/readme.txt"), (-7, "test.java"), (-8, "fix-java_11u.diff")]
+
+
+@query(f"""SELECT artifact_id, (CASE WHEN contains(f, 'test') OR contains(f, 'repro') OR contains(f, 'main') THEN 10 ELSE 0 END + CASE WHEN f IN ('test.java', 'main.java') THEN 10 ELSE 0 END)::INT AS priority,
  (CASE WHEN contains(f, 'backport') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(f, '(?:jdk|java)[-_]?(?:8u|11u|17u|21u)') THEN 10 ELSE 0 END)::INT AS penalty,
- (CASE WHEN regexp_matches(f, '\\.(?:cpp|hpp|c|h|cc|java)$') THEN 5 ELSE 0 END - CASE WHEN contains(f, '/test/') OR contains(f, '/tests/') OR contains(f, 'docs/') OR contains(f, 'doc/') THEN 5 ELSE 0 END)::INT AS path FROM (SELECT artifact_id, lower(coalesce(original_filename, '')) AS f FROM artifacts)""".replace("\\\\.", "\\."))
+ (CASE WHEN regexp_matches(f, '\\.(?:cpp|hpp|c|h|cc|java)$') THEN 5 ELSE 0 END - CASE WHEN contains(f, '/test/') OR contains(f, '/tests/') OR contains(f, 'docs/') OR contains(f, 'doc/') THEN 5 ELSE 0 END + CASE WHEN contains(f, 'opto') THEN 12 ELSE 0 END)::INT AS path
+ FROM (SELECT artifact_id, lower(coalesce(original_filename, '')) AS f FROM (SELECT artifact_id, original_filename FROM artifacts UNION ALL {values_sql(_FILES)}))""")
 def file_priorities(t):
     f = F.coalesce("original_filename", F.lit(""))
-    return t("artifacts").select("artifact_id", rank.file_priority(f).alias("priority"), rank.patch_penalty(f).alias("penalty"), rank.path_score(f).alias("path"))
+    x = beside(t("artifacts").select("artifact_id", "original_filename"), _FILES)
+    return x.select("artifact_id", rank.file_priority(f).alias("priority"), rank.patch_penalty(f).alias("penalty"), rank.path_score(f, ("opto",)).alias("path"))
 
 
-@query()
+
+
+@query("""WITH RECURSIVE x AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(n_chars, 0) AS n_chars, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS r FROM documents),
+g AS (SELECT doc_id, source, n_chars, r, 0::BIGINT AS batch, 1 AS n, n_chars + 100 AS total FROM x WHERE r = 1 UNION ALL
+ SELECT x.doc_id, x.source, x.n_chars, x.r, CASE WHEN g.n_chars > 8000 OR n >= 5 OR total + x.n_chars + 100 > 8000 THEN batch + 1 ELSE batch END, CASE WHEN g.n_chars > 8000 OR n >= 5 OR total + x.n_chars + 100 > 8000 THEN 1 ELSE n + 1 END,
+  CASE WHEN g.n_chars > 8000 OR n >= 5 OR total + x.n_chars + 100 > 8000 THEN 0 ELSE total END + x.n_chars + 100 FROM g JOIN x ON g.source = x.source AND x.r = g.r + 1)
+SELECT doc_id, source, n_chars, batch FROM g""")
 def greedy_batches(t):
-    """Sequential within each source; brute force in the tests."""
+    """Sequential within each source."""
     d = t("documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
     return rank.greedy_batches(d, "source", "doc_id", "n_chars", 5, 8000)
 
 
-@query()
+@query("""WITH x AS (SELECT issue_id, list(length(body)::BIGINT ORDER BY idx, crawl_seq) AS sizes FROM comments WHERE body IS NOT NULL GROUP BY 1)
+SELECT issue_id, list_reduce(sizes, lambda a, s: {'left': a.left - CASE WHEN a.left <= 0 THEN 0 ELSE least(s, greatest(600, least(3000, a.left // greatest(len(sizes) - len(a.out), 1))), a.left) END,
+ 'out': list_append(a.out, CASE WHEN a.left <= 0 THEN 0 ELSE least(s, greatest(600, least(3000, a.left // greatest(len(sizes) - len(a.out), 1))), a.left) END)}, {'left': 9000::BIGINT, 'out': []::BIGINT[]}).out AS shares FROM x""")
 def budget_shares(t):
     sizes = t("comments").filter("body IS NOT NULL").groupBy("issue_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "crawl_seq", F.length("body").cast("bigint").alias("n")))), lambda x: x["n"]).alias("sizes"))
     return sizes.select("issue_id", rank.budget_shares(c("sizes"), 9000).alias("shares"))
@@ -543,11 +651,11 @@ def date_windows(t):
 @query("""WITH RECURSIVE d AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1), w AS (
  SELECT DATE '1995-01-01' AS a, DATE '2001-08-01' AS b, (SELECT sum(n) FROM d)::BIGINT AS n UNION ALL
  SELECT s.a, s.b, coalesce((SELECT sum(n) FROM d WHERE day BETWEEN s.a AND s.b), 0)::BIGINT FROM (
-  SELECT CASE WHEN k = 0 THEN a ELSE a + ((b - a) // 2)::INT + 1 END AS a, CASE WHEN k = 0 THEN a + ((b - a) // 2)::INT ELSE b END AS b FROM w, (SELECT unnest([0, 1]) AS k) WHERE n > 900 AND a < b) s)
-SELECT strftime(a, '%Y-%m-%d') AS from_day, strftime(b, '%Y-%m-%d') AS to_day, n, n > 900 AS over_limit FROM w WHERE n <= 900 OR a = b""")
+  SELECT CASE WHEN k = 0 THEN a ELSE a + ((b - a) // 2)::INT + 1 END AS a, CASE WHEN k = 0 THEN a + ((b - a) // 2)::INT ELSE b END AS b FROM w, (SELECT unnest([0, 1]) AS k) WHERE n > 6 AND a < b) s)
+SELECT strftime(a, '%Y-%m-%d') AS from_day, strftime(b, '%Y-%m-%d') AS to_day, n, n > 6 AS over_limit FROM w WHERE n <= 6 OR a = b""")
 def split_windows(t):
     daily = t("orders").groupBy(c("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    x = timeline.split_windows(daily, "1995-01-01", "2001-08-01")
+    x = timeline.split_windows(daily, "1995-01-01", "2001-08-01", 6)
     return x.withColumns({k: c(k).cast("string") for k in ("from_day", "to_day")})
 
 
@@ -586,10 +694,16 @@ QUERIES["stream_window_stats"] = stream_window_stats
 ORACLES["stream_window_stats"] = _WINDOWS + "SELECT * FROM w"
 
 
+_LOG = [(-1, "[INFO ] start\n[ctx-1] - begin\nplain\n[DEBUG] off\nstray\n[ctx-2] - BUG FOUND here\nmore\n[ctx-1] - again BUG FOUND\n"), (-2, "stray BUG FOUND\n[a] - x\n[ERROR]\n[b] - y")]
+
+
 def stream_log_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Log groups with the open context as state, by Structured Streaming over the file source."""
     path, held = f"{sf}/documents.parquet", fresh_path(spark, "stream")
-    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(streamed(path)).filter("text IS NOT NULL")
+    logs_at = f"{held}/given"
+    spark.createDataFrame(_LOG, "doc_id bigint, text string").write.parquet(logs_at)
+    table_ = spark.readStream.schema(spark.read.parquet(path).schema).parquet(streamed(path)).select("doc_id", "text")
+    docs = table_.unionByName(spark.readStream.schema("doc_id bigint, text string").parquet(logs_at)).filter("text IS NOT NULL")
     lines = docs.select(c("doc_id").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     grouped = logs.stream_grouped_lines(lines)
     q = grouped.writeStream.format("parquet").option("checkpointLocation", f"{held}/state").option("path", f"{held}/out").trigger(availableNow=True).start()
@@ -606,67 +720,75 @@ def window_vs_previous(t):
     return timeline.against_previous(_stats(t))
 
 
-@query()
+@query(_WINDOWS.replace("WITH s AS", "WITH RECURSIVE s AS") + """, x AS (SELECT *, row_number() OVER (ORDER BY start) AS r FROM w),
+g AS (SELECT r, start, 1 AS workers, 'first' AS reason, wait_ms AS bw, throughput AS bt, 0 AS stable FROM x WHERE r = 1 UNION ALL
+ SELECT r, start, CASE reason WHEN 'raise' THEN workers + 1 WHEN 'lower' THEN workers - 1 ELSE workers END, reason, CASE WHEN reason = 'settled' THEN bw ELSE wait_ms END, CASE WHEN reason = 'settled' THEN bt ELSE throughput END, CASE reason WHEN 'stable' THEN stable + 1 WHEN 'settled' THEN stable ELSE 0 END FROM (
+  SELECT x.r, x.start, x.wait_ms, x.throughput, g.workers, g.bw, g.bt, g.stable, CASE WHEN g.stable >= 3 THEN 'settled' WHEN g.workers < 8 AND cpu >= 0 AND cpu < 0.85 AND x.wait_ms <= lim AND x.throughput > bt * 1.03 THEN 'raise'
+   WHEN g.workers > 1 AND (cpu >= 0.95 OR x.wait_ms > 2 * lim OR x.throughput < bt * 0.97) THEN 'lower' WHEN cpu < 0.95 AND x.wait_ms <= lim AND x.throughput <= bt * 1.03 THEN 'stable' ELSE 'hold' END AS reason
+  FROM (SELECT *, CASE WHEN bw <= 0 THEN 100 ELSE greatest(100, round_even(bw * 1.2, 0)) END AS lim FROM g) g JOIN x ON x.r = g.r + 1))
+SELECT 'all' AS pool, start, workers::INT AS workers, reason FROM g""")
 def worker_plan(t):
-    """A recurrence over windows; brute force in the tests."""
+    """A recurrence over windows."""
     return timeline.worker_plan(_stats(t).withColumn("pool", F.lit("all")), "pool", 8)
 
 
 # log lines
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL),
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM (SELECT doc_id, text FROM documents UNION ALL {values_sql(_LOG)}) WHERE text IS NOT NULL),
 m AS (SELECT doc_id, n, x, CASE WHEN regexp_matches(x, '\[([^\]]+)\] - ') THEN 'c' || regexp_extract(x, '\[([^\]]+)\] - ', 1) WHEN regexp_matches(x, '^\[(INFO|DEBUG|WARN|ERROR|FATAL|TRACE)\s*\].*') THEN 'n' END AS k FROM l),
 g AS (SELECT *, CASE WHEN starts_with(last_value(k IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n), 'c') THEN substr(last_value(k IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n), 2) END AS context FROM m)
 SELECT doc_id AS source, context, min(n)::INT AS first_line, count(*) AS lines, bool_or(contains(x, 'BUG FOUND')) AS has_bug FROM g GROUP BY 1, 2""")
 def log_groups(t):
-    lines = t("documents").filter("text IS NOT NULL").select(c("doc_id").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    docs = beside(t("documents").select("doc_id", "text"), _LOG).filter("text IS NOT NULL")
+    lines = docs.select(c("doc_id").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     return logs.group_report(logs.grouped_lines(lines))
 
 
 # replicas
 
 
-def _replicas(t) -> DataFrame:
-    status = F.expr("CASE WHEN l_quantity = 50 THEN 'CRASH' WHEN l_quantity = 49 THEN 'TIMEOUT' WHEN l_returnflag = 'R' AND l_quantity > 24 THEN 'FAILURE' ELSE 'SUCCESS' END")
+_STATUS = "CASE WHEN l_quantity = 50 THEN 'CRASH' WHEN l_quantity = 49 THEN 'TIMEOUT' WHEN l_quantity = 48 THEN 'INTERRUPTED' WHEN l_quantity >= 46 THEN 'UNKNOWN' WHEN l_returnflag = 'R' AND l_quantity > 24 THEN 'FAILURE' ELSE 'SUCCESS' END"
+_REASON = "CASE WHEN l_orderkey % 16 = 1 OR l_quantity < 4 THEN '{}' ELSE 'NONE' END"
+
+
+def _replicas(t, missing: str) -> DataFrame:
     return t("lineitem").select(
-        c("l_orderkey").alias("case_id"), c("l_linenumber").alias("pos"), F.concat(c("l_suppkey").cast("string"), F.lit("/"), c("l_linenumber").cast("string"), F.lit("/"), c("l_partkey").cast("string")).alias("id"), status.alias("status"), F.lit("NONE").alias("reason"),
-        F.array(c("l_linestatus"), (c("l_suppkey") % 3).cast("string")).alias("lines"), c("l_linestatus").alias("stdout"), F.array(c("l_returnflag")).alias("issues"), F.lit(1).alias("exit_code"),
+        c("l_orderkey").alias("case_id"), c("l_linenumber").alias("pos"), F.concat(c("l_suppkey").cast("string"), F.lit("/"), c("l_linenumber").cast("string"), F.lit("/"), c("l_partkey").cast("string")).alias("id"), F.expr(_STATUS).alias("status"), F.expr(_REASON.format(missing)).alias("reason"),
+        F.array(c("l_linestatus"), (c("l_suppkey") % 3).cast("string")).alias("lines"), c("l_linestatus").alias("stdout"), F.array(c("l_returnflag")).alias("issues"), (c("l_suppkey") % 2).cast("int").alias("exit_code"),
         F.when(c("l_linestatus") == "O", "javac-17").otherwise("ecj").alias("compiler"), F.when(c("l_suppkey") % 2 == 0, "HotSpot-17").otherwise("openj9").alias("runtime"), F.array(c("l_returnflag"), c("l_linestatus")).alias("names"),
     )
 
 
-_REPLICAS = """WITH r AS (SELECT l_orderkey AS case_id, l_linenumber AS pos, l_suppkey::VARCHAR || '/' || l_linenumber || '/' || l_partkey AS id, CASE WHEN l_quantity = 50 THEN 'CRASH' WHEN l_quantity = 49 THEN 'TIMEOUT' WHEN l_returnflag = 'R' AND l_quantity > 24 THEN 'FAILURE' ELSE 'SUCCESS' END AS status,
- [l_linestatus, (l_suppkey % 3)::VARCHAR] AS lines, l_linestatus AS stdout, l_returnflag AS issues, CASE WHEN l_linestatus = 'O' THEN 'javac-17' ELSE 'ecj' END AS compiler, CASE WHEN l_suppkey % 2 = 0 THEN 'HotSpot-17' ELSE 'openj9' END AS runtime FROM lineitem),
+_REPLICAS = f"""WITH r AS (SELECT l_orderkey AS case_id, l_linenumber AS pos, l_suppkey::VARCHAR || '/' || l_linenumber || '/' || l_partkey AS id, {_STATUS} AS status, {_REASON.format("MISSING")} AS reason,
+ [l_linestatus, (l_suppkey % 3)::VARCHAR] AS lines, l_linestatus AS stdout, l_returnflag AS issues, l_suppkey % 2 AS exit_code, CASE WHEN l_linestatus = 'O' THEN 'javac-17' ELSE 'ecj' END AS compiler, CASE WHEN l_suppkey % 2 = 0 THEN 'HotSpot-17' ELSE 'openj9' END AS runtime FROM lineitem),
 """
-_COMPILE = """g AS (SELECT case_id, count(*) AS n, bool_or(status = 'CRASH') AS crash, bool_or(status = 'TIMEOUT') AS late, bool_or(status = 'SUCCESS') AS ok, bool_or(status = 'FAILURE') AS bad, string_agg(CASE WHEN status = 'CRASH' THEN id END, ', ' ORDER BY pos, id) AS crashed, arg_min(lines, (pos, id)) FILTER (status = 'FAILURE') AS first FROM r GROUP BY 1),
+_COMPILE = """g AS (SELECT case_id, count(*) AS n, bool_or(status = 'INTERRUPTED') AS stopped, bool_and(reason = 'MISSING') AS missing, bool_or(status = 'CRASH') AS crash, bool_or(status = 'TIMEOUT') AS late, bool_or(status = 'SUCCESS') AS ok, bool_or(status = 'FAILURE') AS bad, arg_min(lines, (pos, id)) FILTER (status = 'FAILURE') AS first FROM r GROUP BY 1),
 d AS (SELECT r.case_id, bool_or(len(list_filter(first, lambda x: NOT list_contains(lines, x))) > 0 AND len(list_filter(lines, lambda x: NOT list_contains(first, x))) > 0) AS apart FROM r JOIN g ON r.case_id = g.case_id WHERE status = 'FAILURE' GROUP BY 1),
-verdicts AS (SELECT g.case_id, CASE WHEN crash THEN 'CRASH' WHEN late AND n = 1 THEN 'MATCH_TIMEOUT' WHEN ok AND bad THEN 'DIFFERENCE' WHEN n > 1 AND coalesce(apart, false) THEN 'DIFFERENCE' WHEN ok THEN 'MATCH_SUCCESS' ELSE 'MATCH_FAILURE' END AS verdict FROM g LEFT JOIN d ON g.case_id = d.case_id)
+verdicts AS (SELECT g.case_id, CASE WHEN stopped OR missing THEN 'ENVIRONMENT_ERROR' WHEN crash THEN 'CRASH' WHEN late AND n = 1 THEN 'MATCH_TIMEOUT' WHEN ok AND bad THEN 'DIFFERENCE' WHEN n > 1 AND coalesce(apart, false) THEN 'DIFFERENCE' WHEN ok THEN 'MATCH_SUCCESS' ELSE 'MATCH_FAILURE' END AS verdict FROM g LEFT JOIN d ON g.case_id = d.case_id)
 """
 
 
 @query(_REPLICAS + _COMPILE + "SELECT * FROM verdicts")
 def compile_verdicts(t):
-    return compare.compile_verdict(_replicas(t)).select("case_id", "verdict")
+    return compare.compile_verdict(_replicas(t, "COMPILER_SYMBOL_NOT_FOUND")).select("case_id", "verdict")
 
 
-@query(_REPLICAS + """f AS (SELECT case_id, arg_min({'pos': pos, 'id': id, 'status': status, 'stdout': stdout, 'issues': issues}, (CASE WHEN compiler = 'javac-17' AND runtime = 'HotSpot-17' THEN 0 WHEN compiler = 'javac-17' THEN 1 ELSE 2 END, pos, id)) AS gt, count(*) AS n, bool_or(status = 'CRASH') AS crash, bool_or(status = 'TIMEOUT') AS late FROM r GROUP BY 1),
+@query(_REPLICAS + """f AS (SELECT case_id, arg_min({'pos': pos, 'id': id, 'status': status, 'stdout': stdout, 'issues': issues, 'exit_code': exit_code}, (CASE WHEN compiler = 'javac-17' AND runtime = 'HotSpot-17' THEN 0 WHEN compiler = 'javac-17' THEN 1 ELSE 2 END, pos, id)) AS gt, count(*) AS n, bool_or(status = 'INTERRUPTED') AS stopped, bool_and(reason = 'MISSING') AS missing, bool_or(status = 'CRASH') AS crash, bool_or(status = 'TIMEOUT') AS late FROM r GROUP BY 1),
 d AS (SELECT r.case_id, arg_max(CASE WHEN gt.status = 'SUCCESS' AND status = 'SUCCESS' THEN 'DIFFERENCE_STDOUT' ELSE 'DIFFERENCE' END, (r.pos, r.id)) AS kind FROM r JOIN f ON r.case_id = f.case_id
- WHERE r.pos <> gt.pos AND NOT (status = gt.status AND CASE status WHEN 'SUCCESS' THEN stdout = gt.stdout WHEN 'FAILURE' THEN issues = gt.issues ELSE true END) GROUP BY 1)
-SELECT f.case_id, CASE WHEN crash THEN 'CRASH' WHEN late AND n = 1 THEN 'MATCH_TIMEOUT' WHEN n > 1 AND kind IS NOT NULL THEN kind WHEN gt.status = 'SUCCESS' THEN 'MATCH_SUCCESS' ELSE 'MATCH_FAILURE' END AS verdict FROM f LEFT JOIN d ON f.case_id = d.case_id""")
+ WHERE r.pos <> gt.pos AND NOT (status = gt.status AND CASE status WHEN 'SUCCESS' THEN stdout = gt.stdout WHEN 'FAILURE' THEN issues = gt.issues WHEN 'UNKNOWN' THEN exit_code = gt.exit_code WHEN 'CRASH' THEN issues = gt.issues AND exit_code = gt.exit_code ELSE true END) GROUP BY 1)
+SELECT f.case_id, CASE WHEN stopped OR missing THEN 'ENVIRONMENT_ERROR' WHEN crash THEN 'CRASH' WHEN late AND n = 1 THEN 'MATCH_TIMEOUT' WHEN n > 1 AND kind IS NOT NULL THEN kind WHEN gt.status = 'SUCCESS' THEN 'MATCH_SUCCESS' ELSE 'MATCH_FAILURE' END AS verdict FROM f LEFT JOIN d ON f.case_id = d.case_id""")
 def run_verdicts(t):
-    return compare.run_verdict(_replicas(t)).select("case_id", "verdict")
+    return compare.run_verdict(_replicas(t, "MAIN_CLASS_NOT_FOUND")).select("case_id", "verdict")
 
 
-@query(_REPLICAS + _COMPILE + """, s AS (SELECT r.case_id, string_agg(left(id, 0) || status || '[' || array_to_string(list_sort(list_distinct([issues, stdout])), ',') || ']', '|' ORDER BY status, issues, stdout) AS s FROM r GROUP BY 1), k AS (SELECT v.verdict || '|' || s AS signature, v.case_id FROM s JOIN verdicts v ON s.case_id = v.case_id)
+@query(_REPLICAS + _COMPILE + """, s AS (SELECT r.case_id, string_agg(status || '-' || compiler || '[' || status || ':' || array_to_string(list_sort(list_distinct([issues, stdout])), ',') || ']', '|' ORDER BY status || '-' || compiler, list_sort(list_distinct([issues, stdout])), issues, stdout) AS s FROM r GROUP BY 1), k AS (SELECT v.verdict || '|' || s AS signature, v.case_id FROM s JOIN verdicts v ON s.case_id = v.case_id)
 SELECT min(case_id) AS case_id, count(*) AS cases FROM k GROUP BY signature""")
 def signature_dedup(t):
-    r = _replicas(t)
-    # Targets that share a name across cases: the status alone, so that behaviours repeat.
-    by = r.select("case_id", F.concat_ws("\0", "status", c("names")[0], c("names")[1]).alias("id"), "status", "names", "pos")
-    part = F.transform(F.array_sort(F.collect_list(F.struct("id", "status", "names"))), lambda x: F.concat(x["status"], F.lit("["), F.array_join(F.array_sort(F.array_distinct(x["names"])), ","), F.lit("]")))
-    sig = by.groupBy("case_id").agg(F.array_join(part, "|").alias("s")).join(compare.compile_verdict(r), "case_id").select("case_id", F.concat_ws("|", "verdict", "s").alias("signature"))
-    return compare.distinct_behaviours(sig).select("case_id", "cases")
+    """Behaviours over cases: replicas are named by their compiler, so that signatures of different cases can be equal."""
+    r = _replicas(t, "COMPILER_SYMBOL_NOT_FOUND")
+    named = r.withColumns({"id": F.concat_ws("-", "status", "compiler"), "names": F.array_sort(F.array_distinct("names"))})
+    return compare.distinct_behaviours(compare.signatures(named, compare.compile_verdict(r), scoped=False)).select("case_id", "cases")
 
 
 @query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linestatus, first_value(l_linestatus) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS f FROM lineitem) SELECT l_orderkey, count(*) FILTER (f = l_linestatus) AS same, count(*) AS n FROM w GROUP BY 1""")
@@ -675,12 +797,20 @@ def against_first(t):
     return compare.against_first(x, "l_orderkey", "at", "l_linestatus").groupBy("l_orderkey").agg(F.count_if("same").alias("same"), F.count("*").alias("n"))
 
 
-@query(r"""WITH o AS (SELECT issue_id, artifact_id AS crawl_seq, regexp_split_to_array(content, '\r\n|\n|\r') AS ls FROM artifacts WHERE content IS NOT NULL AND issue_id IS NOT NULL), n AS (SELECT issue_id, count(*) AS ids FROM o GROUP BY 1),
-l AS (SELECT issue_id, crawl_seq, unnest(ls) AS x, unnest(range(0, len(ls))) AS line FROM o),
-b AS (SELECT l.issue_id, line, count(DISTINCT crawl_seq) AS have, count(DISTINCT x) AS kinds, any_value(ids) AS ids FROM l JOIN n ON l.issue_id = n.issue_id GROUP BY 1, 2)
-SELECT issue_id, min(line)::INT AS line FROM b WHERE kinds > 1 OR have < ids GROUP BY 1""")
+_OUTPUTS = [("x1", -1, "a\nb\nc\nd\ne"), ("x1", -2, "a\nb\nX\nd\ne"), ("x1", -3, "a\nb\nc\nd\ne"), ("x2", -4, "a\nb"), ("x2", -5, "a\nb\nc"), ("x3", -6, "same\ntext"), ("x3", -7, "same\ntext"), ("x4", -8, "alone"), ("x5", -9, ""), ("x5", -10, "\n\n\n\nlate")]
+
+
+@query(rf"""WITH o AS (SELECT issue_id, artifact_id AS id, regexp_split_to_array(content, '\r\n|\n|\r') AS ls FROM (SELECT issue_id, artifact_id, content FROM artifacts WHERE content IS NOT NULL AND issue_id IS NOT NULL UNION ALL {values_sql(_OUTPUTS)})), n AS (SELECT issue_id, count(*) AS ids FROM o GROUP BY 1),
+l AS (SELECT issue_id, id, unnest(ls) AS x, unnest(range(0, len(ls))) AS line FROM o),
+b AS (SELECT l.issue_id, line, count(DISTINCT id) AS have, count(DISTINCT x) AS kinds, any_value(ids) AS ids FROM l JOIN n ON l.issue_id = n.issue_id GROUP BY 1, 2), f AS (SELECT issue_id, min(line)::INT AS line FROM b WHERE kinds > 1 OR have < ids GROUP BY 1)
+SELECT f.issue_id, line, string_agg(id || ':' || coalesce(ls[line + 1], '<END_OF_OUTPUT>') || '/' || array_to_string(ls[greatest(line - 1, 1):greatest(line - 1, 1) + 4], '+'), '|' ORDER BY id) AS variants FROM f JOIN o ON f.issue_id = o.issue_id GROUP BY 1, 2""")
 def first_diff_line(t):
-    return compare.first_difference(t("artifacts").filter("content IS NOT NULL AND issue_id IS NOT NULL"), "issue_id", "artifact_id", "content").select("issue_id", "line")
+    """The first line at which files of an issue, or given outputs, differ, with each variant and the lines around it."""
+    x = compare.first_difference(beside(t("artifacts").filter("content IS NOT NULL AND issue_id IS NOT NULL").select("issue_id", "artifact_id", "content"), _OUTPUTS), "issue_id", "artifact_id", "content")
+    one = lambda v: F.concat(v["id"].cast("string"), F.lit(":"), v["content"], F.lit("/"), F.array_join(v["around"], "+"))
+    return x.select("issue_id", "line", F.array_join(F.transform("variants", one), "|").alias("variants"))
+
+
 
 
 @query("SELECT artifact_id, r AS runtime FROM artifacts, (SELECT unnest(['hotspot', 'openj9', 'graal']) AS r)")
@@ -706,9 +836,6 @@ def components(t):
     return graph.components(_links(t))
 
 
-@query(_LINKS + "c AS (SELECT s, d FROM e UNION SELECT c.s, e.d FROM c JOIN e ON c.d = e.s) SELECT s AS src, d AS dst FROM c WHERE s <> d")
-def companion_closure(t):
-    return graph.closure(_links(t))
 
 
 @query(_LINKS + "p AS (SELECT DISTINCT s AS origin, s AS node, 0 AS depth FROM u UNION SELECT p.origin, u.d, p.depth + 1 FROM p JOIN u ON p.node = u.s WHERE p.depth < 2) SELECT origin, node, min(depth)::INT AS depth FROM p GROUP BY 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import timestamps
 from millrace.plans import code as _code  # noqa: F401 - registers its queries
+from millrace.plans import given as _given  # noqa: F401
 from millrace.plans import reference
 from millrace.sources.tables import table
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -34,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='millrace-')}")
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get()
@@ -43,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each context, so that their Python workers can import it."""
     sc = spark.sparkContext
+    # With adaptive execution Spark 4.1 may take a union of differently coalesced inputs for one that is partitioned alike.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     if getattr(sc, "_millrace_shipped", False):
         return
     root = Path(__file__).resolve().parent
@@ -63,7 +69,9 @@ _made: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder."""
+    """An unused path in the shared folder; it is deleted when the process ends, if not by ``release`` before."""
+    if not _made:
+        atexit.register(_clean)
     _made.append(f"{shared_dir(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}")
     return _made[-1]
 
@@ -103,6 +111,15 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
             raise OSError(f"{path} cannot be replaced")
 
 
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            release(spark)
+    except Exception as e:  # noqa: BLE001 - the process is ending; what is left lies in the shared folder
+        print(f"intermediate tables not deleted: {e}", file=sys.stderr)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables of this process; call it when no result that reads them is needed any more."""
     n = 0

@@ -68,6 +68,16 @@ def stale(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     return i.join(o, key, "left").filter("made IS NULL OR newest > made").select(key)
 
 
+def coverage_lines(tracefiles: DataFrame) -> DataFrame:
+    """path, line, hits of coverage trace files (file, text): records of ``SF:path``, ``DA:line,hits`` and ``end_of_record``."""
+    lines = tracefiles.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("at", "t"))
+    w = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    path = F.last(F.when(F.col("t").startswith("SF:"), F.regexp_replace("t", "^SF:", "")).when(F.col("t") == "end_of_record", ""), ignorenulls=True).over(w)
+    hit = lines.withColumn("path", path).filter(F.col("t").rlike(r"^DA:\d+,\d+") & (F.col("path") != ""))
+    number = lambda k: F.regexp_extract("t", r"^DA:(\d+),(\d+)", k).cast("bigint")
+    return hit.select("path", number(1).cast("int").alias("line"), number(2).alias("hits"))
+
+
 def coverage(counters: DataFrame, pattern: str, component: str) -> DataFrame:
     """component, lines, hit: merged line counters of the paths that match; component is the first group of the pattern."""
     merged = counters.filter(F.col("path").rlike(pattern)).groupBy("path", "line").agg(F.sum("hits").alias("hits"))

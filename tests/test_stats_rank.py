@@ -146,3 +146,21 @@ def test_crosstab_and_lines(spark):
     assert {tuple(r) for r in stats.crosstab(a, b, "case_id", "f", "p").collect()} == {("f", "p", 1), ("f", "q", 2)}
     occ = spark.createDataFrame([("c", k, "f", (7 * k) % 12) for k in range(24)], "case_id string, seq int, feature string, line int")
     assert stats.feature_lines(occ, most=3).head(1)[0]["lines"] == "0,1,2"
+
+
+def test_paths_with_a_budget(spark):
+    """Unknown nodes cost one; known ones are followed whatever is left."""
+    edges = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "c"), ("b", "d"), ("d", "e")], "src string, dst string")
+    start, cost = spark.createDataFrame([("r",)], "node string"), spark.createDataFrame([("r", 0), ("b", 0)], "node string, cost int")
+    got = {r["node"]: r["followed"] for r in graph.bounded_paths(start, edges, 4, expand=cost, budget=0).collect()}
+    assert got == {"r": True, "a": False, "b": True, "d": False}
+    every = {r["node"]: (r["depth"], r["path"]) for r in graph.path_of(graph.bounded_paths(start, edges, 4), 4).collect()}
+    assert every["e"] == (3, ["r", "b", "d", "e"]) and every["c"] == (2, ["r", "a", "c"]) and len(every) == 6
+    assert graph.bounded_paths(start.limit(0), edges, 2).count() == 0
+
+
+def test_first_difference_of_repeated_and_null_outputs(spark):
+    from millrace.operators import compare
+
+    df = spark.createDataFrame([("a", 1, "x\ny"), ("a", 1, "x\ny"), ("a", 2, "x\nz"), ("b", 1, None), ("b", 2, "q"), ("c", 1, "s"), ("c", 2, "s")], "case_id string, id int, stdout string")
+    assert [(r["case_id"], r["line"]) for r in compare.first_difference(df).collect()] == [("a", 1)]

@@ -1,4 +1,6 @@
 import json
+
+import pytest
 import os
 
 from pyspark.sql import functions as F
@@ -120,3 +122,47 @@ def test_case_tree_source(spark, tmp_path):
     df = spark.read.format("case_tree").option("suffix", ".java").option("folders_per_task", 3).load(str(tmp_path))
     assert {(r["folder"], r["file"], r["text"]) for r in df.collect()} == {(f"c{k}", "A.java", f"class A{k} {{ }}") for k in range(7)}
     assert df.rdd.getNumPartitions() == 3 and df.filter("error IS NOT NULL").count() == 0
+
+
+def test_log_tail_reads_complete_lines_once(spark, tmp_path):
+    from millrace.sources import log_tail
+
+    log_tail.register(spark)
+    assert log_tail.complete_end(__file__, 0) == 0
+    (tmp_path / "in").mkdir()
+    a, b = tmp_path / "in/a.log", tmp_path / "in/b.log"
+
+    def run():
+        q = spark.readStream.format("log_tail").option("bytes_per_task", 7).load(str(tmp_path / "in/*.log")).writeStream.format("parquet")
+        q.option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["text"] for r in spark.read.schema("source string, offset bigint, text string").parquet(str(tmp_path / "out")).collect())
+
+    a.write_bytes(b"first\nsecond line that is longer than a task\r\npart")
+    assert run() == ["first", "second line that is longer than a task"]
+    a.write_bytes(b"first\nsecond line that is longer than a task\r\npart done\n")
+    b.write_bytes("übel\n\n\xff".encode("utf-8") + b"\xff\n")
+    got = run()
+    assert got[:2] == ["", "first"] and "part done" in got and "übel" in got and len(got) == 6
+    a.write_bytes(b"new\n")  # shorter than before: read again from its begin
+    assert "new" in run() and len(run()) == 7
+
+
+def test_names_stay_free(spark):
+    rows = [("i", k, n, t) for k, (n, t) in enumerate([("a.java", True), ("A.java", False), ("a_1.java", False), ("a.java", False), ("b", False)])]
+    df = spark.createDataFrame(rows + [("j", 0, "a.java", False)], "issue_id string, pos int, original string, taken boolean")
+    got = {(r["issue_id"], r["pos"]): r["saved"] for r in sinks.free_names(df, "issue_id", "original", "taken", "pos").collect()}
+    assert got["i", 0] == "a.java" and got["i", 1] == "A_1.java" and got["j", 0] == "a.java" and len({n.lower() for (i, _), n in got.items() if i == "i"}) == 5
+
+
+def test_shared_folder_is_asked_for(monkeypatch):
+    from types import SimpleNamespace
+
+    from millrace import session
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=Context())
+    with pytest.raises(RuntimeError):
+        session.shared_dir(fake)
