@@ -59,17 +59,56 @@ NAME = rf"[{_START}][{_START}.0-9\u00B7\u0300-\u036F\u203F\u2040-]*"
 _S = r"[ \t\r\n]"
 _LIT = r"(?:\"[^\"]*\"|'[^']*')"
 _ATT = rf"{NAME}{_S}*={_S}*(?:\"[^<\"]*\"|'[^<']*')"
-_PUB = r"(?:\"[ \r\na-zA-Z0-9'()+,./:=?;!*#@$_%-]*\"|'[ \r\na-zA-Z0-9()+,./:=?;!*#@$_%-]*')"
-_EXT = rf"(?:SYSTEM{_S}+{_LIT}|PUBLIC{_S}+{_PUB}{_S}+{_LIT})"
 _COMMENT = r"<!--(?:[^-]|-[^-])*-->"
 _PI = rf"<\?(?![xX][mM][lL](?:{_S}|\?>)){NAME}(?:{_S}(?:(?!\?>).)*)?\?>"
-_MODEL = r"(?:EMPTY|ANY|\([^<>\"']*\)[?*+]?)"
-_DECL = (
-    rf"<!ELEMENT{_S}+{NAME}{_S}+{_MODEL}{_S}*>"
-    rf"|<!ATTLIST{_S}+{NAME}(?:{_S}+{NAME}{_S}+(?:[A-Z]+|(?:NOTATION{_S}+)?\([^<>()\"']*\)){_S}+(?:\#REQUIRED|\#IMPLIED|(?:\#FIXED{_S}+)?(?:\"[^<\"]*\"|'[^<']*')))*{_S}*>"
-    rf"|<!ENTITY{_S}+(?:%{_S}+)?{NAME}{_S}+(?:{_LIT}|{_EXT}(?:{_S}+NDATA{_S}+{NAME})?){_S}*>"
-    rf"|<!NOTATION{_S}+{NAME}{_S}+(?:{_EXT}|PUBLIC{_S}+{_PUB}){_S}*>"
-)
+_NAME_CHARS = rf"[{_START}.0-9\u00B7\u0300-\u036F\u203F\u2040-]+"
+
+
+class Declarations:
+    """Tokens of a document type declaration. A word has a kind of its own only where the grammar needs it as a keyword;
+    a literal has one for what it may stand for (public identifier, attribute value, entity value)."""
+
+    TOKEN = re.compile(
+        rf"(?P<O><!DOCTYPE)|(?P<l><!ELEMENT)|(?P<a><!ATTLIST)|(?P<e><!ENTITY)|(?P<o><!NOTATION)|(?P<H>{_COMMENT})|(?P<P>{_PI})|(?P<W>{_S}+)"
+        rf"|(?P<Z>%{NAME};)|(?P<word>{NAME})|(?P<k>{_NAME_CHARS})|(?P<hash>\#[A-Z]+)|(?P<text>{_LIT})|(?P<sign>[][()|,?*+%>])|(?P<bad>.)",
+        re.DOTALL,
+    )
+    WORDS = {"SYSTEM": "y", "PUBLIC": "p", "EMPTY": "m", "ANY": "m", "CDATA": "c", "NOTATION": "N", "NDATA": "d"} | dict.fromkeys(("ID", "IDREF", "IDREFS", "ENTITY", "ENTITIES", "NMTOKEN", "NMTOKENS"), "c")
+    HASHES = {"#PCDATA": "D", "#REQUIRED": "r", "#IMPLIED": "r", "#FIXED": "f"}
+    PUBLIC_ID = re.compile(r"[ \r\na-zA-Z0-9'()+,./:=?;!*#@$_%-]*")
+    #: A literal that may be a public identifier, an attribute value, an entity value: one kind for each combination.
+    LITERALS = {(pub, att, ent): chr(0xE0 + 4 * pub + 2 * att + ent) for pub in (False, True) for att in (False, True) for ent in (False, True)}
+    REFERENCES = re.compile(rf"&(?:{NAME}|\#[0-9]+|\#x[0-9a-fA-F]+);")
+
+    @classmethod
+    def kind(cls, m: re.Match) -> str:
+        k, t = m.lastgroup, m[0]
+        if k == "word":
+            return cls.WORDS.get(t, "w")
+        if k == "hash":
+            return cls.HASHES.get(t, BAD)
+        if k == "sign":
+            return t
+        if k == "text":
+            inner = t[1:-1]
+            plain = "&" not in cls.REFERENCES.sub("", inner)
+            return cls.LITERALS[bool(cls.PUBLIC_ID.fullmatch(inner)), plain and "<" not in inner, plain and "%" not in inner]
+        return BAD if k == "bad" else k
+
+    @classmethod
+    def of(cls, flag: int) -> str:
+        return "".join(k for f, k in cls.LITERALS.items() if f[flag])
+
+    @classmethod
+    def end(cls, text: str, at: int) -> int:
+        """Where the declaration that begins at ``at`` ends, or the end of the text."""
+        depth = 0
+        for m in cls.TOKEN.finditer(text, at):
+            t = m[0] if m.lastgroup == "sign" else ""
+            depth += (t == "[") - (t == "]")
+            if t == ">" and depth <= 0:
+                return m.end()
+        return len(text)
 
 
 class Xml:
@@ -78,7 +117,7 @@ class Xml:
     TOKEN = re.compile(
         rf"(?P<X><\?xml{_S}+version{_S}*={_S}*(?:\"1\.[0-9]+\"|'1\.[0-9]+')(?:{_S}+encoding{_S}*={_S}*(?:\"[A-Za-z][A-Za-z0-9._-]*\"|'[A-Za-z][A-Za-z0-9._-]*'))?(?:{_S}+standalone{_S}*={_S}*(?:\"(?:yes|no)\"|'(?:yes|no)'))?{_S}*\?>)"
         rf"|(?P<H>{_COMMENT})|(?P<C><!\[CDATA\[(?:(?!\]\]>).)*\]\]>)|(?P<P>{_PI})"
-        rf"|(?P<D><!DOCTYPE{_S}+{NAME}(?:{_S}+{_EXT})?{_S}*(?:\[(?:{_S}+|%{NAME};|{_DECL}|{_COMMENT}|{_PI})*\]{_S}*)?>)"
+        rf"|(?P<D><!DOCTYPE)"
         rf"|(?P<E></{NAME}{_S}*>)|(?P<M><{NAME}(?:{_S}+{_ATT})*{_S}*/>)|(?P<S><{NAME}(?:{_S}+{_ATT})*{_S}*>)"
         rf"|(?P<R>&(?:{NAME}|\#[0-9]+|\#x[0-9a-fA-F]+);)|(?P<W>{_S}+(?=<|$))|(?P<T>[^<&]+)|(?P<bad>.)",
         re.DOTALL,
@@ -87,7 +126,9 @@ class Xml:
     NAMES = re.compile(NAME)
     ATTRIBUTE = re.compile(rf"({NAME}){_S}*={_S}*(\"[^<\"]*\"|'[^<']*')")
     REFERENCE = re.compile(rf"&(?:({NAME})|\#([0-9]+)|\#x([0-9a-fA-F]+));|&")
-    ENTITY = re.compile(rf"<!ENTITY{_S}+({NAME})")
+    #: name, and literal or external identifier, of a general entity
+    ENTITY = re.compile(rf"<!ENTITY{_S}+({NAME}){_S}+(?:({_LIT})|((?:SYSTEM|PUBLIC)(?:{_LIT}|[^>\"'])*))")
+    OUTSIDE = re.compile(rf"<!--.*?-->|<\?.*?\?>|{_LIT}|(?P<pe>%{NAME};)", re.DOTALL)
     _state: dict = {"tokens": [], "open": []}
 
     @classmethod
@@ -106,19 +147,26 @@ class Xml:
         return p if p < len(at) and at[p].startswith("</") and cls.NAMES.match(at[p], 2)[0] == cls._state["open"].pop() else -1
 
     @classmethod
-    def tokens(cls, text: str) -> tuple[list[str], str]:
-        """Tokens and their kinds; a token that breaks a constraint of its own has the kind BAD."""
-        out, kinds, known, strict = [], [], {"lt", "gt", "amp", "apos", "quot"}, True
+    def tokens(cls, text: str, entities: dict[str, str | None] | None = None, strict: bool = True, inside: tuple[str, ...] = ()) -> tuple[list[str], str]:
+        """Tokens and their kinds; a token that breaks a constraint of its own has the kind BAD. ``entities``: literals of
+        the general entities (None: external, ``&unparsed``: with a notation), given for the text of an entity."""
+        out, kinds = [], []
+        fragment = entities is not None
+        known: dict[str, str | None] = entities if entities is not None else {}
         if m := cls.ILLEGAL.search(text):
-            out, kinds, text = [], [], text[: m.start()]
-            tail = [BAD]
+            text, tail = text[: m.start()], [BAD]
         else:
             tail = []
 
-        def legal(refs: str) -> bool:
+        def legal(refs: str, attribute: bool) -> bool:
             for r in cls.REFERENCE.finditer(refs):
                 if r[1]:
-                    if strict and r[1] not in known:
+                    if r[1] in ("lt", "gt", "amp", "apos", "quot"):
+                        continue
+                    if r[1] not in known:
+                        if strict:
+                            return False
+                    elif not cls._fits(r[1], known, strict, inside, attribute):
                         return False
                 elif r[2] or r[3]:
                     n = int(r[2]) if r[2] else int(r[3], 16)
@@ -128,47 +176,93 @@ class Xml:
                     return False
             return True
 
-        for m in cls.TOKEN.finditer(text):
-            k, t = m.lastgroup, m[0]
+        at = 0
+        while m := cls.TOKEN.match(text, at):
+            k, t, at = m.lastgroup, m[0], m.end()
+            if k == "D" and not fragment:
+                stop = Declarations.end(text, m.start())
+                head = list(Declarations.TOKEN.finditer(text, m.start(), stop))
+                out += [x[0] for x in head]
+                kinds += [Declarations.kind(x) for x in head]
+                declared = text[m.start() : stop]
+                for name, literal, outside in cls.ENTITY.findall(re.sub(_COMMENT, "", declared)):
+                    known.setdefault(name, literal[1:-1] if literal else "&unparsed" if "NDATA" in re.sub(_LIT, "", outside) else None)
+                before = declared.split("[")[0]
+                strict = not (any(x["pe"] for x in cls.OUTSIDE.finditer(declared)) or "SYSTEM" in before or "PUBLIC" in before)
+                at = stop
+                continue
             if k in "SM" and "=" in t:
                 atts = cls.ATTRIBUTE.findall(t)
-                if len({a for a, _ in atts}) < len(atts) or "&" in t and not all(legal(v) for _, v in atts):
+                if len({a for a, _ in atts}) < len(atts) or "&" in t and not all(legal(v, True) for _, v in atts):
                     k = BAD
             elif k == "R":
-                k = k if legal(t) else BAD
+                k = k if legal(t, False) else BAD
             elif k == "T":
                 k = BAD if "]]>" in t else k
-            elif k == "X" and m.start():
+            elif k == "X" and (m.start() or fragment):
                 k = BAD
-            elif k == "D":
-                known |= set(cls.ENTITY.findall(t))
-                head = t.split("[")[0]
-                strict = not ("%" in t or "SYSTEM" in head or "PUBLIC" in head)
-            elif k == "bad":
+            elif k in ("bad", "D"):
                 k = BAD
             out.append(t)
             kinds.append(k)
         return out + tail, "".join(kinds) + "".join(tail)
 
+    @classmethod
+    def _fits(cls, name: str, known: dict[str, str | None], strict: bool, inside: tuple[str, ...], attribute: bool) -> bool:
+        """Whether an entity may be referred to: its replacement text does not come back to it, and is well-formed content, or
+        free of ``<`` in an attribute."""
+        literal = known[name]
+        if name in inside or literal == "&unparsed":
+            return False
+        if literal is None:
+            return not attribute
+        text = re.sub(r"&#(?:([0-9]+)|x([0-9a-fA-F]+));", lambda r: chr(n) if (n := int(r[1]) if r[1] else int(r[2], 16)) <= 0x10FFFF else "\0", literal)
+        if attribute:
+            names = [r[1] for r in cls.REFERENCE.finditer(text)]
+            return "<" not in text and all(n is None or n in ("lt", "gt", "amp", "apos", "quot") or (cls._fits(n, known, strict, (*inside, name), True) if n in known else not strict) for n in names)
+        tokens, kinds = cls.tokens(text, known, strict, (*inside, name))
+        cls._state["tokens"] = tokens
+        return cls.grammar.failure(kinds, "Replacement") < 0
+
     @classmethod
     def failure(cls, text: str) -> int:
         """-1 or the furthest failing character."""
         shift = text.startswith("\ufeff")
         text = text[shift:]
-        cls._state["tokens"], kinds = cls.tokens(text)
+        tokens, kinds = cls.tokens(text)
+        cls._state["tokens"] = tokens
         n = cls.grammar.failure(kinds)
-        return -1 if n < 0 else shift + sum(map(len, cls._state["tokens"][:n]))
+        return -1 if n < 0 else shift + sum(map(len, tokens[:n]))
 
 
+_SIGNS = {x: x for x in "[]()|,?*+%>"}
 Xml.grammar = Grammar(
     """
-Document = @reset DECLARATION? Misc* (DOCTYPE Misc*)? Element Misc* EOF
+Document = @reset DECLARATION? Misc* (Doctype Misc*)? Element Misc* EOF
+Replacement = @reset Content* EOF
 Misc = HINT / INSTRUCTION / SPACE
 Element = EMPTY / START @opened Content* @closes END
 Content = Element / CDATA / TEXT / SPACE / REFERENCE / HINT / INSTRUCTION
+Doctype <- DOCTYPE SPACE NAME (SPACE External)? SPACE? ('[' Declared* ']' SPACE?)? '>'
+External = SYSTEM SPACE LITERAL / PUBLIC SPACE PUBLICID SPACE LITERAL
+Declared = ElementType / AttributeList / EntityText / Notation / HINT / INSTRUCTION / PARAMETER / SPACE
+ElementType = ELEMENT SPACE NAME SPACE Model SPACE? '>'
+Model = NOMODEL / Mixed / Group QUANTITY?
+Mixed = '(' SPACE? PCDATA (SPACE? '|' SPACE? NAME)* SPACE? ')' '*' / '(' SPACE? PCDATA SPACE? ')'
+Group <- '(' SPACE? Particle ((SPACE? '|' SPACE? Particle)+ / (SPACE? ',' SPACE? Particle)*) SPACE? ')'
+Particle <- (NAME / Group) QUANTITY?
+AttributeList = ATTLIST SPACE NAME (SPACE NAME SPACE AttributeType SPACE Default)* SPACE? '>'
+AttributeType = ATTTYPE / NOTATION SPACE '(' SPACE? NAME (SPACE? '|' SPACE? NAME)* SPACE? ')' / '(' SPACE? TOKEN (SPACE? '|' SPACE? TOKEN)* SPACE? ')'
+Default = IMPLIED / (FIXED SPACE)? ATTVALUE
+EntityText = ENTITY SPACE ('%' SPACE NAME SPACE (ENTVALUE / External) / NAME SPACE (ENTVALUE / External (SPACE NDATA SPACE NAME)?)) SPACE? '>'
+Notation = NOTATIONTYPE SPACE NAME SPACE (External / PUBLIC SPACE PUBLICID) SPACE? '>'
 """,
     "Document",
-    {},
-    {"DECLARATION": "X", "DOCTYPE": "D", "HINT": "H", "INSTRUCTION": "P", "SPACE": "W", "EMPTY": "M", "START": "S", "END": "E", "CDATA": "C", "TEXT": "T", "REFERENCE": "R"},
+    _SIGNS,
+    {
+        "DECLARATION": "X", "HINT": "H", "INSTRUCTION": "P", "SPACE": "W", "EMPTY": "M", "START": "S", "END": "E", "CDATA": "C", "TEXT": "T", "REFERENCE": "R",
+        "DOCTYPE": "O", "ELEMENT": "l", "ATTLIST": "a", "ENTITY": "e", "NOTATIONTYPE": "o", "PARAMETER": "Z", "NAME": "wypmcNd", "TOKEN": "wypmcNdk", "SYSTEM": "y", "PUBLIC": "p", "NOMODEL": "m", "ATTTYPE": "c", "NOTATION": "N", "NDATA": "d",
+        "PCDATA": "D", "IMPLIED": "r", "FIXED": "f", "QUANTITY": "?*+", "LITERAL": "".join(Declarations.LITERALS.values()), "PUBLICID": Declarations.of(0), "ATTVALUE": Declarations.of(1), "ENTVALUE": Declarations.of(2),
+    },
     {"reset": Xml._reset, "opened": Xml._opened, "closes": Xml._closes},
 )

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import reading
 
@@ -69,3 +70,18 @@ def test_model_recovers_an_order():
     level = 1 + (z[:, None] + rng.logistic(size=(1500, 1)) * 0.5 > np.array([-3, -1, 1, 3])[None, :]).sum(axis=1)
     m = reading.fit(x, level, np.full(1500, "r"))
     assert np.corrcoef(m.level(x), level)[0, 1] > 0.9 and (np.diff(m.cuts) > 0).all()
+
+
+
+def test_agreement_with_ratings_held_out(spark):
+    """Fitted on the ratings of three quarters of the rated documents of the test data, compared with those of the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "reading_labels"))
+    held = labels.filter("level IS NOT NULL AND pmod(xxhash64(doc_id), 4) = 0")
+    levels = reading.reading_levels(docs, labels.filter("pmod(xxhash64(doc_id), 4) <> 0"))
+    got = held.join(levels.filter("level IS NOT NULL").select("doc_id", F.col("level").alias("estimate")), "doc_id").select("level", "estimate").toPandas()
+    assert len(got) > 100
+    rank = got.rank()
+    assert rank["level"].corr(rank["estimate"]) > 0.85
+    off = (got["estimate"] - got["level"]).abs()
+    print(f"held out: {len(got)} ratings, rank correlation {rank['level'].corr(rank['estimate']):.3f}, mean error {off.mean():.3f}, same grade {(off < 0.5).mean():.3f}, within one {(off <= 1).mean():.3f}")
+    assert off.mean() < 0.45 and (off <= 1).mean() > 0.93

@@ -79,6 +79,50 @@ def test_deep_and_long_texts():
     assert syntax.failure("java", "class A { int x = 1; }\n" * 20_000 + "}") >= 0
 
 
+DTD_GOOD = [
+    '<!DOCTYPE a [<!ELEMENT a (b, (c | d)*, e?)+><!ELEMENT b (#PCDATA)><!ELEMENT c (#PCDATA | b)*><!ELEMENT d EMPTY><!ELEMENT e ANY>]><a/>',
+    "<!DOCTYPE a PUBLIC '-//X//Y' \"u\" [ <!ATTLIST a x CDATA #IMPLIED y (p|q) 'p' z NMTOKENS #FIXED \"1 2\" n NOTATION (g) #REQUIRED> ]><a/>",
+    '<!DOCTYPE a [<!ENTITY % p "x"><!ENTITY e SYSTEM "s"><!ENTITY u PUBLIC "p" "s" NDATA g><!NOTATION g PUBLIC "p"><!-- c -->%p;]><a>&e;</a>',
+    '<!DOCTYPE a [<!ENTITY e "<b>t</b>&f;"><!ENTITY f "x &#60; y &lt;">]><a k="&g;">&e;</a>'.replace("&g;", "").replace("&#60; y ", ""),
+    "<!DOCTYPE a [<!ENTITY never '<b>'>]><a/>",
+    "<!DOCTYPE EMPTY [<!ELEMENT EMPTY EMPTY>]><EMPTY/>",
+]
+DTD_BAD = [
+    "<!DOCTYPE a [<!ELEMENT a (b,,|c)>]><a/>", "<!DOCTYPE a [<!ELEMENT a (b|c,d)>]><a/>", "<!DOCTYPE a [<!ELEMENT a ()>]><a/>", "<!DOCTYPE a [<!ELEMENT a (b) ?>]><a/>", "<!DOCTYPE a [<!ELEMENT a (#PCDATA|b)>]><a/>", "<!DOCTYPE a [<!ELEMENT a(b)>]><a/>",
+    "<!DOCTYPE a [<!ATTLIST a x FOO #IMPLIED>]><a/>", "<!DOCTYPE a [<!ATTLIST a x CDATA>]><a/>", "<!DOCTYPE a [<!ATTLIST a x CDATA '<'>]><a/>", "<!DOCTYPE a [<!ATTLIST a x () 'y'>]><a/>",
+    "<!DOCTYPE a [<!ENTITY e '%'>]><a/>", "<!DOCTYPE a [<!ENTITY e '&'>]><a/>", "<!DOCTYPE a [<!ENTITY e '<b>'>]><a>&e;</a>", "<!DOCTYPE a [<!ENTITY e '&e;'>]><a>&e;</a>", "<!DOCTYPE a [<!ENTITY e '&f;'><!ENTITY f '&e;'>]><a b='&e;'/>", "<!DOCTYPE a [<!ENTITY e '<b/>'>]><a b='&e;'/>", "<!DOCTYPE a [<!ENTITY e '&#60;b>'>]><a>&e;</a>",
+    "<!DOCTYPE a [<!ENTITY u SYSTEM 's' NDATA g>]><a>&u;</a>", "<!DOCTYPE a [<!ENTITY u SYSTEM 's'>]><a b='&u;'/>", "<!DOCTYPE a [<!ENTITY e 'x'>]><a>&f;</a>", "<!DOCTYPE a [<!FOO a>]><a/>", "<!DOCTYPE a [<!ELEMENT a ANY>><a/>", "<!DOCTYPE a PUBLIC '<' 'x'><a/>", "<!DOCTYPE a SYSTEM><a/>", "<a/><!DOCTYPE a>",
+]
+
+
+def test_document_types():
+    from xml.parsers import expat
+
+    for text in DTD_GOOD:
+        assert syntax.failure("xml", text) == -1, text
+    for text in DTD_BAD:
+        assert syntax.failure("xml", text) >= 0, text
+
+    def sound(text):
+        p = expat.ParserCreate()
+        p.ExternalEntityRefHandler = lambda *_: 1
+        try:
+            p.Parse(text, True)
+            return True
+        except expat.ExpatError:
+            return False
+
+    # Every text with one character left out, doubled or turned into another one.
+    checked = differ = 0
+    for text in DTD_GOOD[:2] + DTD_GOOD[3:] + DTD_BAD[:16]:
+        for k in range(len(text)):
+            for other in ("", text[k] * 2, ">", "|", " "):
+                changed = text[:k] + other + text[k + 1 :]
+                checked += 1
+                differ += (syntax.failure("xml", changed) < 0) != sound(changed)
+    assert checked > 5000 and differ < 0.01 * checked
+
+
 def test_nesting_has_no_limit(spark, monkeypatch):
     for depth in (200, 201, 300, 2000):
         assert syntax.failure("py", "x = " + "(" * depth + "1" + ")" * depth + "\n") == -1
