@@ -20,20 +20,22 @@ from pyspark.sql import DataFrame
 
 from millrace.session import written
 
+#: Parameters of the matching. A form of 11 characters or more allows so many edits, shorter ones fewer (``edits_sql``); a
+#: value beyond them is unmatched and reported, none is dropped.
 MAX_EDITS = 4
-#: Words around a name that carry no meaning of their own.
+#: Lengths a value may have to be read as initials, and the least length of each word of an abbreviation: shorter ones
+#: would fit many entries.
+INITIALS, ABBREVIATED = (3, 6), 3
+#: Words around a name that carry no meaning of their own in this domain, as alternatives of a pattern; for another domain
+#: give others (or none).
 NOISE_BEFORE = "the|in|phase|pass|opto|jit|c1|c2|likely|probably|maybe"
 NOISE_AFTER = "pass|phase|optimization|optimisation|opt|c1|c2|likely|probably|maybe|bug|issue"
 
 
-def words_sql(x: str, dialect: str = "spark") -> str:
+def words_sql(x: str) -> str:
     """Words of a value in lower case, joined by single blanks, without noise words around them."""
-    g = ", 'g'" if dialect == "duckdb" else ""
-    d = "\\\\" if dialect == "spark" else "\\"
-    split = f"CASE WHEN regexp_like({x}, '{d}S[{d}s_-]+{d}S') THEN {x} ELSE regexp_replace({x}, '([a-z])([A-Z])', '{'$1 $2' if dialect == 'spark' else f'{d}1 {d}2'}'{g}) END"
-    if dialect == "duckdb":
-        split = split.replace("regexp_like", "regexp_matches")
-    plain = f"trim(regexp_replace(lower({split}), '[^a-z0-9]+', ' '{g}))"
+    split = f"CASE WHEN regexp_like({x}, '\\\\S[\\\\s_-]+\\\\S') THEN {x} ELSE regexp_replace({x}, '([a-z])([A-Z])', '$1 $2') END"
+    plain = f"trim(regexp_replace(lower({split}), '[^a-z0-9]+', ' '))"
     before = f"regexp_replace({plain}, '^(({NOISE_BEFORE}) )+', '')"
     return f"regexp_replace({before}, '( ({NOISE_AFTER}))+$', '')"
 
@@ -93,20 +95,20 @@ FROM at LATERAL VIEW explode(sequence(-least(k, greatest(i, k - i + abs(delta)))
 WHERE abs(s.s) <= i AND abs(s.s - delta) <= k - i AND at + s.s >= 0
 """
 
-MATCHES = """
+MATCHES = f"""
 SELECT value, min_by(pass, struct(rank, dist, turned, ord)) AS pass FROM (
-  SELECT v.value, f.pass, f.kind AS rank, 0 AS dist, f.turned, f.ord FROM {vals} v JOIN {forms} f ON v.form = f.form
+  SELECT v.value, f.pass, f.kind AS rank, 0 AS dist, f.turned, f.ord FROM {{vals}} v JOIN {{forms}} f ON v.form = f.form
   UNION ALL
-  SELECT v.value, f.pass, 2, 0, 0, f.ord FROM {vals} v JOIN {forms} f ON v.form = f.initials
-   WHERE f.kind = 0 AND f.turned = 0 AND v.len BETWEEN 3 AND 6
+  SELECT v.value, f.pass, 2, 0, 0, f.ord FROM {{vals}} v JOIN {{forms}} f ON v.form = f.initials
+   WHERE f.kind = 0 AND f.turned = 0 AND v.len BETWEEN {INITIALS[0]} AND {INITIALS[1]}
   UNION ALL
-  SELECT v.value, f.pass, 3, 0, 0, f.ord FROM {vals} v JOIN {forms} f ON v.initials = f.initials AND size(v.ws) = size(f.ws)
-   WHERE f.kind = 0 AND f.turned = 0 AND size(v.ws) > 1 AND v.len >= size(v.ws) * 3
-     AND forall(zip_with(v.ws, f.ws, (a, b) -> length(a) >= 3 AND left(b, length(a)) = a), x -> x)
+  SELECT v.value, f.pass, 3, 0, 0, f.ord FROM {{vals}} v JOIN {{forms}} f ON v.initials = f.initials AND size(v.ws) = size(f.ws)
+   WHERE f.kind = 0 AND f.turned = 0 AND size(v.ws) > 1 AND v.len >= size(v.ws) * {ABBREVIATED}
+     AND forall(zip_with(v.ws, f.ws, (a, b) -> length(a) >= {ABBREVIATED} AND left(b, length(a)) = a), x -> x)
   UNION ALL
   SELECT value, pass, 4, dist, 0, ord FROM (
     SELECT DISTINCT p.value, p.form AS vform, s.form, s.pass, s.k, s.ord, levenshtein(p.form, s.form, s.k) AS dist
-    FROM {probes} p JOIN {segments} s ON p.len = s.len AND p.i = s.i AND p.seg = s.seg
+    FROM {{probes}} p JOIN {{segments}} s ON p.len = s.len AND p.i = s.i AND p.seg = s.seg
   ) WHERE dist >= 0
 ) GROUP BY value
 """

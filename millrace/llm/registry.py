@@ -92,7 +92,9 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     return reading.profile(p9_levels(spark, sf))
 
 
-_P2_WORDS = canonical.words_sql("x", "duckdb")
+#: Words of a value in lower case without noise around them, and the edits a form allows, written out for DuckDB.
+_P2_WORDS = r"""regexp_replace(regexp_replace(trim(regexp_replace(lower(CASE WHEN regexp_matches(x, '\S[\s_-]+\S') THEN x ELSE regexp_replace(x, '([a-z])([A-Z])', '\1 \2', 'g') END), '[^a-z0-9]+', ' ', 'g')), '^((the|in|phase|pass|opto|jit|c1|c2|likely|probably|maybe) )+', ''), '( (pass|phase|optimization|optimisation|opt|c1|c2|likely|probably|maybe|bug|issue))+$', '')"""
+_P2_EDITS = "CASE WHEN length(form) < 4 THEN 0 WHEN length(form) < 7 THEN 1 WHEN length(form) < 9 THEN 2 WHEN length(form) < 11 THEN 3 ELSE 4 END"
 #: The same matching by comparing every distinct value with every form.
 _P2_MATCH = f"""
 WITH RECURSIVE named AS (
@@ -104,7 +106,7 @@ forms AS (
   UNION ALL SELECT pass, kind, ord, ws, 1, ws[-1] || array_to_string(ws[1:-2], '') FROM worded WHERE len(ws) > 1
   UNION ALL SELECT pass, kind, ord, ws, 1, array_to_string(list_reverse(ws), '') FROM worded
 ), known AS (
-  SELECT pass, kind, min(turned) AS turned, min(ord) AS ord, form, any_value(ws) AS ws, {canonical.edits_sql("length(form)")} AS k,
+  SELECT pass, kind, min(turned) AS turned, min(ord) AS ord, form, any_value(ws) AS ws, {_P2_EDITS} AS k,
          array_to_string(list_transform(any_value(ws), lambda w: w[1]), '') AS initials
   FROM forms GROUP BY pass, kind, form
 ), entries AS (
