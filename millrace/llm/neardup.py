@@ -44,12 +44,20 @@ def similar_representatives(df: DataFrame, id_col: str, text_col: str, sim: Simi
     return members, verify(left, texts, sim).dropDuplicates(["a", "b"])
 
 
+#: Copies of a class that are paired with all of it in one task, about.
+PART = 2000
+
+
 def pairs_of(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """All pairs of ids (a < b): those of similar classes and those within a class."""
     x, y = members.select(F.col("rep").alias("a"), F.col("id").alias("i")), members.select(F.col("rep").alias("b"), F.col("id").alias("j"))
     across = pairs.select("a", "b").join(x, "a").join(y, "b").filter("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    l, r = members.alias("l"), members.alias("r")
-    within = l.join(r, (F.col("l.rep") == F.col("r.rep")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    # A class of many copies is divided: each of its parts meets the whole class in a task of its own.
+    parts = members.groupBy("rep").agg(F.ceil(F.count("*") / PART).cast("bigint").alias("parts"))
+    sized = members.join(parts, "rep")
+    l = sized.select("rep", "id", F.pmod(F.xxhash64("id"), "parts").alias("part")).alias("l")
+    r = sized.select("rep", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")).alias("r")
+    within = l.join(r, (F.col("l.rep") == F.col("r.rep")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     return across.unionByName(within)
 
 

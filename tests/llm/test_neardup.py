@@ -61,7 +61,9 @@ def test_hot_buckets_lose_nothing(spark, hot):
     assert {tuple(r) for r in history.found_earlier(frame(spark, rows + EDGES), sim).collect()} == {(x, y) for y, x in best.items()}
 
 
-def test_copies_and_classes(spark):
+@pytest.mark.parametrize("part", [3, 2000])
+def test_copies_and_classes(spark, monkeypatch, part):
+    monkeypatch.setattr(neardup, "PART", part)
     t = " ".join(f"w{k}" for k in range(40))
     rows = [(k, k % 3, t if k < 30 else t + f" x{k}") for k in range(33)]
     assert {tuple(r) for r in neardup.found_pairs(frame(spark, rows)).collect()} == {(a, b) for a in range(33) for b in range(a + 1, 33)}
