@@ -24,6 +24,11 @@ def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
     return syntax.invalid_rates(p1_files(spark, sf))
 
 
+def p1_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON files among them, which another parser can judge."""
+    return syntax.checked_files(table(spark, sf, "artifacts"), ()).filter("language = 'json' AND valid IS NOT NULL").select("artifact_id", "valid")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_entries(*(table(spark, sf, t) for t in ("analyze_results", "taxonomy", "aliases"))).drop("value")
 
@@ -164,9 +169,11 @@ report AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.25 * (S
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_files, p1_rates, p2_found, p2_unmatched, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_classes, p7_containers, p7_fill, p7_audit, p8_found, p8_items, p8_cleaned, p9_levels, p9_profile)
+    for f in (p1_found, p1_files, p1_rates, p1_json, p2_found, p2_unmatched, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_classes, p7_containers, p7_fill, p7_audit, p8_found, p8_items, p8_cleaned, p9_levels, p9_profile)
 }
 ORACLES: dict[str, str] = {
+    # DuckDB lets a comma before a closing bracket pass.
+    "p1_json": r"""SELECT artifact_id, json_valid(content) AND NOT regexp_matches(regexp_replace(content, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[\]}]') AS valid FROM artifacts WHERE regexp_matches(trim(original_filename, ' '), '(?i)\.json$') AND content IS NOT NULL""",
     "p2_found": _P2_MATCH + "SELECT response_no, field, pos, coalesce(b.pass, 'UNMATCHED') AS pass FROM cases c LEFT JOIN best b ON c.x = b.x",
     "p2_unmatched": _P2_MATCH + "SELECT c.x AS value, count(*) AS n FROM cases c LEFT JOIN best b ON c.x = b.x WHERE b.pass IS NULL GROUP BY 1",
     "p3_found": _RUNS + "SELECT min(earlier) AS earlier_id, artifact_id FROM (SELECT a AS earlier, b AS artifact_id FROM pairs WHERE ba < bb UNION ALL SELECT b, a FROM pairs WHERE bb < ba) GROUP BY artifact_id",
