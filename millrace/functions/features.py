@@ -155,10 +155,9 @@ def feature_rows(files: DataFrame, case: str, text: str) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, t in zip(b[case], b["__text"], strict=True):
-                rows = occurrences(t)
-                if rows:
-                    yield pd.DataFrame({case: k, "seq": range(len(rows)), "feature": [r[0] for r in rows], "line": [r[1] for r in rows], "detail": [r[2] for r in rows], "approximate": True})
+            rows = [(k, n, *r, True) for k, t in zip(b[case], b["__text"], strict=True) for n, r in enumerate(occurrences(t))]
+            if rows:
+                yield pd.DataFrame(rows, columns=[case, "seq", "feature", "line", "detail", "approximate"])
 
     return src.mapInPandas(scan, f"{case} {types[case]}, seq int, feature string, line int, detail string, approximate boolean")
 

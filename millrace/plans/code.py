@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import code, evidence, extract
-from millrace.operators import rank
+from millrace.functions import code, evidence, extract, features
+from millrace.operators import rank, stats
 from millrace.plans.reference import query
 
 c = F.col
@@ -87,6 +87,37 @@ def inline_sources(t):
     return x.filter(code.source_verdict(c("source")) == "valid").select("doc_id", "pos", F.sha2("source", 256).alias("digest"))
 
 
+#: Detectors whose patterns RE2 can say as well, with these patterns.
+_DETECTED = (
+    ("ifStmt", r"\bif\s*\("), ("switchStmt", r"\bswitch\s*\("), ("tryCatchStmt", r"\btry\s*[({]"), ("logicalOperator", r"&&|\|\|"), ("instanceofOperator", r"\binstanceof\b"), ("booleanType", r"\bboolean\b"), ("integerType", r"\bint\b"),
+    ("longType", r"\blong\b"), ("primitiveType", r"\b(?:byte|short|char|int|long|float|double|boolean)\b"), ("nullType", r"\bnull\b"), ("wrapperType", r"\b(?:Byte|Short|Character|Integer|Long|Float|Double|Boolean)\b"), ("genericType", r"\b(?:class|interface|record)\s+\w+\s*<"),
+    ("boundedTypeParameter", r"<\s*[A-Z]\w*\s+extends\b"), ("wildcardType", r"<\s*\?"), ("interfaceType", r"\binterface\s+\w"), ("enumType", r"\benum\s+\w"), ("lambda", r"->"), ("synchronizedAccess", r"\bsynchronized\b"), ("classLiteral", r"\.\s*class\b"), ("reflectiveMethodInvocation", r"\.\s*invoke\s*\("),
+)
+_DETECTORS = _sql("""WITH f AS (SELECT * FROM (VALUES $ROWS) v(ord, feature, p)), m AS (SELECT artifact_id, array_to_string(list_transform(regexp_extract_all(content, '$LINE_PIECES'), lambda p: CASE WHEN p[1:2] IN ('//', '/*') OR p[1] IN ('"', chr(39)) THEN regexp_replace(p, '[^\\n\\r]', ' ', 'g') ELSE p END), '') AS m
+ FROM artifacts WHERE content IS NOT NULL AND lower(coalesce(original_filename, 'x.java')) LIKE '%.java')
+""").replace("$ROWS", ", ".join(f"({k}, '{n}', '{p}')" for k, (n, p) in enumerate(_DETECTED)))
+
+
+def _found(t) -> tuple[DataFrame, DataFrame]:
+    """Java files, and the occurrences in them of the detectors above."""
+    a = t("artifacts").filter("content IS NOT NULL AND lower(coalesce(original_filename, 'x.java')) LIKE '%.java'").select(c("artifact_id").alias("case_id"), "content")
+    return a, features.feature_rows(a, "case_id", "content").filter(c("feature").isin(*[n for n, _ in _DETECTED]))
+
+
+@query(_DETECTORS + "SELECT ord, feature, count(artifact_id) AS cases, printf('%.2f%%', 100.0 * count(artifact_id) / (SELECT count(*) FROM m)) AS share FROM f LEFT JOIN m ON regexp_matches(m, p) GROUP BY 1, 2")
+def feature_prevalence(t):
+    """Files that hold a feature, of those detectors that SQL can repeat."""
+    a, found = _found(t)
+    dim = a.sparkSession.createDataFrame([(k, n, True) for k, (n, _) in enumerate(_DETECTED)], "ord int, feature string, reported boolean")
+    return stats.prevalence(dim, a, found)
+
+
+@query(_DETECTORS + "SELECT feature, sum(len(regexp_extract_all(m, p)))::BIGINT AS occurrences, count(*) FILTER (regexp_matches(m, p)) AS files FROM f, m WHERE regexp_matches(m, p) GROUP BY 1")
+def feature_occurrences(t):
+    _, found = _found(t)
+    return found.groupBy("feature").agg(F.count("*").alias("occurrences"), F.count_distinct("case_id").alias("files"))
+
+
 @query()
 def packed_evidence(t):
     """The sources of each issue within 6000 characters: files, characters, blocks and characters supplied. The fold over

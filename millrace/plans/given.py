@@ -294,6 +294,22 @@ def budgeted_paths(spark, sf):
 
 # sources and sinks
 
+_LABELLED = "SELECT repository, unnest(labels) AS l, crawl_seq FROM issues"
+
+
+@query(f"""WITH one AS (SELECT min(repository) AS r FROM issues), two AS (SELECT min(l) AS l FROM ({_LABELLED}) x, one WHERE repository = r)
+SELECT 'all' AS dataset, crawl_seq, 'Row-' || crawl_seq AS name FROM issues, one WHERE repository = r UNION ALL SELECT 'labelled', crawl_seq, 'Row-' || crawl_seq FROM issues, one, two WHERE repository = r AND list_contains(labels, l)""")
+def dataset_issues(t):
+    """The issues of two specifications: those of a repository, and those of them with a label."""
+    from millrace.sources.datasets import DatasetSpec
+
+    i = t("issues")
+    repository = i.agg(F.min("repository")).head(1)[0][0]  # one value
+    label = i.filter(c("repository") == repository).select(F.explode("labels").alias("l")).agg(F.min("l")).head(1)[0][0]
+    specs = DatasetSpec("all", repository, prefix="Row"), DatasetSpec("labelled", repository, labels=(label,), prefix="Row")
+    a, b = (s.issues(i).select("dataset", "crawl_seq", s.issue_id(c("crawl_seq")).alias("name")) for s in specs)
+    return a.unionByName(b)
+
 _TREE = {
     "A/A.java": "class A { public static void main(String[] a) { B b; } }", "A/B.java": "class B { }", "A/FuzzerUtils.java": "x", "A/A.json": '{"id": 1}', "A/Ax.json": "[1]", "A/.meta/hidden.java": "class H { }",
     "B/M1.java": "class M1 { public static void main(String[] a) { } }", "B/M2.java": "package p; class M2 { public static void main(String... a) { } }", "B/Bz.json": "{broken", "B/B_llm_type.json": "{}", "C/C.json": "{}", "D/D.java": "class D { }", ".hidden/X.java": "x", "testcases.txt": "# list\n\nA\nZ\n",
@@ -334,6 +350,16 @@ def case_scans(spark, sf):
     return out
 
 
+@session_query("SELECT * FROM (VALUES ('A', 'A.java', 56), ('A', 'B.java', 11), ('A', 'FuzzerUtils.java', 1), ('B', 'M1.java', 52), ('B', 'M2.java', 64), ('D', 'D.java', 11)) v(folder, file, bytes)")
+def case_tree_files(spark, sf):
+    """The same tree by the data source that lists and reads folders in tasks."""
+    from millrace.sources import case_tree
+
+    case_tree.register(spark)
+    x = spark.read.format("case_tree").option("suffix", ".java").option("folders_per_task", 2).load(_tree(spark))
+    return x.filter("error IS NULL").select("folder", "file", c("bytes").cast("int").alias("bytes"))
+
+
 @session_query("SELECT * FROM (VALUES ('later', true), ('earlier', false), ('none', true)) v(output, stale)")
 def stale_outputs(spark, sf):
     """Files by size and time only; outputs older and newer than the newest input."""

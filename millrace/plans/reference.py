@@ -520,22 +520,6 @@ def detail_distribution(t):
     return stats.details(t("lineitem").select(c("l_orderkey").alias("case_id"), F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("detail")))
 
 
-#: Reported features as words of source text: a lexical stand-in, checked against the same patterns in SQL.
-FEATURE_WORDS = (("ifStmt", r"\bif\s*\("), ("switchStmt", r"\bswitch\s*\("), ("tryCatchStmt", r"\bcatch\s*\("), ("loop", r"\b(for|while)\s*\("), ("lambda", r"->"), ("wrapperType", r"\b(Integer|Long|Double|Boolean|Character)\b"), ("enumType", r"\benum\s+\w"), ("reflection", r"java\.lang\.reflect"))
-
-
-@query(
-    "WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', '{p}')" for k, (n, p) in enumerate(FEATURE_WORDS)) + r""") v(ord, feature, p)), a AS (SELECT artifact_id, content FROM artifacts WHERE content IS NOT NULL AND lower(coalesce(original_filename, 'x.java')) LIKE '%.java')
-SELECT ord, feature, count(artifact_id) AS cases, printf('%.2f%%', 100.0 * count(artifact_id) / (SELECT count(*) FROM a)) AS share FROM f LEFT JOIN a ON regexp_matches(content, p) GROUP BY 1, 2"""
-)
-def feature_prevalence(t):
-    a = t("artifacts").filter("content IS NOT NULL AND lower(coalesce(original_filename, 'x.java')) LIKE '%.java'")
-    seen = F.filter(F.array(*[F.when(c("content").rlike(p), n) for n, p in FEATURE_WORDS]), lambda x: x.isNotNull())
-    occ = a.select(c("artifact_id").alias("case_id"), F.posexplode(seen).alias("seq", "feature"))
-    dim = a.sparkSession.createDataFrame([(k, n, True) for k, (n, _) in enumerate(FEATURE_WORDS)], "ord int, feature string, reported boolean")
-    return stats.prevalence(dim, a.select(c("artifact_id").alias("case_id")), occ)
-
-
 @query("""WITH o AS (SELECT user_id, event_type, min(event_id) AS s FROM events GROUP BY 1, 2) SELECT user_id AS case_id, array_to_string(list(event_type ORDER BY s, event_type), ',') AS features FROM o GROUP BY 1""")
 def case_feature_presence(t):
     occ = t("events").select(c("user_id").alias("case_id"), c("event_type").alias("feature"), c("event_id").alias("seq"))
@@ -555,9 +539,13 @@ def generation_weights(t):
 
 
 
-@query(r"SELECT repository, lower(trim(status, ' ')) AS status, count(*) AS n FROM issues GROUP BY 1, 2")
+@query("""WITH a AS (SELECT issue_id, count(*) FILTER (content IS NOT NULL) AS files, count(*) FILTER (content IS NULL) AS lost FROM artifacts WHERE issue_id IS NOT NULL GROUP BY 1), i AS (SELECT repository, issue_id, count(*) AS crawls FROM issues GROUP BY 1, 2)
+SELECT repository, count(*) AS issues, count(*) FILTER (files > 0) AS saved, count(*) FILTER (a.issue_id IS NULL) AS no_source, count(*) FILTER (files = 0) AS failed, sum(crawls - 1)::BIGINT AS skipped, coalesce(sum(files), 0)::BIGINT AS files FROM i LEFT JOIN a ON i.issue_id = a.issue_id GROUP BY 1""")
 def crawl_stats(t):
-    return t("issues").groupBy("repository", F.lower(F.trim("status")).alias("status")).agg(F.count("*").alias("n"))
+    """Outcomes of a crawl by repository: issues with files, without, with lost files only, and repeated crawls."""
+    found = t("artifacts").filter("issue_id IS NOT NULL").groupBy("issue_id").agg(F.count_if(c("content").isNotNull()).alias("files"))
+    i = t("issues").groupBy("repository", "issue_id").agg(F.count("*").alias("crawls")).join(found, "issue_id", "left")
+    return i.groupBy("repository").agg(F.count("*").alias("issues"), F.count_if(c("files") > 0).alias("saved"), F.count_if(c("files").isNull()).alias("no_source"), F.count_if(c("files") == 0).alias("failed"), F.sum(c("crawls") - 1).alias("skipped"), F.coalesce(F.sum("files"), F.lit(0)).cast("bigint").alias("files"))
 
 
 # ranking and names
