@@ -12,6 +12,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from millrace.session import written
 
@@ -242,7 +243,8 @@ def bucket_pairs(rows: DataFrame, sim: Similarity) -> DataFrame:
     """
     two = "side" in rows.columns
     side = F.col("side").cast("tinyint") if two else F.lit(0).cast("tinyint")
-    ordered = rows.select("key", "n", "id", side.alias("side")).repartition("key").sortWithinPartitions("key", "n", "id")
+    # Sorted by the key alone, for which Spark has a radix sort; sizes and ids are put in order batch by batch.
+    ordered = rows.select("key", "n", "id", side.alias("side")).repartition("key").sortWithinPartitions("key")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: tuple[np.ndarray, ...] | None = None
@@ -282,6 +284,8 @@ def bucket_pairs(rows: DataFrame, sim: Similarity) -> DataFrame:
                     cols = tuple(x[skip:] for x in cols)
             if not len(cols[0]):
                 continue
+            order = np.lexsort((cols[2], cols[1], cols[0]))
+            cols = tuple(x[order] for x in cols)
             hot_key, cut = None, int(np.searchsorted(cols[0], cols[0][-1], side="left"))
             if len(cols[0]) - cut > sim.hot:
                 hot_key = cols[0][-1]
@@ -302,9 +306,20 @@ def prefix_pairs(texts: DataFrame, sim: Similarity) -> DataFrame:
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
+            held: list[tuple[int, np.ndarray]] = []
+            size = 0
             for i, x in zip(t["id"], t["text"], strict=True):
-                s = shingle_hashes(x, sim).view(np.int64)
-                yield pd.DataFrame({"id": i, "n": np.int32(len(s)), "run": s})
+                held.append((i, shingle_hashes(x, sim).view(np.int64)))
+                size += len(held[-1][1])
+                if size > 500_000:
+                    yield framed(held)
+                    held, size = [], 0
+            if held:
+                yield framed(held)
+
+    def framed(held: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+        lengths = [len(s) for _, s in held]
+        return pd.DataFrame({"id": np.repeat([i for i, _ in held], lengths), "n": np.repeat(np.array(lengths, np.int32), lengths), "run": np.concatenate([s for _, s in held])})
 
     rows = written(texts.select("id", "text").mapInPandas(runs, "id bigint, n int, run bigint"), "runs")
     df = rows.groupBy("run").agg(F.count("*").alias("df"))
@@ -312,8 +327,6 @@ def prefix_pairs(texts: DataFrame, sim: Similarity) -> DataFrame:
     # Runs found in one text only come first in the order and cannot be shared: count them off the prefix.
     alone = rows.groupBy("id").agg(F.first("n").alias("n_all"), F.count("*").alias("c")).select("id", "n_all")
     shared = ranked.groupBy("id").agg(F.count("*").alias("shared"))
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("id").orderBy("df", "run")
     prefix = (
         ranked.withColumn("r", F.row_number().over(order))
