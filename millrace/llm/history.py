@@ -43,7 +43,7 @@ from millrace.session import discard, exists, fresh_path, read_text, write_text,
 _COLUMNS = {"keys": "key bigint, n int, id bigint", "records": "id bigint, cls binary, n int, sig binary, text string"}
 _BY = {"keys": "key", "records": "id"}
 #: Scans among which a look-up of few keys is divided, by their buckets.
-_SCANS = 32
+_SCANS = 16
 
 
 def _any_of(c: Column, values: list[int]) -> Column:
@@ -58,8 +58,8 @@ def _any_of(c: Column, values: list[int]) -> Column:
 class History:
     """What has been accepted so far, as tables below ``path``; a path that is there already is continued."""
 
-    def __init__(self, spark: SparkSession, path: str, sim: Similarity = Similarity(), keys_a_bucket: int = 2_000_000, pushed: int = 1024) -> None:
-        self.spark, self.path, self.sim, self.keys_a_bucket, self.pushed = spark, path.rstrip("/"), sim, keys_a_bucket, pushed
+    def __init__(self, spark: SparkSession, path: str, sim: Similarity = Similarity(), keys_a_bucket: int = 2_000_000, pushed: int = 1024, page_rows: int = 256) -> None:
+        self.spark, self.path, self.sim, self.keys_a_bucket, self.pushed, self.page_rows = spark, path.rstrip("/"), sim, keys_a_bucket, pushed, page_rows
         state = f"{self.path}/state.json"
         #: version and buckets of the tables, and about how many keys they hold.
         self.state: dict = json.loads(read_text(spark, state)) if exists(spark, state) else {"version": 0, "buckets": 0, "keys": 0}
@@ -77,11 +77,16 @@ class History:
             by, n = _BY[kind], self.state["buckets"]
             # Short pages, so that a look-up of a few keys reads a few of them.
             self.spark.sql(
-                f"CREATE TABLE {name} ({_COLUMNS[kind]}) USING parquet OPTIONS ('parquet.page.row.count.limit'='256', 'compression'='zstd') CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{self.path}/{kind}-{at[1]}'"
+                f"CREATE TABLE {name} ({_COLUMNS[kind]}) USING parquet OPTIONS ('parquet.page.row.count.limit'='{max(1, self.page_rows)}', 'compression'='zstd') CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{self.path}/{kind}-{at[1]}'"
             )
             self._names[at] = name
         return self._names[at]
 
+    def close(self) -> None:
+        """Take the names of the tables out of the session's catalog; the files stay where they are."""
+        while self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._names.popitem()[1]}")
+
     def keys(self) -> DataFrame:
         return self.spark.table(self._table("keys"))
 
@@ -94,9 +99,12 @@ class History:
 
     def picked(self, kind: str, columns: list[str], wanted: DataFrame, size: int | None = None) -> DataFrame:
         """Rows of a table whose key (or id) is among ``wanted`` (one column, of ``size`` rows; counted if not given): read
-        from the pages that hold them if they are few, else by a join with the table as it is bucketed."""
+        from the pages that hold them if they are few and these pages a small part of the table, else by a join with the
+        table as it is bucketed."""
         by, rows = _BY[kind], self.spark.table(self._table(kind)).select(*columns)
-        if (wanted.count() if size is None else size) > self.pushed:
+        size = wanted.count() if size is None else size
+        held = self.state["keys"] if kind == "keys" else self.state["keys"] // self.sim.bands
+        if size > self.pushed or size * self.page_rows > held / 4:
             return rows.join(wanted.toDF(by).hint("shuffle_hash"), by, "left_semi")
         # Each bucket is sorted over all keys, so a scan of many buckets would read a page in each for every key: the
         # buckets are scanned in groups, each with the keys that belong there.
@@ -105,7 +113,7 @@ class History:
         for value, g in wanted.toDF(by).select(by, group).collect():  # at most ``pushed`` numbers
             of.setdefault(g, set()).add(value)
         parts = [rows.filter(_any_of(F.col(by), sorted(values))) for _, values in sorted(of.items())] or [rows.limit(0)]
-        return reduce(DataFrame.unionByName, parts)
+        return written(reduce(DataFrame.unionByName, parts), "picked")
 
     def append(self, entries: DataFrame, texts: DataFrame) -> None:
         """Add entries (id, cls, n, bands, sig) with their texts (id, text)."""
@@ -214,4 +222,5 @@ def found_earlier(artifacts: DataFrame, sim: Similarity = Similarity()) -> DataF
     first = artifacts.agg(F.min("batch_no")).head(1)[0][0]  # one number
     history.check(artifacts.filter(F.col("batch_no") == F.lit(first)), "artifact_id", "content", "batch_no")
     found = history.check(artifacts.filter(F.col("batch_no") > F.lit(first)), "artifact_id", "content", "batch_no")
+    history.close()
     return found.withColumnRenamed("id", "artifact_id")
