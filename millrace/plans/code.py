@@ -118,10 +118,36 @@ def feature_occurrences(t):
     return found.groupBy("feature").agg(F.count("*").alias("occurrences"), F.count_distinct("case_id").alias("files"))
 
 
-@query()
+def _cut(n: str, budget: str, mark: int) -> str:
+    """Length of a text of n characters cut to a budget with a mark of so many."""
+    return f"CASE WHEN {n} <= {budget} THEN {n} ELSE greatest({budget} * 68 // 100, 1) + 2 + {mark} + greatest({budget} - greatest({budget} * 68 // 100, 1) - {mark} - 4, 1) END"
+
+
+def _kept(lines: str) -> str:
+    """Length of the text of kept lines (numbers, in order) with a mark of 40 characters and a line end in every gap."""
+    return f"(list_sum(list_transform({lines}, lambda i: lens[i])) + 41 * (len(list_filter({lines}, lambda i: NOT list_contains({lines}, i - 1))) - 1) - 1)"
+
+
+_BASE = "list_sort(list_distinct(range(1, least(16, lines) + 1) || range(greatest(1, lines - 7), lines + 1)))"
+_MORE = "list_sort(list_distinct(kept || range(greatest(1, spot.k - spot.a), least(lines, spot.k + spot.a) + 1)))"
+
+
+@query(rf"""WITH RECURSIVE f AS (SELECT issue_id, artifact_id, coalesce(original_filename, '') AS name, length(content) AS n, regexp_split_to_array(regexp_replace(content, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS ls FROM artifacts WHERE content IS NOT NULL AND issue_id IS NOT NULL),
+w AS (SELECT issue_id, name, n, list_transform(ls, lambda l: length(l) + 1) AS lens, len(ls) AS lines, list_sort(list_filter(list_transform(ls, lambda l, k: CASE
+  WHEN regexp_matches(l, '(?i)\binstanceof\b|\b(?:MethodHandle|MethodType|invokeExact|invokeWithArguments)\b|\(\s*(?:byte|short|char|int|long|float|double|boolean)\s*\)|\b(?:Byte|Short|Character|Integer|Long|Float|Double|Boolean)\s*\.\s*valueOf\s*\(|\.(?:byteValue|shortValue|charValue|intValue|longValue|floatValue|doubleValue|booleanValue)\s*\(') THEN {{'o': -4, 'k': k, 'a': 2}}
+  WHEN regexp_matches(l, '(?i)\bmain\s*\(|@Test\b|\btest\w*\s*\(') THEN {{'o': -5, 'k': k, 'a': 4}}
+  WHEN regexp_matches(l, '(?i)(^\s*(?:package|import)\s+|\b(?:class|interface|enum|record)\s+\w+|\bstatic\s+void\s+main\s*\(|@Test\b|\b(?:test|run|main)\w*\s*\(|\bassert\b|\bthrow\s+new\b|CompileCommand|TestFramework|WhiteBox)') THEN {{'o': -2, 'k': k, 'a': 1}} END), lambda x: x IS NOT NULL)) AS spots,
+ row_number() OVER (PARTITION BY issue_id ORDER BY -(CASE WHEN contains(lower(name), 'test') OR contains(lower(name), 'repro') OR contains(lower(name), 'main') THEN 10 ELSE 0 END + CASE WHEN lower(name) IN ('test.java', 'main.java') THEN 10 ELSE 0 END), name, artifact_id) AS r FROM f),
+g AS (SELECT issue_id, count(*) AS files, sum(n)::BIGINT AS original, sum(n + length(name) + 17)::BIGINT AS packed FROM w GROUP BY 1),
+steps AS (SELECT issue_id, files, 0::BIGINT AS k, 5200::BIGINT AS room, 0::BIGINT AS blocks, 0::BIGINT AS packed FROM g WHERE original > 6000 UNION ALL
+ SELECT issue_id, files, k + 1, CASE WHEN room <= 300 THEN room ELSE room - block END, CASE WHEN room <= 300 THEN blocks ELSE blocks + 1 END, CASE WHEN room <= 300 THEN packed ELSE packed + block END FROM (
+  SELECT *, {_cut("(33 + length(name) + length(n::VARCHAR) + length(small::VARCHAR) + small)", "room", 27)} AS block FROM (
+   SELECT *, (CASE WHEN n <= share THEN n WHEN {_kept(_BASE)} > share THEN {_cut(_kept(_BASE), "share", 47)}
+     ELSE list_transform([list_reduce(spots, lambda kept, spot: CASE WHEN {_kept(_MORE)} <= share THEN {_MORE} ELSE kept END, {_BASE})], lambda done: {_kept("done")})[1] END)::BIGINT AS small FROM (
+    SELECT s.*, w.name, w.n, w.lens, w.lines, w.spots, least(8000, room, greatest(1600, room // greatest(files - k, 1))) AS share FROM steps s JOIN w ON w.issue_id = s.issue_id AND w.r = s.k + 1))))
+SELECT issue_id, files, original, files AS blocks, packed FROM g WHERE original <= 6000 UNION ALL SELECT s.issue_id, s.files, g.original, s.blocks, s.packed FROM steps s JOIN g ON s.issue_id = g.issue_id WHERE k = s.files""".replace("\\\\", "\\"))
 def packed_evidence(t):
-    """The sources of each issue within 6000 characters: files, characters, blocks and characters supplied. The fold over
-    the runs of kept lines is tested against brute force."""
+    """The sources of each issue within 6000 characters: files, characters, blocks and characters supplied."""
     blocks = evidence.source_blocks(t("artifacts"), "issue_id", "original_filename", "content", "artifact_id", 6000)
     return blocks.groupBy("issue_id").agg(F.max("files").alias("files"), F.max("original").alias("original"), F.count("*").alias("blocks"), F.sum(F.length("block")).alias("packed"))
 
