@@ -42,6 +42,8 @@ from millrace.session import discard, exists, fresh_path, read_text, write_text,
 
 _COLUMNS = {"keys": "key bigint, n int, id bigint", "records": "id bigint, cls binary, n int, sig binary, text string"}
 _BY = {"keys": "key", "records": "id"}
+#: Spark takes no more buckets; beyond, they become larger.
+_MOST_BUCKETS = 100_000
 #: Scans among which a look-up of few keys is divided, by their buckets.
 _SCANS = 16
 
@@ -122,7 +124,7 @@ class History:
             return
         keys = self.state["keys"] + count * self.sim.bands
         if self.empty:
-            self.state["buckets"] = max(16, -(-keys // self.keys_a_bucket))
+            self.state["buckets"] = min(_MOST_BUCKETS, max(16, -(-keys // self.keys_a_bucket)))
             write_text(self.spark, f"{self.path}/state.json", json.dumps(self.state))
         # A record without keys is never looked up, so the records go first.
         # Both sides of the join are shuffled by the buckets of the table, so its rows are where they are written.
@@ -131,14 +133,14 @@ class History:
         self._insert("records", full, placed=True)
         self._insert("keys", entries.select(F.explode("bands").alias("key"), "n", "id"))
         self.state["keys"] = keys
-        if keys > 4 * self.keys_a_bucket * self.state["buckets"]:
+        if keys > 4 * self.keys_a_bucket * self.state["buckets"] and self.state["buckets"] < _MOST_BUCKETS:
             self._grow()
         write_text(self.spark, f"{self.path}/state.json", json.dumps(self.state))
 
     def _grow(self) -> None:
         """Both tables with four times as many buckets, as a new version; the old one stays for readers that have it."""
         old = {kind: self.spark.table(self._table(kind)) for kind in _COLUMNS}
-        self.state |= {"version": self.state["version"] + 1, "buckets": 4 * self.state["buckets"]}
+        self.state |= {"version": self.state["version"] + 1, "buckets": min(_MOST_BUCKETS, 4 * self.state["buckets"])}
         for kind, df in old.items():
             self._insert(kind, df)
 

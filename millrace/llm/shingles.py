@@ -331,9 +331,13 @@ def prefix_pairs(texts: DataFrame, sim: Similarity) -> DataFrame:
     prefix = (
         ranked.withColumn("r", F.row_number().over(order))
         .join(alone.join(shared, "id"), "id")
-        .filter(F.col("r") + F.col("n_all") - F.col("shared") <= F.col("n_all") - F.ceil(F.lit(sim.threshold) * F.col("n_all") - 1e-9) + 1)
-        .select("id", "n", "run")
+        .withColumn("p", F.col("r") + F.col("n_all") - F.col("shared"))
+        .filter(F.col("p") <= F.col("n_all") - F.ceil(F.lit(sim.threshold) * F.col("n_all") - 1e-9) + 1)
+        .select("id", "n", "run", "p")
     )
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("a.n") >= sim.threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= sim.threshold * F.col("a.n") - 1e-9)
+    # At the first run that two sets share, what can still be common is bounded by the shorter rest: too little of it is no pair.
+    needed = F.ceil(F.lit(sim.threshold / (1 + sim.threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-6)
+    fits = fits & (F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) + 1 >= needed)
     return a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.id") < F.col("b.id")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
