@@ -57,13 +57,64 @@ def _finder(pattern: str):
     return re.compile(pattern).findall
 
 
+_SPACE, _WORD = 1, 2
+#: Class of each character of the basic plane: white space, part of a run of CODE_TOKENS, or a token of its own.
+_CLASSES = np.zeros(1 << 16, np.uint8)
+_CLASSES[[k for k in range(1 << 16) if re.match(r"\s", chr(k))]] = _SPACE
+_CLASSES[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$"]] = _WORD
+_BASE = 0x5851F42D4C957F2D
+
+
+class _Powers:
+    """Powers of an odd number modulo 2^64, as many as were needed so far."""
+
+    def __init__(self) -> None:
+        self.held = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.held) < n:
+            steps = np.full(max(n, 2 * len(self.held)), _BASE, np.uint64)
+            steps[0] = 1
+            self.held = np.multiply.accumulate(steps)
+        return self.held
+
+
+_powers = _Powers()
+
+
+def code_token_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each token of CODE_TOKENS, in order: a polynomial over its characters, computed for all at once.
+
+    Tokens that differ in one character have different hashes; others are equal by accident only.
+    """
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _CLASSES[np.minimum(c, 0xFFFF)]  # beyond the basic plane no character is white space or part of a word
+    word = kind == _WORD
+    begins = kind != _SPACE
+    begins[1:] &= ~(word[1:] & word[:-1])
+    inside = np.flatnonzero(kind != _SPACE)
+    at = np.flatnonzero(begins[inside])
+    if not len(at):
+        return np.empty(0, np.uint64)
+    lengths = np.diff(at, append=len(inside))
+    offset = np.arange(len(inside)) - np.repeat(at, lengths)
+    h = np.add.reduceat((c[inside].astype(np.uint64) + np.uint64(1)) * _powers.upto(int(lengths.max()))[offset], at)
+    h ^= h >> np.uint64(32)
+    h *= _MULT
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def shingle_hashes(text: str | None, sim: Similarity) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``width`` tokens; empty if there are fewer tokens."""
-    tokens = _finder(sim.pattern)(text or "")
-    n = len(tokens) - sim.width + 1
+    if sim.pattern == CODE_TOKENS:
+        t = code_token_hashes(text or "")
+    else:
+        tokens = _finder(sim.pattern)(text or "")
+        t = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    n = len(t) - sim.width + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    t = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
     h = t[:n].copy()
     for k in range(1, sim.width):
         h *= _MULT

@@ -144,6 +144,24 @@ def test_a_small_batch_reads_little(spark, monkeypatch):
     assert {tuple(r) for r in h.check(spark.createDataFrame([(8000, 1, texts[7])], "artifact_id bigint, batch_no int, content string"), "artifact_id", "content", "batch_no").collect()} == {(7, 8000)}
 
 
+def test_token_hashes_follow_the_pattern():
+    """One hash for each token of the pattern, equal for equal tokens and for no others."""
+    import re
+
+    from millrace.llm.shingles import CODE_TOKENS, code_token_hashes
+
+    rng = random.Random(9)
+    texts = ["", " \n\t", "a", "a b\u00a0c\u2003d", "caf\u00e9 \U0001f600\U0001f600x \ud800", "x" * 5000 + " y", "a_b$c1+=(x)--\u0000\x1f", "\ufffe\uffff z"]
+    texts += ["".join(rng.choice("ab1_$ +(\n\u00e9\u4e2d\U0001f600") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    seen = {}
+    for text in texts:
+        tokens, hashes = re.findall(CODE_TOKENS, text), code_token_hashes(text).tolist()
+        assert len(tokens) == len(hashes), text
+        for t, h in zip(tokens, hashes, strict=True):
+            assert seen.setdefault(t, h) == h
+    assert len(set(seen.values())) == len(seen) > 300
+
+
 def test_minhash_estimates_and_pruning():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 600, np.uint64)
