@@ -7,9 +7,11 @@ text and its error.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -53,4 +55,6 @@ class CaseTreeReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known; it is sent whole, for the processes that plan a read need not be able to import this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(CaseTree)

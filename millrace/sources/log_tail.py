@@ -10,8 +10,10 @@ from __future__ import annotations
 import glob
 import json
 import os
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -87,4 +89,6 @@ class LogTailReader(DataSourceStreamReader):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known; it is sent whole, for the processes that plan a read need not be able to import this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(LogTail)
