@@ -8,12 +8,13 @@ Wall times go through the zone transition tables of ``zones``.
 Defined results: null, blank, placeholder, cut-off and impossible values give no row (or a null
 instant from ``normalise``); a zone abbreviation that is not of the value's own feed is looked up
 among all feeds, and gives no instant if it is unknown or ambiguous; a repository without a feed
-is read as UTC with the order YMD. Extra columns, repeated rows and empty tables are harmless:
-only the named columns are read.
+is read as UTC with the order YMD; of several feeds of a repository one counts (see ``Feeds``). Extra columns, repeated
+rows and empty tables are harmless: only the named columns are read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -101,24 +102,46 @@ def _month_len(y: np.ndarray, m: np.ndarray) -> np.ndarray:
     return _days(y + (m == 12), m % 12 + 1, np.ones_like(m)) - _days(y, m, np.ones_like(m))
 
 
-class Feeds:
-    """Zone, abbreviations and order of all-numeric dates per repository (a bounded table)."""
+_FEED = ("zone", "std_abbrev", "dst_abbrev", "date_order")
 
-    def __init__(self, rows: list) -> None:
-        tables = {z: zone_table(z) for z in {r["zone"] for r in rows if r["zone"]}}
-        self.zone: dict[str, ZoneTable] = {r["repository"]: tables[r["zone"]] for r in rows if r["zone"]}
-        self.order = {r["repository"]: (r["date_order"] or "YMD").upper() for r in rows}
-        self.own: dict[tuple[str, str], int] = {}
+
+class Abbreviations:
+    """What all feeds have in common: the tables of their zones, and the offsets of the abbreviations that mean the same in
+    each. Of a row for each (zone, name, whether of summer time) in use."""
+
+    def __init__(self, uses: list[tuple[str | None, str | None, bool]]) -> None:
+        self.tables: dict[str, ZoneTable] = {z: zone_table(z) for z in sorted({z for z, _, _ in uses if z})}
         anywhere: dict[str, set[int]] = {}
-        for r in rows:
-            if t := self.zone.get(r["repository"]):
-                for name, off in ((r["dst_abbrev"], t.summer), (r["std_abbrev"], t.standard)):
-                    if name:
-                        self.own[r["repository"], name.lower()] = off
-                        anywhere.setdefault(name.lower(), set()).add(off)
+        for zone, name, summer in uses:
+            if zone and name:
+                t = self.tables[zone]
+                anywhere.setdefault(name.lower(), set()).add(t.summer if summer else t.standard)
         self.any = {k: next(iter(v)) for k, v in anywhere.items() if len(v) == 1}
 
-    def abbreviation(self, repository: str, name: str) -> int | None:
+
+class Feeds:
+    """Zone, abbreviations and order of all-numeric dates per repository (a bounded table).
+
+    Of several feeds of a repository the greatest counts, by the columns of ``_FEED`` in turn with null as the least. ``among``
+    are the abbreviations of all feeds, where ``rows`` are some of them.
+    """
+
+    def __init__(self, rows: list, among: Abbreviations | None = None) -> None:
+        rows = [r for r in rows if r["repository"] is not None]
+        among = among or Abbreviations([(r["zone"], r[f"{k}_abbrev"], k == "dst") for r in rows for k in ("std", "dst")])
+        one: dict[str, dict] = {}
+        for r in rows:
+            one[r["repository"]] = max(one.get(r["repository"], r), r, key=lambda x: [(x[k] is not None, x[k] or "") for k in _FEED])
+        self.zone: dict[str, ZoneTable] = {k: among.tables[r["zone"]] for k, r in one.items() if r["zone"]}
+        self.order = {k: (r["date_order"] or "YMD").upper() for k, r in one.items()}
+        self.own: dict[tuple[str, str], int] = {}
+        for k, t in self.zone.items():
+            for name, off in ((one[k]["dst_abbrev"], t.summer), (one[k]["std_abbrev"], t.standard)):
+                if name:
+                    self.own[k, name.lower()] = off
+        self.any = among.any
+
+    def abbreviation(self, repository: str | None, name: str) -> int | None:
         if name in ("z", "gmt", "utc", "ut"):
             return 0
         own = self.own.get((repository, name))
@@ -132,7 +155,7 @@ class Feeds:
 _PLAIN_UTC = ZoneTable("UTC", "", np.array([], np.int64), np.array([0], np.int64), 0, 0)
 
 
-def _convert(values: np.ndarray, plan: tuple, repository: str, feeds: Feeds) -> tuple[np.ndarray, np.ndarray]:
+def _convert(values: np.ndarray, plan: tuple, repository: str | None, feeds: Feeds) -> tuple[np.ndarray, np.ndarray]:
     """Microseconds since 1970 in UTC of values of one shape and repository, and which of them exist."""
     name, spans, words = plan
     n = len(values)
@@ -228,24 +251,23 @@ def normalise_batch(values: pd.Series, repositories: pd.Series, feeds: Feeds) ->
         return pd.Series(out, index=values.index)
     text = np.array([x.strip() for x in v[live]], object)
     shapes = pd.Series(text).str.translate({k: "9" for k in range(48, 58)})
-    repo = repositories.to_numpy(object)[live]
-    groups = pd.DataFrame({"shape": shapes.to_numpy(object), "repo": pd.Series(repo).fillna("").to_numpy(object)}).groupby(["shape", "repo"], sort=False).indices
+    repo, known = pd.factorize(repositories.to_numpy(object)[live])  # -1: null, which is no feed's
+    groups = pd.DataFrame({"shape": shapes.to_numpy(object), "repo": repo}).groupby(["shape", "repo"], sort=False).indices
     for (shape, r), at in groups.items():
         if plan := plan_of(shape):
-            us, ok = _convert(text[at], plan, r, feeds)
+            us, ok = _convert(text[at], plan, known[r] if r >= 0 else None, feeds)
             ok &= (us > -62135596800 * 10**6) & (us < 253402300800 * 10**6)
             out[live[at[ok]]] = _render(us[ok])
     return pd.Series(out, index=values.index)
 
 
-_FEED = ("zone", "std_abbrev", "dst_abbrev", "date_order")
-#: Up to so many feeds are sent to the tasks; more are joined to the rows.
+#: Up to so many feeds are broadcast for their join to the rows; of more Spark chooses the kind of join.
 SENT_FEEDS = 100_000
 
 
 def load_feeds(feeds: DataFrame) -> Feeds:
     """The feeds as a driver-side table, for callers that know their number to be small."""
-    return Feeds([r.asDict() for r in feeds.select("repository", *_FEED).collect() if r["repository"] is not None])
+    return Feeds([r.asDict() for r in feeds.select("repository", *_FEED).collect()])
 
 
 def normalise(feeds: Feeds) -> callable:
@@ -258,30 +280,38 @@ def normalise(feeds: Feeds) -> callable:
     return lambda value, repository: to_utc(value, repository)
 
 
+def _among(feeds: DataFrame) -> Abbreviations:
+    """Of any number of feeds: as many rows as there are zones with names that a value can have (up to five letters, of
+    which lower case makes ten characters at most)."""
+    uses = [F.struct(F.col(f"{k}_abbrev").alias("name"), F.lit(k == "dst").alias("summer")) for k in ("std", "dst")]
+    rows = feeds.select("zone", F.explode(F.array(*uses)).alias("use"))
+    name = F.when(F.length("use.name").between(2, 10), F.col("use.name"))
+    return Abbreviations([tuple(r) for r in rows.select("zone", name, "use.summer").distinct().collect()])
+
+
 def found_instants(tables: dict[str, DataFrame], feeds: DataFrame, fields: tuple[str, ...] = ("created", "updated"), sent: int = SENT_FEEDS) -> DataFrame:
-    """One row per value that names an instant: rec, crawl_seq, field, utc. One scan per table, no shuffle; of more than
-    ``sent`` feeds (counted first) each row gets its own by a join."""
-    few = feeds.count() <= sent
-    held = load_feeds(feeds) if few else None
+    """One row per value that names an instant: rec, crawl_seq, field, utc. One scan per table; each row gets the feed of its
+    repository by a join, without a shuffle of the rows for up to ``sent`` feeds. The number of feeds, the batches and their
+    order have no part in the results: zones and abbreviations are always those of all feeds."""
+    feeds = feeds.select(*[F.col(c).cast("string").alias(c) for c in ("repository", *_FEED)]).filter("repository IS NOT NULL")
+    among = _among(feeds)
+    own = feeds.groupBy("repository").agg(F.to_json(F.max(F.struct(*_FEED))).alias("feed"))
+    if feeds.count() <= sent:
+        own = F.broadcast(own)
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = held
-            if own is None:
-                known = b.loc[b["zone"].notna() & b["repository"].notna(), ["repository", *_FEED]].drop_duplicates("repository")
-                own = Feeds(known.astype(object).where(known.notna(), None).to_dict("records"))
+            held = Feeds([dict.fromkeys(_FEED) | json.loads(x) | {"repository": x} for x in b["feed"].dropna().unique()], among)
             for field in fields:
-                utc = normalise_batch(b[field], b["repository"], own)
+                utc = normalise_batch(b[field], b["feed"], held)
                 keep = utc.notna()
                 if keep.any():
                     yield pd.DataFrame({"rec": b["rec"][keep], "crawl_seq": b["crawl_seq"][keep], "field": field, "utc": utc[keep]})
 
     out: DataFrame | None = None
     for rec, df in tables.items():
-        src = df.select(F.lit(rec).alias("rec"), "crawl_seq", F.col("repository"), *[F.col(f).cast("string") for f in fields])
-        if not few:
-            src = src.join(feeds.select("repository", *_FEED).filter("repository IS NOT NULL").dropDuplicates(["repository"]), "repository", "left")
-        part = src.mapInPandas(convert, "rec string, crawl_seq bigint, field string, utc string")
+        src = df.select(F.lit(rec).alias("rec"), "crawl_seq", F.col("repository").cast("string").alias("repository"), *[F.col(f).cast("string") for f in fields])
+        part = src.join(own, "repository", "left").drop("repository").mapInPandas(convert, "rec string, crawl_seq bigint, field string, utc string")
         out = part if out is None else out.unionByName(part)
     return out
 

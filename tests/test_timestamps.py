@@ -112,3 +112,54 @@ def test_feeds_beyond_what_is_sent(spark):
     feeds = spark.read.parquet("/root/testdata/sf0.001/feeds.parquet")
     few = {tuple(r) for r in timestamps.found_instants(tables, feeds).collect()}
     assert few and {tuple(r) for r in timestamps.found_instants(tables, feeds, sent=0).collect()} == few
+
+
+def test_results_do_not_depend_on_the_number_of_feeds(spark):
+    """Abbreviations are looked up among all feeds, an order counts without a zone, a null repository has no feed."""
+    kinds = "repository string, zone string, std_abbrev string, dst_abbrev string, date_order string"
+    feeds = [tuple(f.values()) for f in FEEDS] + [
+        ("il", "Asia/Jerusalem", "IST", "IDT", "DMY"),  # IST: ambiguous with that of "in"
+        ("us", None, None, None, "MDY"),
+        ("", "Asia/Tokyo", None, None, "DMY"),
+        ("two", "Europe/Berlin", "CET", "CEST", "DMY"),
+        ("two", "Europe/Berlin", "CET", "CEST", "DMY"),
+        ("two", "America/New_York", "EST", "EDT", "MDY"),
+        (None, "Australia/Sydney", "AEST", "AEDT", "DMY"),
+    ]
+    rows = [
+        (1, "ny", "2024-01-10 12:00 CET", "2024-01-10 12:00 IST"),
+        (2, "in", "2024-01-10 12:00 IST", "2024-01-10 12:00 EDT"),
+        (3, "us", "04/10/2024 02:39", "2024-01-10 12:00 JST"),
+        (4, None, "2024-04-10 02:39", "04/10/2024 02:39"),
+        (5, "", "2024-04-10 02:39", "04/10/2024 02:39"),
+        (6, "two", "2024-01-10 12:00", "04/10/2024 02:39"),
+        (7, "unheard", "2024-01-10 12:00 IDT", "2024-01-10 12:00 AEST"),
+    ]
+    df = spark.createDataFrame(rows, "crawl_seq bigint, repository string, created string, updated string")
+    want = {
+        (1, "created", "2024-01-10T11:00:00.000000Z"),
+        (2, "created", "2024-01-10T06:30:00.000000Z"),
+        (2, "updated", "2024-01-10T16:00:00.000000Z"),
+        (3, "created", "2024-04-10T02:39:00.000000Z"),
+        (3, "updated", "2024-01-10T03:00:00.000000Z"),
+        (4, "created", "2024-04-10T02:39:00.000000Z"),
+        (4, "updated", "2024-10-04T02:39:00.000000Z"),
+        (5, "created", "2024-04-09T17:39:00.000000Z"),
+        (5, "updated", "2024-10-03T17:39:00.000000Z"),
+        (6, "created", "2024-01-10T11:00:00.000000Z"),
+        (6, "updated", "2024-10-04T00:39:00.000000Z"),
+        (7, "created", "2024-01-10T09:00:00.000000Z"),
+    }
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for order in (feeds, feeds[::-1]):
+            for sent in (0, len(feeds)):
+                for batch in ("1", "10000"):
+                    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+                    got = ts.found_instants({"issues": df}, spark.createDataFrame(order, kinds), sent=sent).collect()
+                    assert sorted(tuple(r)[1:] for r in got) == sorted(want), (sent, batch)
+            table = ts.load_feeds(spark.createDataFrame(order, kinds))
+            got = {(n, f, u) for k, f in ((2, "created"), (3, "updated")) for n, u in zip((r[0] for r in rows), ts.normalise_batch(pd.Series([r[k] for r in rows]), pd.Series([r[1] for r in rows]), table)) if u}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
